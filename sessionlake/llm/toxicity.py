@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 Only documents carry labels. A sentence's score is a logistic function of its
-words; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).
+words and their beginnings; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).
 Training pushes the document loss through the noisy-or down to the words, so
 that at scoring time the offending sentences can be located.
 """
@@ -9,7 +9,6 @@ that at scoring time the offending sentences can be located.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,16 +24,22 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
+def features(sentence: str) -> set[str]:
+    """Lower-cased words, and the first five letters of longer ones (marked, so that they are not words)."""
+    words = set(TOKEN.findall(sentence.lower()))
+    return words | {"^" + w[:5] for w in words if len(w) > 5}
+
+
 @dataclass
 class Bag:
-    weights: dict[str, float]  # of words that matter; others weigh nothing
+    weights: dict[str, float]  # of features that matter; others weigh nothing
     bias: float
 
     def sentences(self, text: str) -> Iterator[tuple[int, int, float]]:
         """Start, end and logit of each sentence."""
         get = self.weights.get
         for m in SENTENCE.finditer(text):
-            yield m.start(), m.end(), self.bias + sum(get(w, 0.0) for w in set(TOKEN.findall(m[0].lower())))
+            yield m.start(), m.end(), self.bias + sum(get(w, 0.0) for w in features(m[0]))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and the sentences of probability 0.5 or more. An empty text has no sentence and scores 0."""
@@ -44,45 +49,46 @@ class Bag:
         return float(p), [(a, b, float(1 / (1 + np.exp(-s)))) for a, b, s in found if s >= 0]
 
 
-def train(rows: list[tuple[bytes, int]], min_docs: int = 4, words: int = 50_000, epochs: int = 60, rate: float = 0.1, decay: float = 2e-3) -> Bag:
-    """Full-batch Adam over the words that at least `min_docs` sampled documents hold (the `words` most frequent). Without rows of both labels, nothing is toxic."""
+def train(rows: list[tuple[bytes, int]], least: int = 3, strength: float = 14.0, epochs: int = 300, rate: float = 0.1, decay: float = 0.1) -> Bag:
+    """Full-batch Adam over the features that at least `least` toxic documents of the sample hold and that tell the labels apart (a likelihood ratio of `strength` or more); rarer ones would only learn the sample by heart. Without rows of both labels, nothing is toxic."""
     y = np.array([v for _, v in rows], float)
     if not len(rows) or y.min() == y.max():
         return Bag({}, -12.0)
-    sents, owner, seen = [], [], Counter()
+    ids: dict[str, int] = {}
+    sents, owner = [], []
     for d, (t, _) in enumerate(rows):
-        mine: set[str] = set()
         for m in SENTENCE.finditer(t.decode(errors="replace")):
-            s = set(TOKEN.findall(m[0].lower()))
-            sents.append(s)
+            sents.append(np.array(sorted(ids.setdefault(w, len(ids)) for w in features(m[0])), np.int32))
             owner.append(d)
-            mine |= s
-        seen.update(mine)
-    vocab = {w: i for i, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:words]) if n >= min_docs}
-    pairs = np.array([(k, vocab[w]) for k, s in enumerate(sents) for w in sorted(s) if w in vocab], dtype=np.int64).reshape(-1, 2)
-    owner = np.array(owner, dtype=np.int64)
-    n_sent, n_doc, n_word = len(sents), len(rows), len(vocab)
-    # starts from the words' log odds between the two labels
-    in_doc = np.unique(owner[pairs[:, 0]] * max(1, n_word) + pairs[:, 1])
-    pos = np.bincount(in_doc % max(1, n_word), weights=y[in_doc // max(1, n_word)], minlength=n_word)
-    tot = np.bincount(in_doc % max(1, n_word), minlength=n_word)
+    owner, n_sent, n_doc = np.array(owner, np.int64), len(sents), len(rows)
+    sent = np.repeat(np.arange(n_sent), [len(s) for s in sents])
+    word = np.concatenate([*sents, np.zeros(0, np.int32)]).astype(np.int64)
+    in_doc = np.unique(owner[sent] * len(ids) + word)
+    d, k = in_doc // max(1, len(ids)), in_doc % max(1, len(ids))
+    pos, tot = np.bincount(k, weights=y[d], minlength=len(ids)), np.bincount(k, minlength=len(ids))
     base = y.mean()
-    w = np.maximum(0, np.log((pos + 0.5 * base) / (tot - pos + 0.5) / (base / (1 - base))) - 1.5) if n_word else np.zeros(0)
+    rate_pos = np.clip(pos / np.maximum(tot, 1), 1e-9, 1 - 1e-9)
+    ratio = 2 * (pos * np.log(rate_pos / base) + (tot - pos) * np.log((1 - rate_pos) / (1 - base)))
+    kept = np.flatnonzero((pos >= least) & (rate_pos > base) & (ratio >= strength))
+    at = np.full(len(ids) + 1, -1)
+    at[kept] = np.arange(len(kept))
+    sent, word = sent[at[word] >= 0], at[word][at[word] >= 0]
+    n_word = len(kept)
+    # starts from the features' log odds between the two labels
+    w = np.log((pos[kept] + 0.5) / (tot[kept] - pos[kept] + 0.5) / (base / (1 - base)))
     p = np.concatenate([w, [np.log(base / 10 / max(1, n_sent / n_doc))]])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, epochs + 1):
-        z = p[-1] + np.bincount(pairs[:, 0], weights=p[pairs[:, 1]], minlength=n_sent)
-        s = np.logaddexp(0, z)
-        total = np.bincount(owner, weights=s, minlength=n_doc)
-        q = -np.expm1(-total)
-        # d loss / d total: for label 0 the loss is total itself, for label 1 it is -log(1 - exp(-total))
-        d_total = np.where(y > 0, -np.exp(-total) / np.maximum(q, 1e-6), 1.0) / n_doc
+        z = p[-1] + np.bincount(sent, weights=p[word], minlength=n_sent)
+        total = np.bincount(owner, weights=np.logaddexp(0, z), minlength=n_doc)
+        # the loss of label 0 is the total itself, that of label 1 is -log(1 - exp(-total))
+        d_total = np.where(y > 0, -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-6), 1.0) / n_doc
         d_z = d_total[owner] / (1 + np.exp(-z))
-        g = np.concatenate([np.bincount(pairs[:, 1], weights=d_z[pairs[:, 0]], minlength=n_word) + decay / n_doc * p[:-1], [d_z.sum()]])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        p[:-1] = np.sign(p[:-1]) * np.maximum(0, np.abs(p[:-1]) - 0.01)  # words that tell nothing go to zero
-    return Bag({k: float(p[i]) for k, i in vocab.items() if p[i]}, float(min(p[-1], -7.0)))
+        g = np.concatenate([np.bincount(word, weights=d_z[sent], minlength=n_word) + decay / n_doc * p[:-1], [d_z.sum()]])
+        m, v = 0.9 * m + 0.1 * g, 0.9 * v + 0.1 * g * g
+        p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-9)
+    names = list(ids)
+    return Bag({names[i]: float(p[j]) for j, i in enumerate(kept)}, float(p[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, chars: int = 32_768, seed: int = 6) -> Bag:
