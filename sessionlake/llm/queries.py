@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import chat, fingerprints, langid, mixing, packing, quality, simhash, toxicity
+from sessionlake.llm import ann, chat, fingerprints, langid, mixing, packing, quality, simhash, toxicity
 from sessionlake.llm.common import crc_mod
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "block", "first_shard", "second_shard")
@@ -61,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_packing, op5_quality, op6_toxicity, op7_fingerprints, op8_langid, op9_chat, op10_simhash)
+    f.__name__: f for f in (op1_ann, op2_mixing, op4_packing, op5_quality, op6_toxicity, op7_fingerprints, op8_langid, op9_chat, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
