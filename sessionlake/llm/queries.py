@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import ann, chat, fingerprints, langid, mixing, packing, quality, simhash, toxicity
+from sessionlake.llm import ann, chat, fingerprints, langid, mixing, ngram, packing, quality, simhash, toxicity
 from sessionlake.llm.common import crc_mod
 
 
@@ -24,6 +24,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "block", "first_shard", "second_shard")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngram.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -65,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_mixing, op4_packing, op5_quality, op6_toxicity, op7_fingerprints, op8_langid, op9_chat, op10_simhash)
+    f.__name__: f for f in (op1_ann, op2_mixing, op3_lm, op4_packing, op5_quality, op6_toxicity, op7_fingerprints, op8_langid, op9_chat, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {}
