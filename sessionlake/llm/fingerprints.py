@@ -58,23 +58,18 @@ def with_next(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id")
     where = F.lit(0)
     if cuts:
-        points = F.array(*[F.lit(c) for c in cuts])
-        # the number of cut points below the key, by bisection over the sorted array
-        lo: Column = F.lit(0)
-        step = 1 << (len(cuts).bit_length() - 1)
-        while step:
-            probe = lo + step
-            lo = F.when((probe <= len(cuts)) & (F.try_element_at(points, probe) < key), probe).otherwise(lo)
-            step //= 2
-        where = lo
+        # the number of cut points below the key: first among every 64th, then among the 64 that follow
+        below = lambda points: F.size(F.filter(points, lambda c: c < key))
+        coarse = below(F.array(*[F.lit(c) for c in cuts[63::64]])) if len(cuts) > 63 else F.lit(0)
+        where = 64 * coarse + below(F.slice(F.array(*[F.lit(c) for c in cuts]), 64 * coarse + 1, F.lit(64)))
     placed = docs.withColumn("range", where.cast("int")).withColumn("__key", key)
     heads = placed.groupBy("range").agg(F.max("__key").alias("head"), F.count("*").alias("n")).orderBy(F.desc("range")).collect()  # one row for each range
     follows = {h.range: heads[i - 1].range for i, h in enumerate(heads)}  # the range before in descending order, at whose end a range's first document is the ghost
     ghost_of = F.create_map(*[x for h in heads for x in (F.lit(h.range), F.lit(follows[h.range]))]) if heads else F.create_map(F.lit(0), F.lit(0))
     head_of = F.create_map(*[x for h in heads for x in (F.lit(h.range), F.lit(h.head))]) if heads else F.create_map(F.lit(0), F.lit(0))
     homes = F.when(F.try_element_at(head_of, F.col("range")) == F.col("__key"), F.array(F.struct(F.col("range"), F.lit(False).alias("ghost")), F.struct(F.try_element_at(ghost_of, F.col("range")).alias("range"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("range"), F.lit(False).alias("ghost"))))
-    both = placed.withColumn("home", F.explode(homes)).select("home.range", "home.ghost", "doc_id", "__key", "text")
-    w = Window.partitionBy("range").orderBy("ghost", F.desc("__key"), "text")
+    both = placed.withColumn("home", F.explode(homes)).select("home.range", "home.ghost", "doc_id", "text")
+    w = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
     return both.withColumn("next_text", F.lead("text").over(w)).withColumn("place", F.row_number().over(w))
 
 
@@ -83,28 +78,37 @@ def fingerprints(docs: DataFrame, strata: int = 4, per_stratum: int = 16, rows_p
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document. A fingerprint has, for each stratum, 8 hex digits of its total weight and 8 for each of its samples, all 0 in an empty stratum. Likeness: each stratum's collision rate j turns the two totals a and b into shared weight j (a + b) / (1 + j) and joint weight (a + b) / (1 + j); the likeness is the ratio of their sums, which for one stratum is the collision rate itself. Two texts without words are alike (1), one with and one without are not (0).
 
-    Null texts count as empty; a null doc_id comes after all others; repeated rows each give a row; the next of an only document is itself; an empty table gives an empty table; columns other than doc_id and text are ignored.
+    doc_id is an integer. Null texts count as empty; a null doc_id comes after all others; repeated rows each give a row; the next of an only document is itself; an empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    pairs = with_next(docs, rows_per_range).withColumn("n_chars", n.cast("long")).withColumn("edited", F.when(~F.col("ghost"), F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), half))))
-    heads = pairs.select("range", "place", "ghost", "doc_id", "n_chars", F.when(~F.col("ghost"), F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256"))
-    texts = pairs.select("range", "place", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
-    # one number for place and version keeps the grouping keys short
-    words = texts.select("range", (2 * F.col("place") + F.col("x.which")).cast("long").alias("key"), F.explode(F.split(F.col("x.t"), r"[\x20\x09-\x0D]+")).alias("w")).where("w <> ''").select("range", "key", F.xxhash64("w").alias("term"))
+    pairs = with_next(docs, rows_per_range).withColumn("edited", F.when(~F.col("ghost"), F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", "text"), F.lit(1), half))))
+    # one pass takes all that is needed of the texts, as strings: words, and numbers of their own kinds for what is not sampled
+    split = lambda c: F.split(F.col(c), r"[\x20\x09-\x0D]+")
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    quarters = [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10) for i in range(4)]
+    kinds = [split("text"), split("edited"), F.array(n.cast("string")), F.array(F.col("doc_id").cast("string")), *[F.array(x) for x in quarters]]
+    items = F.array(*[F.struct(F.lit(i).alias("which"), x.alias("w")) for i, x in enumerate(kinds)])
+    # one number for place and kind keeps the grouping keys short
+    texts = pairs.select("range", "place", F.explode(F.filter(items, lambda x: x["w"].isNotNull() & x["w"][0].isNotNull())).alias("x")).select("range", (8 * F.col("place") + F.col("x.which")).cast("long").alias("key"), F.explode("x.w").alias("w")).where("w <> ''")
+    words = texts.select("range", "key", F.when(F.pmod("key", F.lit(8)) < 2, F.xxhash64("w")).otherwise(F.col("w").cast("long")).alias("term"))
     counted = words.groupBy("range", "key", "term").agg(F.count("*").alias("n")).withColumn("weight", F.log(F.col("n").cast("double")))
     one = [F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(per_stratum)]
-    drawn = counted.withColumn("stratum", F.pmod(F.col("term"), F.lit(strata)).cast("int")).groupBy("range", "key", "stratum").agg(F.sum("n").alias("total"), *one)
+    drawn = counted.withColumn("stratum", F.when(F.pmod("key", F.lit(8)) < 2, F.pmod(F.col("term"), F.lit(strata))).otherwise(0).cast("int")).groupBy("range", "key", "stratum").agg(F.sum("n").alias("total"), F.max("term").alias("value"), *one)
     low = [F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(per_stratum)]
-    got = drawn.select("range", "key", "stratum", F.array("total", *low).alias("s"))
-    per_text = got.groupBy("range", "key").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "s"))).alias("m"))
+    got = drawn.select("range", "key", "stratum", "value", F.array("total", *low).alias("s"))
+    per_text = got.groupBy("range", "key").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "s"))).alias("m"), F.max("value").alias("value"))
     none = F.array_repeat(F.lit(0).cast("long"), per_stratum + 1)
-    per_text = per_text.select("range", F.floor(F.col("key") / 2).cast("int").alias("place"), F.pmod("key", F.lit(2)).alias("which"), F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), none) for i in range(strata)]).alias("sig"))
-    per_doc = per_text.groupBy("range", "place").agg(F.max(F.when(F.col("which") == 0, F.col("sig"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("sig"))).alias("b"))
+    which = F.pmod("key", F.lit(8))
+    per_text = per_text.select("range", F.floor(F.col("key") / 8).cast("int").alias("place"), which.alias("which"), "value", F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), none) for i in range(strata)]).alias("sig"))
+    value = lambda i: F.max(F.when(F.col("which") == i, F.col("value")))
     empty = F.array_repeat(none, strata)
-    lined = heads.join(per_doc, ["range", "place"], "left").withColumns({c: F.coalesce(c, empty) for c in "ab"})
+    signature = lambda i: F.coalesce(F.max(F.when(F.col("which") == i, F.col("sig"))), empty)
+    lined = per_text.groupBy("range", "place").agg(signature(0).alias("a"), signature(1).alias("b"), value(2).alias("n_chars"), value(3).alias("doc_id"), *[value(4 + i).alias(f"q{i}") for i in range(4)])
     by_place = Window.partitionBy("range").orderBy("place")
-    lined = lined.withColumn("next", F.coalesce(F.lead("a").over(by_place), F.col("a"))).where("not ghost")
+    # ghosts have no edited text
+    lined = lined.withColumn("next", F.coalesce(F.lead("a").over(by_place), F.col("a"))).where("q0 is not null")
+    lined = lined.withColumn("edited_sha256", F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])))
 
     def near(x: str, y: str) -> Column:
         def part(p: Column, q: Column) -> Column:
