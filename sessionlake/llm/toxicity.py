@@ -9,6 +9,7 @@ that at scoring time the offending sentences can be located.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,29 +51,42 @@ class Bag:
 
 
 def train(rows: list[tuple[bytes, int]], least: int = 3, strength: float = 14.0, epochs: int = 300, rate: float = 0.1, decay: float = 0.1) -> Bag:
-    """Full-batch Adam over the features that at least `least` toxic documents of the sample hold and that tell the labels apart (a likelihood ratio of `strength` or more); rarer ones would only learn the sample by heart. Without rows of both labels, nothing is toxic."""
+    """Full-batch Adam over the features that at least `least` toxic documents of the sample hold and that tell the labels apart (a likelihood ratio of `strength` or more); rarer ones would only learn the sample by heart. `least` is at most 255. Without rows of both labels, nothing is toxic."""
     y = np.array([v for _, v in rows], float)
     if not len(rows) or y.min() == y.max():
         return Bag({}, -12.0)
+    # how many toxic documents hold a feature, at least, by its hash; only features that may reach `least` get a number
+    mask = (1 << 22) - 1
+    held = bytearray(mask + 1)
+    for t, v in rows:
+        if v > 0:
+            for k in {hash(w) & mask for m in SENTENCE.finditer(t.decode(errors="replace")) for w in features(m[0])}:
+                held[k] = min(255, held[k] + 1)
     ids: dict[str, int] = {}
-    sents, owner = [], []
+    pos, tot, base = array("i"), array("i"), y.mean()
+    for t, v in rows:
+        for w in {w for m in SENTENCE.finditer(t.decode(errors="replace")) for w in features(m[0]) if held[hash(w) & mask] >= least}:
+            if (k := ids.setdefault(w, len(ids))) == len(tot):
+                tot.append(0)
+                pos.append(0)
+            tot[k] += 1
+            pos[k] += v > 0
+    pos, tot = np.array(pos, float), np.array(tot, float)
+    rate_pos = np.clip(pos / np.maximum(tot, 1), 1e-9, 1 - 1e-9)
+    ratio = 2 * (pos * np.log(rate_pos / base) + (tot - pos) * np.log((1 - rate_pos) / (1 - base)))
+    good = (pos >= least) & (rate_pos > base) & (ratio >= strength)
+    names = sorted(w for w, k in ids.items() if good[k])
+    kept = np.array([ids[w] for w in names], np.int64)
+    number = {w: i for i, w in enumerate(names)}
+    sent_of, word_of, owner = array("i"), array("i"), array("i")
     for d, (t, _) in enumerate(rows):
         for m in SENTENCE.finditer(t.decode(errors="replace")):
-            sents.append(np.array(sorted(ids.setdefault(w, len(ids)) for w in features(m[0])), np.int32))
+            for i in sorted(number[w] for w in features(m[0]) if w in number):
+                sent_of.append(len(owner))
+                word_of.append(i)
             owner.append(d)
-    owner, n_sent, n_doc = np.array(owner, np.int64), len(sents), len(rows)
-    sent = np.repeat(np.arange(n_sent), [len(s) for s in sents])
-    word = np.concatenate([*sents, np.zeros(0, np.int32)]).astype(np.int64)
-    in_doc = np.unique(owner[sent] * len(ids) + word)
-    d, k = in_doc // max(1, len(ids)), in_doc % max(1, len(ids))
-    pos, tot = np.bincount(k, weights=y[d], minlength=len(ids)), np.bincount(k, minlength=len(ids))
-    base = y.mean()
-    rate_pos = np.clip(pos / np.maximum(tot, 1), 1e-9, 1 - 1e-9)
-    ratio = 2 * (pos * np.log(rate_pos / base) + (tot - pos) * np.log((1 - rate_pos) / (1 - base)))
-    kept = np.flatnonzero((pos >= least) & (rate_pos > base) & (ratio >= strength))
-    at = np.full(len(ids) + 1, -1)
-    at[kept] = np.arange(len(kept))
-    sent, word = sent[at[word] >= 0], at[word][at[word] >= 0]
+    owner, sent, word = (np.array(x, np.int64) for x in (owner, sent_of, word_of))
+    n_sent, n_doc = len(owner), len(rows)
     n_word = len(kept)
     # starts from the features' log odds between the two labels
     w = np.log((pos[kept] + 0.5) / (tot[kept] - pos[kept] + 0.5) / (base / (1 - base)))
@@ -87,8 +101,7 @@ def train(rows: list[tuple[bytes, int]], least: int = 3, strength: float = 14.0,
         g = np.concatenate([np.bincount(word, weights=d_z[sent], minlength=n_word) + decay / n_doc * p[:-1], [d_z.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.9 * v + 0.1 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-9)
-    names = list(ids)
-    return Bag({names[i]: float(p[j]) for j, i in enumerate(kept)}, float(p[-1]))
+    return Bag({w: float(p[i]) for i, w in enumerate(names)}, float(p[-1]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, chars: int = 32_768, seed: int = 6) -> Bag:
