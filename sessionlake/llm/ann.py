@@ -199,7 +199,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 6, p
     poor = asked.join(full, "vec_id", "left_anti")
     if poor.limit(1).count():
         n_blocks = max(1, -(-rows // block))
-        everywhere = poor.withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+        everywhere = poor.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
         blocks = classes.select(F.pmod(F.col("c"), F.lit(n_blocks)).alias("key"), "x", "ids")
         more = blocks.groupBy("key").cogroup(everywhere.select("key", "vec_id", "x").groupBy("key")).applyInArrow(nearest, found_schema)
         both = ranked.join(poor.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "score").unionByName(more)
