@@ -152,7 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 6, p
     asked = staged(valid.where("q").groupBy("vec_id").agg(F.min("x").alias("x")), "ann-queries")
     rows = classes.count()
     few = classes.orderBy(F.xxhash64("c", F.lit(seed)), "c").limit(sample).select("x").collect()
-    index = fit(np.array([r.x for r in few], dtype=float).reshape(len(few), -1), rows, tables, width, seed)
+    index = fit(np.array([r.x for r in few], dtype=float) if few else np.zeros((0, 1)), rows, tables, width, seed)
     shared = spark.sparkContext.broadcast((index, perturbations(index.a.shape[1], probes)))
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
