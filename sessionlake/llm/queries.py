@@ -73,4 +73,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ann, op2_mixing, op3_lm, op4_packing, op5_quality, op6_toxicity, op7_fingerprints, op8_langid, op9_chat, op10_simhash)
 }
 
-ORACLES: dict[str, str] = {}
+ESCAPED = "(length({x}) + length(regexp_replace({x}, '[^<\\[\\\\]', '', 'g')))"
+SEGMENT = f"(13 + {ESCAPED.format(x='role')} + {ESCAPED.format(x='text')})"
+
+#: op9 in DuckDB: digests over the turns, and the length of all windows by the same rules (budget 1024, history 256 and 3 turns, system 256, sections of 1024).
+CHAT_SQL = f"""WITH raw AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, turn // 1024 AS section, CAST(ceil(strlen(text) / 4) AS BIGINT) + 4 AS tokens, {SEGMENT} AS seg FROM raw),
+n AS (SELECT *, row_number() OVER w AS n, SUM(tokens) OVER w - tokens AS before FROM t WINDOW w AS (PARTITION BY conv_id, section ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, CAST(before // 256 AS BIGINT) AS cell, before + tokens > (before // 256 + 1) * 256 AS leaves FROM n),
+i AS (SELECT *, SUM(CASE WHEN leaves THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, section, cell) AS inside FROM c),
+w AS (SELECT *, 2 * cell + CASE WHEN leaves AND inside > 0 AND inside + tokens > 512 THEN 1 ELSE 0 END AS win FROM i),
+s AS (SELECT *, COALESCE(LAG(win) OVER o <> win, TRUE) AS starts FROM w WINDOW o AS (PARTITION BY conv_id, section ORDER BY n)),
+l AS (SELECT *, LEAD(starts, 1) OVER o AS s1, LEAD(starts, 2) OVER o AS s2, LEAD(starts, 3) OVER o AS s3, LEAD(before, 1) OVER o AS b1, LEAD(before, 2) OVER o AS b2, LEAD(before, 3) OVER o AS b3, LEAD(win, 1) OVER o AS w1, LEAD(win, 2) OVER o AS w2, LEAD(win, 3) OVER o AS w3 FROM s WINDOW o AS (PARTITION BY conv_id, section ORDER BY n)),
+u AS (SELECT conv_id, section, win, role, text, seg FROM l UNION ALL SELECT conv_id, section, w1, role, text, seg FROM l WHERE s1 AND b1 - before <= 256
+  UNION ALL SELECT conv_id, section, w2, role, text, seg FROM l WHERE s2 AND b2 - before <= 256 UNION ALL SELECT conv_id, section, w3, role, text, seg FROM l WHERE s3 AND b3 - before <= 256),
+f AS (SELECT conv_id, text AS system, seg AS system_seg, tokens AS system_tokens FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY section, turn, text) AS k FROM t WHERE role = 'system') WHERE k = 1),
+g AS (SELECT u.conv_id, section, win, SUM(seg) AS chars, bool_or(role = 'system' AND text = system) AS there, ANY_VALUE(system_seg) AS system_seg, ANY_VALUE(system_tokens) AS system_tokens FROM u LEFT JOIN f ON f.conv_id = u.conv_id GROUP BY 1, 2, 3),
+x AS (SELECT conv_id, CAST(SUM(chars + CASE WHEN system_tokens <= 256 AND NOT COALESCE(there, FALSE) THEN system_seg ELSE 0 END) AS BIGINT) AS formatted_chars FROM g GROUP BY 1)
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, ANY_VALUE(formatted_chars) AS formatted_chars
+FROM raw JOIN x USING (conv_id) GROUP BY 1"""
+
+ORACLES: dict[str, str] = {"op9_chat": CHAT_SQL}

@@ -197,8 +197,6 @@ def test_chat_round_trip(spark):
 
 def chat_text(piece):
     body = piece.split("|>\n", 1)[1]
-    for c in "<[\\":
-        pass
     out, i = [], 0
     while i < len(body):
         out.append(body[i])
