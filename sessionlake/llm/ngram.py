@@ -12,9 +12,13 @@ with the corpus, so it is never gathered in one place:
 3. Each block computes its unigram sums and deals its word triples by the
    middle word (the nearest context).
 4. A context shard builds its trie from the training triples and scores all
-   triples with it; sums by document go back to their block. A context so
-   frequent that it would fill shards by itself is salted by block: each part
-   learns from, and scores, its own disjoint share of the corpus.
+   triples with it; sums by document go back to their block.
+5. A context so frequent that it would fill shards by itself is counted instead:
+   each block asks with its distinct n-grams and their counts, bigrams dealt by
+   parts of the context's successors, trigrams by their first two words. Shards
+   add up the counts of all blocks and answer with them and with the masses of
+   what is kept; each block puts the same probabilities together from these as
+   a trie over the whole corpus would hold.
 
 In a trie, each level is a monotone sequence in Elias-Fano coding: contexts,
 pointers, and successors. A trigram's last word is stored as its place among
@@ -227,6 +231,149 @@ class Trie:
         return (-float(self.p2[row]) if row >= 0 else -float(self.left2[c]) - base) / STEP - (float(self.left3[pair]) / STEP if pair >= 0 else 0.0)
 
 
+def bundle(kind: int, number: int, *arrays: np.ndarray) -> bytes:
+    """A message of one kind: a number and packed arrays."""
+    packed = [pack(x) for x in arrays]
+    return bytes([kind]) + np.array([number, *map(len, packed)], np.int64).tobytes() + b"".join(packed)
+
+
+def unbundle(data: bytes, *types: type) -> tuple[int, list[np.ndarray]]:
+    head = np.frombuffer(data, np.int64, len(types) + 1, 1)
+    ends = 9 + 8 * len(types) + np.cumsum(head[1:])
+    return int(head[0]), [unpack(data[int(z - n) : int(z)], k) for z, n, k in zip(ends, head[1:], types, strict=True)]
+
+
+#: Kinds of messages: triples for a trie, sums by document, bigrams and trigrams of frequent contexts (questions and answers), and what a block keeps to put their answers together.
+TRIPLES, SUMS, BIGRAMS, TRIGRAMS, KEPT = range(5)
+
+
+def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
+    return (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(b).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for x in columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def questions(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, doc: np.ndarray, learns: np.ndarray, base: np.ndarray, uses: np.ndarray, docs: int, shards: int, shard_tokens: int) -> Iterator[tuple[int, bytes]]:
+    """(shard, message) of a block's triples after frequent contexts, which have `uses` uses in training; shard -1 is the block itself. The codes `base` count for last words other than RARE."""
+    ctx, first, at = np.unique(w2, return_index=True, return_inverse=True)
+    total = uses[first].astype(np.int64)
+    parts = 1 + 2 * total // shard_tokens
+    # every shard that holds a part of a context is asked for the part's mass, by a bigram that ends in RARE
+    c = np.repeat(np.arange(len(ctx)), parts)
+    part = np.arange(len(c)) - np.repeat(np.cumsum(parts) - parts, parts)
+    lead = np.unique((mixed(ctx[c], part) % np.uint64(shards)).astype(np.int64) * len(ctx) + c)
+    known = np.flatnonzero(w3 != RARE)
+    grams, g_first, g_at = np.unique(w2[known].astype(np.uint64) << np.uint64(32) | w3[known], return_index=True, return_inverse=True)
+    g_ctx, g_w3 = at[known[g_first]], w3[known[g_first]]
+    g_to = mixed(ctx[g_ctx], mixed(g_w3) % parts[g_ctx].astype(np.uint64)) % np.uint64(shards)
+    e_to = np.concatenate([lead // len(ctx), g_to.astype(np.int64)])
+    e_ctx = np.concatenate([lead % len(ctx), g_ctx])
+    e_w3 = np.concatenate([np.zeros(len(lead), np.uint32), g_w3])
+    e_n = np.concatenate([np.zeros(len(lead), np.uint32), np.bincount(g_at, weights=learns[known], minlength=len(grams)).astype(np.uint32)])
+    e_base = np.concatenate([np.zeros(len(lead), np.uint16), base[known[g_first]]])
+    order = np.lexsort((e_w3, e_ctx, e_to))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    e_to, e_ctx, e_w3, e_n, e_base = (x[order] for x in (e_to, e_ctx, e_w3, e_n, e_base))
+    entry = np.empty(len(w3), np.uint32)  # of each triple's bigram
+    entry[known] = place[len(lead) + g_at]
+    some = np.empty(len(ctx), np.int64)
+    some[lead % len(ctx)] = place[: len(lead)]
+    entry[w3 == RARE] = some[at[w3 == RARE]]
+    del grams, g_at, known, at
+    edge = np.searchsorted(e_to, np.arange(shards + 1))
+    for s in range(shards):
+        i = slice(edge[s], edge[s + 1])
+        if edge[s] < edge[s + 1]:
+            yield s, bundle(BIGRAMS, s, ctx[e_ctx[i]], e_w3[i], e_n[i])
+    # trigrams; those whose first word is RARE stand last and are not asked for
+    to = np.where(w1 == RARE, shards, (mixed(w2, w1.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)).astype(np.uint32)
+    order = np.lexsort((w3, w1, w2, to))
+    new = changes(*(x[order] for x in (to, w2, w1, w3)))
+    which = np.empty(len(order), np.uint32)
+    which[order] = np.cumsum(new) - 1
+    n = np.bincount(which, weights=learns).astype(np.uint32)
+    t = order[new]
+    del order, new
+    edge = np.searchsorted(to[t], np.arange(shards + 1, dtype=np.uint32))
+    for s in range(shards):
+        i = t[edge[s] : edge[s + 1]]
+        if len(i):
+            yield s, bundle(TRIGRAMS, s, w1[i], w2[i], w3[i], n[edge[s] : edge[s + 1]])
+    asked = t[: edge[shards]]
+    pair = changes(to[asked], w2[asked], w1[asked])
+    order = np.lexsort((which, doc))
+    steps = np.diff(which[order], prepend=np.uint32(0))  # wraps around
+    yield -1, bundle(KEPT, docs, total, e_ctx.astype(np.uint32), (e_w3 == RARE).astype(np.uint8), e_base, entry[t], pair.astype(np.uint8), steps, np.bincount(doc, minlength=docs).astype(np.uint32))
+
+
+def bigram_answers(asked: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """For each question (w2, w3, counts): the counts of all questions, or the part's kept count for a bigram that ends in RARE, of which also how many bigrams are kept."""
+    w2, w3, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+    grams, at = np.unique(w2.astype(np.uint64) << np.uint64(32) | w3, return_inverse=True)
+    count = np.bincount(at, weights=n).astype(np.int64)
+    ctx = np.cumsum(changes(grams >> np.uint64(32))) - 1
+    kept = (count >= 2) & ((grams & np.uint64(0xFFFFFFFF)) != RARE)
+    mass, kinds = (np.bincount(ctx, weights=x).astype(np.uint64) for x in (np.where(kept, count, 0), kept))
+    lo = 0
+    for _, last, _ in asked:
+        g = at[lo : lo + len(last)]
+        lo += len(last)
+        yield [np.where(last == RARE, mass[ctx[g]], count[g].astype(np.uint64)), kinds[ctx[g[last == RARE]]]]
+
+
+def trigram_answers(asked: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """For each question (w1, w2, w3, counts): the kept counts of all questions, and for each of its pairs (w1, w2) the uses, the kept count and how many trigrams are kept."""
+    w1, w2, w3, n = (np.concatenate(x) for x in zip(*asked, strict=True))
+    order = np.lexsort((w3, w1, w2))
+    at = np.empty(len(order), np.int64)
+    new = changes(w2[order], w1[order], w3[order])
+    at[order] = np.cumsum(new) - 1
+    first = order[new]
+    count = np.bincount(at, weights=n).astype(np.int64)
+    pair = np.cumsum(changes(w2[first], w1[first])) - 1
+    count_kept = np.where((count >= 2) & (w3[first] != RARE), count, 0).astype(np.uint64)
+    total, mass, kinds = (np.bincount(pair, weights=x).astype(np.uint64) for x in (count, count_kept, count_kept > 0))
+    total[kinds == 0] = 0
+    lo = 0
+    for a, b, _, _ in asked:
+        t = at[lo : lo + len(a)]
+        lo += len(a)
+        p = pair[t[changes(b, a)]]
+        yield [count_kept[t], total[p], mass[p], kinds[p]]
+
+
+def put_together(kept: bytes, bigrams: list[bytes], trigrams: list[bytes]) -> np.ndarray:
+    """Sums by document of a block's triples after frequent contexts, in steps, from what the block kept and the answers of all shards."""
+
+    def joined(messages: list[bytes], n: int) -> list[np.ndarray]:
+        got = sorted((unbundle(m, *[np.uint64] * n) for m in messages), key=lambda x: x[0])
+        return [np.concatenate([np.zeros(0, np.int64), *(g[k].astype(np.int64) for _, g in got)]) for k in range(n)]
+
+    docs, (total, ctx, lead, base, entry, pair, steps, sizes) = unbundle(kept, np.int64, np.uint32, np.uint8, np.uint16, np.uint32, np.uint8, np.uint32, np.uint32)
+    lead = lead.astype(bool)
+    count, kinds = joined(bigrams, 2)
+    mass = np.bincount(ctx[lead], weights=count[lead], minlength=len(total)) - DISCOUNT * np.bincount(ctx[lead], weights=kinds, minlength=len(total))
+    left = 1 - mass / np.maximum(total, 1)
+    have = (count >= 2) & ~lead
+    q2 = code((count - DISCOUNT) / total[ctx] + left[ctx] * prob(base))
+    cost = np.where(have, q2, code(left)[ctx].astype(np.int64) + base)
+    count, uses, mass, kinds = joined(trigrams, 4)
+    left = 1 - (mass - DISCOUNT * kinds) / np.maximum(uses, 1)
+    of = np.cumsum(pair, dtype=np.int64) - 1
+    out = cost[entry]
+    out[: len(of)] = np.where(count >= 2, code((count - DISCOUNT) / np.maximum(uses, 1)[of] + left[of] * prob(q2[entry[: len(of)]])), out[: len(of)] + code(left)[of])
+    which = np.cumsum(steps, dtype=np.uint32)
+    return -np.bincount(np.repeat(np.arange(docs), sizes), weights=out[which], minlength=docs).astype(np.int64)
+
+
 class Numbers(dict):
     """Words to numbers, in the order of appearance."""
 
@@ -351,40 +498,47 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
         del log_p
         rows = [{"shard": block % shards, "block": block, "triples": None, "doc_id": left["doc_id"][0].as_py(), "learns": learns.tolist(), "n_tokens": (words + 1).tolist(), "n_known": np.bincount(doc, weights=c > 0, minlength=len(words)).astype(np.int64).tolist(), "base": base.tolist()}]
         # after a rare word only the unigram counts, which needs no shard
-        alone = -np.bincount(doc, weights=np.where(w2 == RARE, codes, 0), minlength=len(words)).astype(np.int64)
-        rows.append({"shard": block % shards, "block": block, "triples": b"\1" + pack(alone)})
-        # a context too frequent for one shard is estimated on as many disjoint parts of the blocks, each scored by its own part
+        alone = np.bincount(doc, weights=np.where(w2 == RARE, codes, 0), minlength=len(words))
+        # contexts too frequent for one shard are counted, the others get tries
         uses = np.concatenate([[0], c[:-1]])
         uses[begins] = count[-1]
-        salt = xxhash.xxh3_64_intdigest(int(block).to_bytes(8, "little", signed=True)) % (1 + 2 * uses // shard_tokens).astype(np.uint64)
-        by = ((w2.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(shards)
-        by = by.astype(np.uint32)
-        del uses, salt, c
+        hot = (2 * uses >= shard_tokens) & (w2 != RARE)
+        del c
+        if hot.any():
+            alone += np.bincount(doc, weights=np.where(hot & (w3 == RARE), codes, 0), minlength=len(words))
+            asks = questions(w1[hot], w2[hot], w3[hot], doc[hot], learns[doc[hot]], codes[hot], uses[hot], len(words), shards, shard_tokens)
+            rows += [{"shard": block % shards if s < 0 else s, "block": block, "triples": m} for s, m in asks]
+        rows.append({"shard": block % shards, "block": block, "triples": bundle(SUMS, 0, -alone.astype(np.int64))})
+        del uses
+        by = (mixed(w2) % np.uint64(shards)).astype(np.uint32)
         order = np.lexsort((w3, w2, by))
-        order = order[w2[order] != RARE]
+        order = order[(w2[order] != RARE) & ~hot[order]]
         edge = np.searchsorted(by[order], np.arange(shards + 1, dtype=np.uint32))
         mark = (doc * 2 + learns[doc]).astype(np.uint32)
         for s in range(shards):
             i = order[edge[s] : edge[s + 1]]
             if len(i):
-                cols = [pack(x[i]) for x in (w1, w2, w3, mark, codes)]
-                rows.append({"shard": s, "block": block, "triples": b"\0" + np.array([len(words), *map(len, cols)], np.int64).tobytes() + b"".join(cols)})
+                rows.append({"shard": s, "block": block, "triples": bundle(TRIPLES, len(words), *(x[i] for x in (w1, w2, w3, mark, codes)))})
         return pa.Table.from_pylist(rows, schema=head)
 
     def judge(table: pa.Table) -> pa.Table:
-        """Builds the shard's trie and gives sums by document for each block."""
-        out, parts, at = [], [], []
+        """Builds the shard's trie and gives sums by document for each block, and answers questions about frequent contexts."""
+        out, parts, at, passed = [], [], [], []
+        asked: dict[int, list[tuple[int, int, list[np.ndarray]]]] = {BIGRAMS: [], TRIGRAMS: []}
         for r in range(table.num_rows):
             t = table["triples"][r].as_py()
-            if t is None or t[:1] == b"\1":
+            passed.append(t is None or t[0] in (SUMS, KEPT))
+            if passed[-1]:
                 continue
-            cut = np.frombuffer(t, np.int64, 6, 1)
-            ends = 49 + np.cumsum(cut[1:])
-            parts.append([unpack(t[int(z - n) : int(z)], k) for z, n, k in zip(ends, cut[1:], (np.uint32, np.uint32, np.uint32, np.uint32, np.uint16), strict=True)])
-            at.append((table["block"][r].as_py(), int(cut[0])))
+            block = table["block"][r].as_py()
+            if t[0] == TRIPLES:
+                docs_in, arrays = unbundle(t, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16)
+                parts.append(arrays)
+                at.append((block, docs_in))
+            else:
+                asked[t[0]].append((block, *unbundle(t, *[np.uint32] * (3 if t[0] == BIGRAMS else 4))))
         head = pa.schema([("block", pa.int64()), ("sums", pa.binary()), table.schema.field("doc_id"), *(pa.field(n, pa.list_(t)) for n, t in arrow)])
-        whole = pa.Table.from_arrays([table["block"], pa.array([None if (t := x.as_py()) is None else t[1:] for x in table["triples"]], pa.binary()), *(table[n] for n in head.names[2:])], schema=head)
-        whole = whole.filter(pa.array([(t := x.as_py()) is None or t[:1] == b"\1" for x in table["triples"]], pa.bool_()))
+        whole = table.filter(pa.array(passed, pa.bool_())).select(["block", "triples", *head.names[2:]]).rename_columns(head.names).cast(head)
         if parts:
             w1, w2, w3, mark, base = (np.concatenate(x) for x in zip(*parts, strict=True))
             sizes = [len(p[0]) for p in parts]
@@ -394,18 +548,29 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
             steps, lo = np.rint(trie.score(w1, w2, w3, base) * STEP), 0  # whole codes, so sums are exact
             for (block, docs_in), n in zip(at, sizes, strict=True):
                 hi = lo + n
-                out.append({"block": block, "sums": pack(np.bincount(mark[lo:hi] >> 1, weights=steps[lo:hi], minlength=docs_in).astype(np.int64))})
+                out.append({"block": block, "sums": bundle(SUMS, 0, np.bincount(mark[lo:hi] >> 1, weights=steps[lo:hi], minlength=docs_in).astype(np.int64))})
                 lo = hi
+            del w1, w2, w3, mark, base, train, trie, steps
+        for kind, reply in ((BIGRAMS, bigram_answers), (TRIGRAMS, trigram_answers)):
+            mine = asked.pop(kind)
+            if mine:
+                out += [{"block": block, "sums": bundle(kind, s, *arrays)} for (block, s, _), arrays in zip(mine, reply([x for _, _, x in mine]), strict=True)]
         return pa.concat_tables([whole, pa.Table.from_pylist(out, schema=head)])
 
     def gather(pdf: pa.Table) -> pa.Table:
         """The rows of a block's documents."""
         total, info = 0, None
+        hot: dict[int, list[bytes]] = {BIGRAMS: [], TRIGRAMS: [], KEPT: []}
         for r in range(pdf.num_rows):
-            if pdf["sums"][r].as_py() is None:
+            t = pdf["sums"][r].as_py()
+            if t is None:
                 info = {n: pdf[n][r].values for n in ("doc_id", *(n for n, _ in arrow))}
+            elif t[0] == SUMS:
+                total = total + unbundle(t, np.int64)[1][0]
             else:
-                total = total + unpack(pdf["sums"][r].as_py(), np.int64)
+                hot[t[0]].append(t)
+        if hot[KEPT]:
+            total = total + put_together(hot[KEPT][0], hot[BIGRAMS], hot[TRIGRAMS])
         return pa.table({**info, "score": pa.array(np.asarray(total, np.float64) / STEP)})
 
     answered = answers.where("block >= 0").select("block", "shard", "counts", "numbers")

@@ -51,6 +51,19 @@ def test_lm_base_and_backoff(make, odd):
     assert {r.train_tokens for r in ngram.score(make(rows), F.lit(False)).collect()} == {0}
 
 
+def test_lm_scores_do_not_depend_on_the_layout(make):
+    """Frequent contexts, pairs and lines learn from the whole corpus, however texts are cut into blocks and shards."""
+    rng = np.random.default_rng(2)
+    words = [f"w{int(k)}" for k in rng.zipf(1.3, 6000) % 300]
+    rows = [(i, " ".join(["the of", *words[20 * i : 20 * i + 20], "of the"][: 22 - i % 3])) for i in range(300)] + [(300 + i, "one very common line") for i in range(60)]
+    rows += [(400, "the only pair the only pair"), (401, None), (None, "the of w1")]
+    found = []
+    for block_bytes, shard_tokens in ((1 << 23, 700_000), (1 << 23, 100), (700, 1000), (700, 100)):
+        got = ngram.score(make(rows), crc_mod("doc_id", 7) != 2, block_bytes=block_bytes, shard_words=500, shard_tokens=shard_tokens).collect()
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.score) for r in got))
+    assert len(found[0]) == len(rows) and all(f == found[0] for f in found)
+
+
 def brute_trigram(train, base, d=ngram.DISCOUNT):
     """log10 p(w3 | w1, w2) straight from counts."""
     c3, c2, c12, c1 = Counter(train), Counter((b, c) for _, b, c in train), Counter((a, b) for a, b, _ in train), Counter(b for _, b, _ in train)
