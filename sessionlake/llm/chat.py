@@ -36,26 +36,43 @@ def segment(role: Column, text: Column) -> Column:
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 3, system: int = 256, section: int = 1024) -> DataFrame:
     """Training texts of conversations (conv_id, turn, role, text): conv_id, section, window, repeated (leading turns that only give context), formatted, loss (array of start and length, in code points of formatted).
 
-    Tokens are estimated as a quarter of the UTF-8 bytes, plus 4 for each turn. A window's own turns have at most budget - history - system tokens together, or are a single longer turn. History: up to `history_turns` turns right before the span, of at most `history` tokens together. The conversation's first system turn starts every window it fits (at most `system` tokens), once.
+    Tokens are estimated as a quarter of the UTF-8 bytes, plus 4 for each turn. A window's own turns have at most budget - history - system tokens together, or are a single longer turn. History: up to `history_turns` turns right before the span, of at most `history` tokens together. The conversation's first system turn starts every window, once; where it has more than `system` tokens, these are taken off what the window's own turns may have.
 
-    A conversation is laid out in sections of `section` consecutive turn numbers, and history does not cross sections; so one endless conversation is spread over many tasks. Null texts count as empty, null roles as ''; null conv_ids are one conversation; rows with the same or a null turn number are ordered by role and text, and repeated rows are turns of their own; an empty table gives an empty table; other columns are ignored.
+    A conversation is laid out in sections of `section` consecutive turns, so one endless conversation is spread over many tasks. The last turns of a section are copied into the next one, as history only. Null texts count as empty, null roles as ''; null conv_ids are one conversation; rows with the same or a null turn number are ordered by role and text, and repeated rows are turns of their own; an empty table gives an empty table; other columns are ignored.
     """
-    free = (budget - history - system) // 2
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("section", F.coalesce(F.floor(F.col("turn") / section), F.lit(-(2**62))).cast("long")).withColumn("tokens", F.ceil(F.octet_length("text") / 4) + 4)
-    first_system = rows.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("section", "turn", "text", "tokens"), F.struct(F.col("section"), F.col("turn"), F.col("text"))).alias("s"))
-    place = Window.partitionBy("conv_id", "section").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("n", F.row_number().over(place)).withColumn("before", F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"))
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / section), F.lit(-(2**62))).cast("long")).withColumn("tokens", F.ceil(F.octet_length("text") / 4) + 4)
+    first_system = rows.where("role = 'system'").groupBy("conv_id").agg(F.min_by(F.struct("turn", "text", "tokens"), F.struct("turn", "text")).alias("s"))
+    # the running place of a turn: the turns in lower ranges of turn numbers, and its place in its own range
+    ranges = rows.groupBy("conv_id", "range").agg(F.count("*").alias("held"))
+    lower = F.sum("held").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select(F.col("conv_id").alias("__id"), F.col("range").alias("__range"), F.coalesce(lower, F.lit(0)).alias("lower"))
+    rows = rows.join(ranges, F.col("conv_id").eqNullSafe(F.col("__id")) & (F.col("range") == F.col("__range"))).drop("__id", "__range")
+    in_order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    at = F.col("lower") + F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*in_order)) - 1
+    rows = rows.withColumn("at", at).withColumn("section", F.floor(F.col("at") / section).cast("long")).drop("range", "lower")
+    # the last turns of a section stand before the next section's own turns, without a window of their own
+    past = F.when(F.col("at") % section >= section - history_turns, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("past", F.explode(past)).withColumn("section", F.col("section") + F.col("past").cast("long"))
+    # a system turn over its share leaves less to a window's own turns
+    large = first_system.where(F.col("s.tokens") > system).select(F.col("conv_id").alias("__id"), F.col("s.tokens").alias("large"))
+    rows = rows.join(large, F.col("conv_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    rows = rows.withColumn("free", F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("large", F.lit(system))) / 2)))
+    free = F.col("free")
+    place = Window.partitionBy("conv_id", "section").orderBy("at")
+    whole = Window.partitionBy("conv_id", "section")
+    earlier = F.sum(F.when(F.col("past"), F.col("tokens")).otherwise(0)).over(whole)
+    rows = rows.withColumn("n", F.row_number().over(place)).withColumn("before", F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens") - earlier)
     # cells of `free` tokens; a turn that leaves its cell closes it, with the cell's other turns if both halves of the budget hold them
     rows = rows.withColumn("cell", F.floor(F.col("before") / free)).withColumn("leaves", (F.col("before") + F.col("tokens") > (F.col("cell") + 1) * free))
     cell = Window.partitionBy("conv_id", "section", "cell")
     inside = F.sum(F.when(~F.col("leaves"), F.col("tokens")).otherwise(0)).over(cell)
     rows = rows.withColumn("window", 2 * F.col("cell") + F.when(F.col("leaves") & (inside > 0) & (inside + F.col("tokens") > 2 * free), 1).otherwise(0))
     starts = F.lag("window").over(place)
-    rows = rows.withColumn("starts", starts.isNull() | (starts != F.col("window")))
+    rows = rows.withColumn("starts", ~F.col("past") & (starts.isNull() | (starts != F.col("window"))))
     # a turn is history of the windows that start within the next few turns
     later = [F.when(F.lead("starts", k).over(place) & (F.lead("before", k).over(place) - F.col("before") <= history), F.struct(F.lead("window", k).over(place).alias("window"), F.lit(1).alias("kind"))) for k in range(1, history_turns + 1)]
-    own = F.struct(F.col("window"), F.lit(2).alias("kind"))
+    own = F.when(~F.col("past"), F.struct(F.col("window"), F.lit(2).alias("kind")))
     uses = rows.withColumn("uses", F.filter(F.array(own, *later), lambda u: u.isNotNull()))
     uses = uses.select("conv_id", "section", "turn", "n", "role", "text", F.explode("uses").alias("u")).select("conv_id", "section", "turn", "n", "role", "text", "u.*")
     seg = segment(F.col("role"), F.col("text"))
@@ -66,7 +83,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_tu
     # the system turn leads where it is not in the window or its history anyway
     kept = F.transform("p", lambda x: x["seg"])
     system_seg = segment(F.lit("system"), F.col("s.text"))
-    leads = F.col("s").isNotNull() & (F.col("s.tokens") <= system) & ~F.array_contains(kept, system_seg)
+    leads = F.col("s").isNotNull() & ~F.array_contains(kept, system_seg)
     head = F.when(leads, system_seg).otherwise(F.lit(""))
     grouped = grouped.withColumn("head", head)
     at = F.aggregate(

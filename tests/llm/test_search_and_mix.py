@@ -204,6 +204,26 @@ def chat_text(piece):
     return "".join(out)
 
 
+def test_chat_keeps_the_system_turn_and_history(spark):
+    """Every window has the system turn, however long, and the turns before it, also across sections and where turn numbers are sparse."""
+    rule = "rule " + "s" * 1600
+    rows = [(1, 0, "system", rule), *((1, t, ["user", "assistant"][t % 2], f"{t} " + "x" * 300) for t in range(1, 12))]
+    rows += [(2, 1_700_000_000 + 5000 * t, ["user", "assistant"][t % 2], f"{t} .") for t in range(40)]
+    rows += [(3, 0, "system", "s" * 9000), (3, 1, "user", "a"), (3, 2, "assistant", "b")]
+    made = chat.windows(turns(spark, rows), section=16).collect()
+    for w in made:
+        said = [chat_text(x) for x in w.formatted.split("<|end|>\n")[:-1]]
+        tokens = sum(-(-len(x.encode()) // 4) + 4 for x in said)
+        assert tokens <= 1024 or w.conv_id == 3
+        if w.conv_id != 2:
+            assert w.formatted.startswith("<|system|>\n") and w.formatted.count("<|system|>") == 1
+        elif w.section:
+            assert w.repeated == 3 and said[:3] == [f"{16 * w.section - k} ." for k in (3, 2, 1)]
+    assert len([w for w in made if w.conv_id == 2]) == 3
+    back = {r.conv_id: r.n_turns for r in chat.read_back(spark.createDataFrame(made)).collect()}
+    assert back == {1: 12, 2: 40, 3: 3}
+
+
 def test_chat_masks_what_it_repeats(spark):
     rows = [(1, t, ["user", "assistant"][t % 2], f"{t} " + "x" * 300) for t in range(12)]
     got = chat.windows(turns(spark, rows), budget=600, history=200, system=0).orderBy("window").collect()
