@@ -10,6 +10,8 @@ fullest closes first.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,12 +34,15 @@ BEFORE = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0
 class Tokens:
     """Ids of texts by byte-level BPE.
 
-    A space after a character that is no white space always starts a new pre-token, so a text's ids are those of its space-separated words, one after the other. Ids of words are kept, up to `most` words, and put together by numpy.
+    A space after a character that is no white space always starts a new pre-token, so a text's ids are those of its space-separated words, one after the other. Ids of words are kept, up to `most` words, and put together by numpy. Added tokens of the vocabulary (the .json file beside the ranks) have ids of their own wherever they stand in a text; what stands between them is encoded on its own.
     """
 
     def __init__(self, ranks_file: str, most: int = 400_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_file).read_bytes().splitlines())}
         self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        whole = Path(ranks_file).with_suffix(".json")
+        self.added = {x["content"]: x["id"] for x in json.loads(whole.read_bytes())["added_tokens"]} if whole.exists() else {}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.most = most
         self.forget()
 
@@ -54,6 +59,16 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit numbers."""
+        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        out = self.plain([t if i not in marked else "" for i, t in enumerate(texts)] if marked else texts)
+        for i in marked:
+            between = self.plain(self.marks.split(texts[i]))
+            ids = [np.array([self.added[m]], np.uint32) for m in self.marks.findall(texts[i])]
+            out[i] = np.concatenate([between[0], *(x for pair in zip(ids, between[1:], strict=True) for x in pair)])
+        return out
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for texts without added tokens."""
         if len(self.ends) > self.most:
             self.forget()
         rows: list[list[int] | None] = []

@@ -155,6 +155,17 @@ def test_ids_by_word_are_ids_of_text(text):
     assert [*words.encode([text])[0].tolist(), 2] == brute_ids(text)
 
 
+def test_ids_of_added_tokens(make):
+    """The contract's tokenizer, with its default setting, reads added tokens in a text."""
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b ", "<|endoftext|", "no mark", " <|endoftext|>  x"]
+    words = packing.tokens(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    assert [x.tolist() for x in words.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert words.encode(texts[:1])[0].tolist() == [64, 220, 50256, 275]
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed(make(list(enumerate(texts)))).collect()}
+    assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(t.encode(y, add_special_tokens=False).ids for y in texts)}
+
+
 def test_best_fit_and_fullest_closes_first():
     p = packing.Packer(10, 2)
     assert [p.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
