@@ -146,8 +146,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 6, p
     x = F.col("embedding").cast(f"array<{held}>")
     sane = F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), is_query.alias("q")).where(sane)
-    # of equal vectors, the k + 1 smallest ids: the window keeps that many of each before the shuffle
-    hashed = valid.select("vec_id", "x", F.xxhash64("x").alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("h", "x").orderBy("vec_id")))
+    # of equal vectors, the k + 1 smallest ids, once repeated rows are one: the window keeps that many of each before the shuffle
+    hashed = valid.select("vec_id", "x", F.xxhash64("x").alias("h")).distinct().withColumn("n", F.row_number().over(Window.partitionBy("h", "x").orderBy("vec_id")))
     classes = staged(hashed.where(F.col("n") <= k + 1).groupBy("h", "x").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("c"), "x", "ids"), "ann-classes")
     asked = staged(valid.where("q").groupBy("vec_id").agg(F.min("x").alias("x")), "ann-queries")
     rows = classes.count()

@@ -25,6 +25,12 @@ def exact(vecs, queries, k):
     return out
 
 
+def test_ann_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(1, [1.0, 2.0])] * 40 + [(i, [1.0, 2.0]) for i in range(2, 6)] + [(9, [5.0, 5.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 9, k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3]
+
+
 def test_ann_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(5, 16))
