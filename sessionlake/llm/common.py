@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces that hold about `size` bytes of the string column, or one longer string."""
+    for batch in batches:
+        stop = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(stop, (int(stop[at - 1]) if at else 0) + size, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int, seed: int) -> list[tuple[bytes, int]]:
     """At most `rows` texts with their label, chosen by a hash of the key among the rows where `learn` holds; of a text longer than `chars`, its two ends. For fitting only: scores always read whole texts. Ties and repeated rows: a document with several labels takes the smallest; null keys, texts and labels teach nothing."""
     marks = labels.select("doc_id", label).dropna().groupBy("doc_id").agg(F.min(label).alias("y"))

@@ -15,84 +15,108 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import zip_longest
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import slices, staged
+from sessionlake.llm.common import portions, staged
 
-#: White space that may stand before a space. A space after it ends no piece of which the ids could be looked up on their own.
-BEFORE = [chr(c) + " " for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+#: A space that white space stands before. It ends no piece of which the ids could be looked up on their own.
+BEFORE = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 
 
 class Tokens:
     """Ids of texts by byte-level BPE.
 
-    A space after a character that is no white space always starts a new pre-token, so a text's ids are those of its space-separated words, one after the other. Ids of words are kept, up to `most` words, and put together by numpy. Added tokens of the vocabulary (the .json file beside the ranks) have ids of their own wherever they stand in a text; what stands between them is encoded on its own.
+    A space after a character that is no white space always starts a new pre-token, so a text's ids are those of its space-separated words, one after the other. Arrow splits a batch of texts and numbers its distinct words; only words that are not known yet meet the encoder. Ids of up to `most` words are kept in arrays that grow by doubling, and numpy puts the texts together. Added tokens of the vocabulary (the .json file beside the ranks) have ids of their own wherever they stand in a text; what stands between them is encoded on its own.
     """
 
-    def __init__(self, ranks_file: str, most: int = 400_000):
+    def __init__(self, ranks_file: str, most: int = 1_000_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_file).read_bytes().splitlines())}
         self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = Path(ranks_file).with_suffix(".json")
         self.added = {x["content"]: x["id"] for x in json.loads(whole.read_bytes())["added_tokens"]} if whole.exists() else {}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each id
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.most = most
         self.forget()
 
     def forget(self) -> None:
         self.of: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.ends = [0]
-
-    def add(self, word: str) -> int:
-        self.ids += self.bpe.encode_ordinary(word)
-        self.ends.append(len(self.ids))
-        self.of[word] = k = len(self.ends) - 2
-        return k
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit numbers."""
-        marked = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
-        out = self.plain([t if i not in marked else "" for i, t in enumerate(texts)] if marked else texts)
-        for i in marked:
-            between = self.plain(self.marks.split(texts[i]))
-            ids = [np.array([self.added[m]], np.uint32) for m in self.marks.findall(texts[i])]
-            out[i] = np.concatenate([between[0], *(x for pair in zip(ids, between[1:], strict=True) for x in pair)])
-        return out
-
-    def plain(self, texts: list[str]) -> list[np.ndarray]:
-        """The same for texts without added tokens."""
-        if len(self.ends) > self.most:
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ends, self.words = np.zeros(1 << 16, np.int64), 0
+
+    def add(self, words: list[str], whole: bool) -> None:
+        """Keeps the ids of new words. Those that start with a space are encoded in one run, which falls into words again by the ids' bytes; `whole`: each on its own."""
+        if whole:
+            each = [self.bpe.encode_ordinary(w) for w in words]
+            ids, stops = np.array([i for x in each for i in x], np.uint32), np.cumsum([len(x) for x in each])
+        else:
+            ids = np.array(self.bpe.encode_ordinary("".join(words)), np.uint32)
+            stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
+        stop, last = self.used + len(ids), self.words + len(words)
+        if stop > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * stop)
+        if last >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * last)
+        self.ids[self.used : stop] = ids
+        self.ends[self.words + 1 : last + 1] = self.used + stops
+        self.of.update(zip(words, range(self.words, last), strict=True))
+        self.used, self.words = stop, last
+
+    def numbers(self, words: list[str], whole: bool = False) -> np.ndarray:
+        got = list(map(self.of.get, words))
+        if None in got:
+            self.add(list(dict.fromkeys(w for w, k in zip(words, got, strict=True) if k is None)), whole)
+            got = list(map(self.of.__getitem__, words))
+        return np.array(got, np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, as unsigned 32-bit numbers, and where each text ends. A null text counts as empty."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, BEFORE)
+        for mark in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, mark))
+        apart = {i: self.one(texts[i].as_py()) for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()}
+        if self.words > self.most:
             self.forget()
-        rows: list[list[int] | None] = []
-        of, add = self.of, self.add
-        for t in texts:
-            if any(x in t for x in BEFORE):
-                rows.append(None)
-                continue
-            first, *rest = t.split(" ")
-            row = [of[w] if w in of else add(w) for w in (first,)] if first else []
-            get = of.get
-            row += [k if (k := get(w)) is not None else add(w) for w in map(" ".__add__, rest)]
-            rows.append(row)
-        ids, ends = np.array(self.ids, np.uint32), np.array(self.ends, np.int64)
-        out = []
-        for t, row in zip(texts, rows, strict=True):
-            if row is None:
-                out.append(np.array(self.bpe.encode_ordinary(t), np.uint32))
-                continue
-            k = np.array(row, np.int64)
-            a, n = ends[k], ends[k + 1] - ends[k]
-            total = int(n.sum())
-            out.append(ids[np.arange(total) + np.repeat(a - (np.cumsum(n) - n), n)] if total else np.zeros(0, np.uint32))
-        return out
+        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        names = split.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        # the first word of a text has no space before it; an empty one is nothing
+        rest = self.numbers(pc.binary_join_element_wise(" ", names.dictionary, "").to_numpy(zero_copy_only=False).tolist())
+        k = rest[names.indices.to_numpy()] if len(names) else np.zeros(0, np.int64)
+        at = offsets[:-1]
+        k[at] = self.numbers(names.dictionary.take(names.indices.take(pa.array(at))).to_pylist(), True)
+        lo = self.ends[k]
+        n = self.ends[k + 1] - lo
+        stop = np.cumsum(n)
+        ids = self.ids[np.arange(int(stop[-1]) if len(n) else 0) + np.repeat(lo - (stop - n), n)]
+        ends = stop[offsets[1:] - 1] if len(texts) else stop
+        if apart:
+            parts = [apart[i] if i in apart else ids[a:b] for i, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))]
+            return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, ends
+
+    def one(self, text: str) -> np.ndarray:
+        """Ids of one text that words cannot be looked up for."""
+        ids: list[int] = []
+        marks = [self.added[m] for m in self.marks.findall(text)]
+        for part, mark in zip_longest(self.marks.split(text), marks):
+            ids += self.bpe.encode_ordinary(part)
+            if mark is not None:
+                ids.append(mark)
+        return np.array(ids, np.uint32)
 
 
 @lru_cache(maxsize=1)
@@ -138,18 +162,18 @@ def pieces(docs: DataFrame, size: int = 1024, end: int = 2, ranks_file: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokens(file)
-        for b in slices(batches):
-            out: list[tuple[int, int, int, int, int]] = []
-            for row, ids in enumerate(bpe.encode([t or "" for t in b.column(1).to_pylist()])):
-                raw = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
-                n = len(raw) // 4
-                cut = (n - 1) % size + 1  # the first piece
-                at = 0
-                for piece, stop in enumerate(range(cut, n + 1, size)):
-                    out.append((row, piece, at, stop - at, zlib.crc32(raw[4 * at : 4 * stop])))
-                    at = stop
-            x = np.array(out, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(x[:, 0])), pa.array(x[:, 1].astype(np.int32)), *(pa.array(x[:, k]) for k in (2, 3, 4))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in portions(batches, 1):
+            ids, ends = bpe.encode(b.column(1))
+            n = np.diff(ends, prepend=0) + 1
+            ids = np.insert(ids, ends, end)  # each text, then its end
+            first, count = (n - 1) % size + 1, (n - 1) // size + 1
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.where(piece > 0, first[row] + (piece - 1) * size, 0)
+            length = np.where(piece > 0, size, first[row])
+            raw, at = memoryview(ids.astype("<u4").tobytes()), 4 * (np.repeat(np.cumsum(n) - n, count) + start)
+            crc = [zlib.crc32(raw[i : i + k]) for i, k in zip(at.tolist(), (4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     fields = [docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
     return docs.select("doc_id", "text").mapInArrow(run, T.StructType(fields))
@@ -170,7 +194,7 @@ def pack(cut: DataFrame, size: int = 1024, open_bins: int = 4096, per_task: int
             got = np.array([packer.put(n) for n in b.column(3).to_pylist()], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((np.int64(task) << 40) + got[:, 0]), pa.array(got[:, 1])], names=names)
 
-    dealt = cut.repartition(parts, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.desc("length"), "doc_id", "piece").withColumn("task", F.spark_partition_id())
+    dealt = cut.repartition(parts, F.xxhash64(*[c for c in cut.columns if c in ("doc_id", "piece", "start", "length", "ids_crc32")])).sortWithinPartitions(F.desc("length"), "doc_id", "piece").withColumn("task", F.spark_partition_id())
     fields = [*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     return dealt.mapInArrow(run, T.StructType(fields))
 

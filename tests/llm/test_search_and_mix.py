@@ -5,6 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -127,7 +129,6 @@ def test_mixing_odd_rows(make, odd):
 
 def brute_ids(text):
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -155,10 +156,26 @@ def test_packing_round_trip(make, odd):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab 'sé\n\t\r\x0b 　.1Ω漢<|>"), max_size=40))
+@given(st.text(alphabet=st.sampled_from("ab 'sé\x1c\n\t\r\x0b 　.1Ω漢<|>"), max_size=40))
 def test_ids_by_word_are_ids_of_text(text):
     words = packing.tokens(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    assert [*words.encode([text])[0].tolist(), 2] == brute_ids(text)
+    words.forget()
+    assert [*words.encode(pa.array([text]))[0].tolist(), 2] == brute_ids(text)
+    ids, ends = words.encode(pa.array(["x", text, None, "", text + " y"]))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [brute_ids(t)[:-1] for t in ("x", text, "", "", text + " y")]
+
+
+def test_ids_of_all_texts_of_the_tables():
+    """Every text of sf0.01, in one batch and in two orders, against the contract's tokenizer."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    want = [x.ids for x in t.encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+    words = packing.Tokens(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), most=20_000)
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1]):
+        for lo in range(0, len(order), 300):
+            pick = order[lo : lo + 300]
+            ids, ends = words.encode(texts.take(pa.array(pick)))
+            assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [want[i] for i in pick]
 
 
 def test_ids_of_added_tokens(make):
@@ -166,8 +183,9 @@ def test_ids_of_added_tokens(make):
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     texts = ["a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b ", "<|endoftext|", "no mark", " <|endoftext|>  x"]
     words = packing.tokens(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
-    assert [x.tolist() for x in words.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert words.encode(texts[:1])[0].tolist() == [64, 220, 50256, 275]
+    ids, ends = words.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert words.encode(pa.array(texts[:1]))[0].tolist() == [64, 220, 50256, 275]
     got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.packed(make(list(enumerate(texts)))).collect()}
     assert got == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(t.encode(y, add_special_tokens=False).ids for y in texts)}
 
