@@ -60,21 +60,27 @@ def leaf(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nda
     return start, q
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 16, shard_blocks: int = 256, seed: int = 17) -> DataFrame:
-    """For each row of docs: doc_id, source, size, source_size, target, block, first and second (words taken in the full pass and in the partial one, `most` <= 2), first_shard and second_shard (null where nothing is taken).
+#: Blocks of a source in a run; sums over blocks go by runs first, then inside each.
+RUN = 256
 
-    A null text has size 0; null sources are one source, last in order; repeated rows count each; a source without words has target 0; an empty table gives an empty table. Sources are labels of corpora: their table (one row each) is the only thing collected.
+
+def plan(docs: DataFrame, keep: Sequence[str] = ("doc_id", "source"), weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_docs: int = 16, shard_blocks: int = 256, seed: int = 17) -> DataFrame:
+    """For each row of docs: a struct `row` of its columns `keep`, order (a hash of the row), size, source_size, target, block, first and second (words taken in the full passes and in the partial one, `most` <= 2), first_shard and second_shard (null where nothing is taken).
+
+    What a row gives is what the shards draw of its block: words that no shard draws are not taken. A null text has size 0; null sources are one source, last in order; rows need no key, and repeated rows count each; a source without words has target 0; an empty table gives an empty table; columns of any name may be kept. Sources are labels of corpora: their table (one row each) is the only thing collected.
     """
     if not 0 < most <= 2:
         raise ValueError("most must be over 0 and at most 2")
     spark = docs.sparkSession
-    sized = staged(docs.select("doc_id", "source", word_count().alias("size")).withColumn("hash", F.xxhash64("doc_id", F.lit(seed))), "mix-sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    rows = docs.select(row, "source", word_count().alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("order"))
+    sized = staged(rows, "mix-sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, most)
     sources = sources.withColumn("blocks", F.ceil(F.col("docs") / block_docs).cast("long"))
     sources = staged(sources.withColumn("passes", F.floor(F.col("target") / F.greatest("source_size", F.lit(1)) + 1e-12).cast("long")).withColumn("rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("passes") * F.col("source_size"))).withColumn("k", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1), "mix-sources")
-    placed = sized.join(sources.drop("weight", "docs"), sized.source.eqNullSafe(sources.source)).select(sized["*"], "source_size", "target", "blocks", "passes", "rest", "k").withColumn("block", F.pmod(F.col("hash"), F.col("blocks")))
-    # words of the blocks before each block, in two steps: runs of 1024 blocks, then blocks within a run
-    per_block = staged(placed.groupBy("k", "block", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("block") / 1024)), "mix-blocks")
+    placed = sized.join(sources.drop("weight", "docs"), sized.source.eqNullSafe(sources.source)).select(sized["*"], "source_size", "target", "blocks", "passes", "rest", "k").withColumn("block", F.pmod(F.col("order"), F.col("blocks")))
+    # words of the blocks before each block, in two steps
+    per_block = staged(placed.groupBy("k", "block", "passes", "rest").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("block") / RUN)), "mix-blocks")
     ahead = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     runs = per_block.groupBy("k", "run").agg(F.sum("words").alias("words")).withColumn("run_before", F.coalesce(F.sum("words").over(ahead("k", by="run")), F.lit(0))).drop("words")
     blocks = per_block.join(runs, ["k", "run"]).withColumn("before", F.col("run_before") + F.coalesce(F.sum("words").over(ahead("k", "run", by="block")), F.lit(0)))
@@ -83,34 +89,43 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     quota = blocks.groupBy("k").agg(F.sum(F.when(F.col("passes") > 0, 1).otherwise(0)).alias("full"), F.sum(F.when(F.col("part") > 0, 1).otherwise(0)).alias("more"))
     counts = {r.k: (r.full, r.more) for r in quota.collect()}
     q = np.array([sum(counts[k]) for k in sorted(counts)], dtype=np.int64)
+    number = {k: i for i, k in enumerate(sorted(counts))}
     shards = max(1, -(-int(q.sum()) // shard_blocks))
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = np.array(sorted(number), dtype=np.int64)
         for pdf in frames:
             for s in pdf.id:
                 start, n = leaf(q, shards, int(s), seed)
                 k = np.repeat(np.arange(len(q)), n)
-                yield pd.DataFrame({"k": k, "draw": np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[k], "shard": int(s)})
+                yield pd.DataFrame({"k": names[k], "draw": np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + start[k], "shard": int(s)})
 
     drawn = spark.range(0, shards, numPartitions=min(shards, 64)).mapInPandas(walk, "k int, draw long, shard long")
     # draws of a source: its full pass in block order, then the blocks of the partial pass
     taking = blocks.where("passes > 0 or part > 0")
     seen = lambda flag: F.sum(F.when(flag, 1).otherwise(0))
-    taking = taking.withColumn("run", F.floor(F.col("block") / 1024))
+    taking = taking.withColumn("run", F.floor(F.col("block") / RUN))
     per_run = taking.groupBy("k", "run").agg(seen(F.col("passes") > 0).alias("f"), seen(F.col("part") > 0).alias("p"))
     per_run = per_run.withColumn("f0", F.coalesce(F.sum("f").over(ahead("k", by="run")), F.lit(0))).withColumn("p0", F.coalesce(F.sum("p").over(ahead("k", by="run")), F.lit(0))).withColumn("all_f", F.sum("f").over(Window.partitionBy("k"))).drop("f", "p")
     numbered = taking.join(per_run, ["k", "run"])
     numbered = numbered.withColumn("i", F.col("f0") + F.coalesce(seen(F.col("passes") > 0).over(ahead("k", "run", by="block")), F.lit(0))).withColumn("j", F.col("all_f") + F.col("p0") + F.coalesce(seen(F.col("part") > 0).over(ahead("k", "run", by="block")), F.lit(0)))
-    draws = numbered.select("k", "block", "part", F.explode(F.array(F.struct(F.lit(1).alias("pass"), F.when(F.col("passes") > 0, F.col("i")).alias("draw")), F.struct(F.lit(2).alias("pass"), F.when(F.col("part") > 0, F.col("j")).alias("draw")))).alias("d")).select("k", "block", "part", "d.*").where("draw is not null")
-    shards_of = draws.join(drawn, ["k", "draw"]).groupBy("k", "block").agg(F.max("part").alias("part"), F.max(F.when(F.col("pass") == 1, F.col("shard"))).alias("first_shard"), F.max(F.when(F.col("pass") == 2, F.col("shard"))).alias("second_shard"))
+    draws = numbered.select("k", "block", "passes", "part", F.explode(F.array(F.struct(F.lit(1).alias("pass"), F.when(F.col("passes") > 0, F.col("i")).alias("draw")), F.struct(F.lit(2).alias("pass"), F.when(F.col("part") > 0, F.col("j")).alias("draw")))).alias("d")).select("k", "block", "passes", "part", "d.*").where("draw is not null")
+    # the table of draws grows with the blocks, though the planner takes it for small
+    met = draws.join(drawn.hint("merge"), ["k", "draw"])
+    taken = lambda p, x: F.max(F.when(F.col("pass") == p, F.col(x)))
+    shards_of = staged(met.groupBy("k", "block").agg(taken(1, "passes").alias("times"), taken(2, "part").alias("given"), taken(1, "shard").alias("first_shard"), taken(2, "shard").alias("second_shard")), "mix-draws")
     got = placed.join(shards_of, ["k", "block"], "left")
-    inside = Window.partitionBy("k", "block").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k", "block").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead_in = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    got = got.withColumn("second", F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("part", F.lit(0)) - ahead_in)).cast("long")).withColumn("first", F.when(F.col("passes") > 0, F.col("size") * F.least("passes", F.lit(2))).otherwise(0).cast("long"))
-    return got.select("doc_id", "source", "size", "source_size", "target", "block", "first", "second", "first_shard", "second_shard")
+    got = got.withColumn("second", F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("given", F.lit(0)) - ahead_in)).cast("long")).withColumn("first", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long"))
+    return got.select("row", "order", "size", "source_size", "target", "block", "first", "second", "first_shard", "second_shard")
 
 
 def mix(planned: DataFrame, seed: int = 17) -> DataFrame:
-    """The mix itself: shard, position in the shard's own shuffle, doc_id and the words taken (the first `words` of the document), one row for each taking."""
-    takes = planned.select("doc_id", F.explode(F.array(F.struct(F.lit(1).alias("pass"), F.col("first_shard").alias("shard"), F.col("first").alias("words")), F.struct(F.lit(2).alias("pass"), F.col("second_shard").alias("shard"), F.col("second").alias("words")))).alias("t")).select("doc_id", "t.*").where("words > 0")
-    return takes.withColumn("position", F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "pass", F.lit(seed)), "doc_id")) - 1)
+    """The mix itself: shard, place (by which the shard is shuffled), row, size and words (the first `words` of the row's `size` are taken), one row for each taking of words. Shards are disjoint; each is one sorted run of a partition."""
+    size = F.greatest("size", F.lit(1))
+    one = lambda p, shard, words: F.struct(F.lit(p).alias("pass"), F.col(shard).alias("shard"), words.alias("words"))
+    full = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("first") / size).cast("int"))), lambda p: F.struct(p.alias("pass"), F.col("first_shard").alias("shard"), F.when(F.col("first") > 0, F.col("size")).otherwise(0).cast("long").alias("words")))
+    takes = planned.select("row", "order", "size", F.explode(F.concat(full, F.array(one(0, "second_shard", F.col("second"))))).alias("t")).select("row", "order", "size", "t.*").where("words > 0")
+    placed = takes.withColumn("place", F.xxhash64("order", "pass", F.lit(seed)))
+    return placed.repartition("shard").sortWithinPartitions("shard", "place").select("shard", "place", "row", "size", "words")

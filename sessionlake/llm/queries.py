@@ -21,7 +21,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "block", "first_shard", "second_shard")
+    return planned.select("row.doc_id", "size", "source_size", "target", (F.col("first") + F.col("second")).alias("taken"), "block", "first_shard", "second_shard")
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,8 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, cha
     return train(labelled_sample(docs, labels, "toxic", learn, rows, chars, seed))
 
 
-def score(docs: DataFrame, bag: Bag, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep`, the probability that the whole text is toxic, and `offending`: start, length (code points) and probability of the sentences that reach one half. Null and empty texts score 0 and have none; repeated rows get equal results; an empty table gives an empty table."""
+def score(docs: DataFrame, bag: Bag, keep: list[str], name: str = "score", spans: str | None = "offending") -> DataFrame:
+    """The columns `keep`, the probability `name` that the whole text is toxic, and `spans` (None: left out): start, length (code points) and probability of the sentences that reach one half. Texts of any length are read whole; null and empty ones score 0 and have no spans; ties and repeated rows get equal results; an empty table gives an empty table; `name` and `spans` must not be among `keep`, other columns may have any name."""
     kept = docs.select(*keep)
     names = list(kept.columns)
     shared = docs.sparkSession.sparkContext.broadcast(bag)
@@ -120,9 +120,9 @@ def score(docs: DataFrame, bag: Bag, keep: list[str], name: str = "score") -> Da
         model = shared.value
         for b in slices(batches):
             got = [model.score(t or "") for t in b.column(len(names)).to_pylist()]
-            spans = [[{"start": a, "length": z - a, "score": p} for a, z, p in s] for _, s in got]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([p for p, _ in got], pa.float64()), pa.array(spans, span)], names=[*names, name, "offending"])
+            where = [] if spans is None else [pa.array([[{"start": a, "length": z - a, "score": p} for a, z, p in s] for _, s in got], span)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([p for p, _ in got], pa.float64()), *where], names=[*names, name, *([spans] if where else [])])
 
     source = docs.select(*keep, F.col("text").alias("__text"))
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("score", T.DoubleType())]))
-    return source.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType()), T.StructField("offending", spans)]))
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType()), *([] if spans is None else [T.StructField(spans, kind)])]))

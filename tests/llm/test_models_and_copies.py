@@ -262,9 +262,75 @@ def test_near_duplicates(make, odd, monkeypatch):
             least[c] = min(least.get(c, 10**9), rows[i][0])
     assert Counter((r.doc_id, r.f, r.component_id) for r in got) == Counter((rows[i][0], f"{prints[i]:016x}", least.get(comp[i])) for i in range(len(rows)))
     assert len(set(comp)) < len(rows) - 100
-    kept = simhash.keep_one(docs).collect()
-    assert Counter(r.doc_id for r in kept) == Counter([*least.values(), None])
-    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def brute_sets(rows, k=5):
+    out = []
+    for text in rows:
+        words = (text or "").lower().split()
+        out.append({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} or ({" ".join(words)} if words else set()))
+    return out
+
+
+def brute_groups(sets, least=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and len(a & b) >= least * len(a | b)):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("group", [20_000, 40])
+def test_similar_groups_and_keep_one(make, odd, group):
+    """Against all pairs by exact Jaccard; with groups of 40, large views are cut into parts."""
+    rng = np.random.default_rng(8)
+    rows = list(odd)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    for i in range(60):
+        words = rng.choice(vocabulary, int(rng.integers(30, 400))).tolist()
+        rows.append((1000 - 5 * i, " ".join(words)))
+        for c in range(4):
+            words[int(rng.integers(len(words)))] = "new"
+            rows.append((1000 - 5 * i - 1 - c, "  ".join(words).upper()))
+    family = rng.choice(vocabulary, 200).tolist()
+    for i in range(150):  # one large group of near copies
+        words = list(family)
+        for _ in range(int(rng.integers(1, 4))):
+            words[int(rng.integers(200))] = f"x{i}"
+        rows.append((2000 + i, " ".join(words)))
+    rows += [(50, "alpha beta gamma delta"), (50, "z z z"), (None, "another keyless text"), (None, "one more of them")]
+    docs = make(rows)
+    sets = brute_sets([r[1] for r in rows])
+    comp = brute_groups(sets)
+    found = {(r.doc_id, r.h1): r.component for r in simhash.similar_groups(docs, group=group).collect()}
+    hashes = docs.select("doc_id", simhash.text_hash()[0]).collect()
+    got = [found[r.doc_id, r.h1] for r in hashes]
+    assert len(set(zip(got, comp))) == len(set(comp)) == len(set(got))
+    kept = simhash.keep_one(docs, group=group)
+    assert kept.columns == docs.columns
+    texts = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    want = {}
+    for r, c in zip(rows, comp, strict=True):
+        want.setdefault(c, []).append((r[0] is None, r[0] or 0))
+    assert Counter(d for d, _ in texts.elements()) == Counter(None if min(v)[0] else min(v)[1] for v in want.values())
+    assert max(texts.values()) == 1 and texts[50, "z z z"] == texts[50, "alpha beta gamma delta"] == 1
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_hot_nodes(spark):
+    """Stars of many leaves, chained: nodes over the limit take the broadcast."""
+    edges = [(0, i) for i in range(1, 400)] + [(399, 1000 + i) for i in range(400)] + [(5000, 5001)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in (*range(1, 400), *range(1000, 1400))}, 5001: 5000}
 
 
 def test_long_chain(spark):
@@ -292,7 +358,7 @@ def test_pipeline(spark, tables):
     assert sum(i in kept for i, t in truth.items() if t.quality == 0) < 0.2 * sum(t.quality == 0 for t in truth.values())
     assert {r.doc_id for r in clean.collect()} <= kept <= ids
     rows = clean.collect()
-    comp = brute_components([brute_print(r.text) for r in rows])
+    comp = brute_groups(brute_sets([r.text for r in rows]))
     least = {}
     for r, c in zip(rows, comp, strict=True):
         least[c] = min(least.get(c, r.doc_id), r.doc_id)
@@ -307,3 +373,28 @@ def test_pipeline(spark, tables):
     assert Counter(r.doc_id for r in packed.where("piece = 0").collect()) == Counter(r.doc_id for r in mixed.collect())
     run = corpus_pipeline.run(spark, str(DATA))
     assert sorted(run.select("doc_id", "piece", "ids_crc32").collect()) == sorted(packed.select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, make, odd):
+    """Every stage takes nulls, empty and long texts, repeated rows and keys, an empty table, and columns whose names clash."""
+    odd = [*odd, (9, "same key, one text of some words"), (9, "same key and quite another text here"), (None, "no key, more words than before")]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "offending", "score", "block", "size", "row", "key", "c", "__score", "same key"]
+    docs = make(odd).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit("x").alias(n) for n in names[5:]))
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(DATA))
+        rows = got.collect()
+        assert stage(spark, docs.limit(0), str(DATA)).count() == 0
+        if name == "packing":
+            assert sum(r.piece == 0 for r in rows) == len(odd)
+            continue
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        keys = Counter((r.doc_id, r.text) for r in rows)
+        if name == "toxicity":
+            assert sum(keys.values()) == len(odd)
+        elif name == "near_duplicates":
+            assert keys[9, odd[-3][1]] == keys[9, odd[-2][1]] == keys[None, "no key here"] == keys[None, odd[-1][1]] == 1 and keys[1, "a b c d e f"] == 1
+        elif name == "mixing":
+            # one source: its target is one and a half times its words, of which each row gives at most twice its own
+            total = sum(len((t or "").split()) for _, t, *_ in odd)
+            assert sum(len(r.text.split()) for r in rows) == pytest.approx(1.5 * total, abs=1)
+            assert {d for d, _ in keys} >= {d for d, t, *_ in odd if t and t.split()} and all(r.n_chars == len(r.text) for r in rows)
