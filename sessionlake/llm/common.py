@@ -33,6 +33,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like staged(), but dealt into buckets of the key, so that a later grouping by it reads the table without a shuffle."""
+    spark = df.sparkSession
+    table = f"{name}-{uuid.uuid4().hex}".replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def crc_mod(column: str, k: int) -> Column:
     """crc32 of a key as text, modulo k; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(k))

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import slices, staged
+from sessionlake.llm.common import bucketed, slices, staged
 
 #: Codes are -log10(p) in steps of 1 / STEP, up to 16.
 STEP = 4095
@@ -67,57 +67,87 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Positions of the k-th set bits (from 0) of big-endian 64-bit words; before: set bits ahead of each word."""
+    at = np.searchsorted(before, k, "right") - 1
+    x, r = words[at].astype(np.uint64), (k - before[at]).astype(np.uint64)
+    out = np.zeros(len(k), np.uint64)
+    for half in (32, 16, 8, 4, 2, 1):
+        # the upper half of what is left, then the side that holds the bit
+        high = x >> np.uint64(64 - half)
+        n = np.bitwise_count(high).astype(np.uint64)
+        right = r >= n
+        r = np.where(right, r - n, r)
+        out += np.where(right, np.uint64(half), np.uint64(0))
+        x = np.where(right, x << np.uint64(half), x)
+    return at * 64 + out.astype(np.int64)
+
+
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits as unary gaps."""
+    """A monotone sequence: low bits packed, high bits as unary gaps. Values are read and searched in bulk where they lie; only bit counts by 64-bit word are kept beside them."""
 
     def __init__(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None, n: int = 0, bits: int = 0):
         if low is None:
             v = values.astype(np.uint64)
             n = len(v)
-            bits = max(0, int((int(v[-1]) + 1) // n).bit_length() - 1) if n else 0
+            bits = min(56, max(0, int((int(v[-1]) + 1) // n).bit_length() - 1)) if n else 0
             low = self.bit_rows(v, bits)
-            unary = np.zeros((n + (int(v[-1]) >> bits) + 1) if n else 0, np.uint8)
+            unary = np.zeros(-(-(n + (int(v[-1]) >> bits) + 1) // 64) * 64 if n else 0, np.uint8)
             unary[(v >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
             high = np.packbits(unary)
         self.low, self.high, self.n, self.bits = low, high, n, bits
-        self.ones: np.ndarray | None = None
+        self.words = high.view(">u8")
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.ones = np.cumsum(ones) - ones
+        self.zeros = np.arange(len(ones)) * 64 - self.ones
 
     @staticmethod
     def bit_rows(v: np.ndarray, bits: int) -> np.ndarray:
-        parts = [np.packbits(((v[i : i + 65536, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)) for i in range(0, len(v), 65536)] if bits else []
-        return np.concatenate([*parts, np.zeros(0, np.uint8)])
+        """The low bits of all values, one after the other, highest bit first; 8 bytes follow, so that any value lies within 8 bytes."""
+        parts = [np.packbits(((v[i : i + 65536, None] >> np.arange(bits, dtype=np.uint64)[::-1]) & np.uint64(1)).astype(np.uint8)) for i in range(0, len(v), 65536)] if bits else []
+        return np.concatenate([*parts, np.zeros(8, np.uint8)])
 
     def lows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for b in range(self.bits):
-            at = i * self.bits + b
-            out |= ((self.low[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(np.uint64) << np.uint64(b)
-        return out
+        if not self.bits:
+            return np.zeros(len(i), np.uint64)
+        at = i * self.bits
+        eight = self.low[(at >> 3)[:, None] + np.arange(8)].view(">u8").ravel().astype(np.uint64)
+        return (eight << (at & 7).astype(np.uint64)) >> np.uint64(64 - self.bits)
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at many places."""
+        high = select(self.words, self.ones, i) - i
+        return (high << self.bits) | self.lows(i).astype(np.int64)
 
     def decode(self) -> np.ndarray:
         """All values, in order."""
-        at = np.flatnonzero(np.unpackbits(np.asarray(self.high)))[: self.n]
-        return ((at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.bits)) | self.lows(np.arange(self.n))
-
-    def __getitem__(self, i: int) -> int:
-        """One value: select over the unary bits through running counts of their bytes."""
-        if self.ones is None:
-            self.ones = np.cumsum(np.bitwise_count(np.asarray(self.high)))
-        byte = int(np.searchsorted(self.ones, i + 1))
-        before = int(self.ones[byte - 1]) if byte else 0
-        bit = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1]))[i - before]
-        return ((byte * 8 + int(bit) - i) << self.bits) | int(self.lows(np.array([i]))[0])
-
-    def find(self, value: int, lo: int = 0, hi: int | None = None) -> int:
-        """Position of the value in [lo, hi), or -1."""
-        hi = end = self.n if hi is None else hi
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self[mid] < value:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo if lo < end and self[lo] == value else -1
+        return self.get(np.arange(self.n))
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Places of many values, -1 where there is none: the high bits give the few successors to search, whose low bits are compared by halving."""
+        out = np.full(len(values), -1, np.int64)
+        if not self.n:
+            return out
+        top = int(self.get(np.array([self.n - 1]))[0])
+        on = np.flatnonzero((values >= 0) & (values <= top))
+        high = values[on] >> self.bits
+        # the h-th zero ends the run of values with high part h
+        end = select(~self.words.astype(np.uint64), self.zeros, np.maximum(high - 1, 0)) + 1 - high
+        lo = np.where(high > 0, end, 0)
+        last = int(top >> self.bits)
+        hi = np.where(high < last, select(~self.words.astype(np.uint64), self.zeros, np.minimum(high, max(last - 1, 0))) - high, self.n) if last else np.full(len(on), self.n)
+        want, stop = (values[on] & ((1 << self.bits) - 1)).astype(np.uint64), hi.copy()
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                break
+            mid = (lo[open_] + hi[open_]) // 2
+            less = self.lows(mid) < want[open_]
+            lo[open_[less]], hi[open_[~less]] = mid[less] + 1, mid[~less]
+        got = np.flatnonzero(lo < stop)
+        same = self.lows(lo[got]) == want[got]
+        out[on[got[same]]] = lo[got[same]]
+        return out
 
 
 class Trie:
@@ -185,15 +215,12 @@ class Trie:
         self.p2, self.left2, self.p3, self.left3 = (g.view(np.uint16) for g in got[10:])
 
     def score(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probabilities of many triples: levels are decoded once and searched in bulk."""
+        """log10 probabilities of many triples. Each level is searched in the mapped file, once for each different context, bigram and pair."""
         w1, w2, w3 = (x.astype(np.int64) for x in (w1, w2, w3))
 
         def find(level: EliasFano, value: np.ndarray) -> np.ndarray:
-            have = level.decode().astype(np.int64)
-            if not len(have):
-                return np.full(len(value), -1)
-            i = np.minimum(np.searchsorted(have, value), len(have) - 1)
-            return np.where(have[i] == value, i, -1)
+            distinct, at = np.unique(value, return_inverse=True)
+            return level.find(distinct)[at]
 
         out = -base.astype(np.float64) / STEP
         ctx = find(self.contexts, w2)
@@ -202,34 +229,20 @@ class Trie:
             return out
         c = ctx[on]
         out[on] -= self.left2[c] / STEP
-        row = find(self.words, c * self.span + np.minimum(w3[on], self.span - 1))
-        row = np.where((w3[on] < self.span) & (w3[on] != RARE), row, -1)
+        row = find(self.words, np.where((w3[on] < self.span) & (w3[on] != RARE), c * self.span + w3[on], -1))
         hit = row >= 0
         out[on[hit]] = -self.p2[row[hit]].astype(np.float64) / STEP
-        pair = np.where((w1[on] < self.span) & (w1[on] != RARE), find(self.pairs, c * self.span + np.minimum(w1[on], self.span - 1)), -1)
+        pair = find(self.pairs, np.where((w1[on] < self.span) & (w1[on] != RARE), c * self.span + w1[on], -1))
         two = pair >= 0
         out[on[two]] -= self.left3[pair[two]] / STEP
         both = two & hit
         # the word's place among the successors of the bigram context
-        rel = row[both] - self.pointers.decode().astype(np.int64)[c[both]]
+        rel = row[both] - self.pointers.get(c[both])
         third = find(self.thirds, pair[both] * self.reach + rel)
         seen = third >= 0
         out[on[both][seen]] = -self.p3[third[seen]].astype(np.float64) / STEP
         return out
 
-    def lookup(self, w1: int, w2: int, w3: int, base: float) -> float:
-        """The same for one triple, by searching the mapped levels without decoding them."""
-        c = self.contexts.find(w2)
-        if c < 0:
-            return -base / STEP
-        row = self.words.find(c * self.span + w3, self.pointers[c], self.pointers[c + 1]) if RARE < w3 < self.span else -1
-        pair = self.pairs.find(c * self.span + w1) if RARE < w1 < self.span else -1
-        if row >= 0 and pair >= 0:
-            third = self.thirds.find(pair * self.reach + row - self.pointers[c])
-            if third >= 0:
-                return -float(self.p3[third]) / STEP
-        return (-float(self.p2[row]) if row >= 0 else -float(self.left2[c]) - base) / STEP - (float(self.left3[pair]) / STEP if pair >= 0 else 0.0)
-
 
 def bundle(kind: int, number: int, *arrays: np.ndarray) -> bytes:
     """A message of one kind: a number and packed arrays."""
@@ -383,7 +396,7 @@ class Numbers(dict):
 
 
 def blocks_of(docs: DataFrame, learn: Column, block_bytes: int) -> DataFrame:
-    """One row for each block of texts: doc_id (list), learns (list), words (counts of words by document), tokens (numbers of all words), hashes and counts (of the word list; counts in training rows; the last entry is the end of a text)."""
+    """One row for each block of texts: doc_id (list), learns (list), words (counts of words by document), tokens (numbers of all words), hashes, tops (their upper 16 bits) and counts (of the word list; counts in training rows; the last entry is the end of a text)."""
     kind = docs.schema["doc_id"].dataType
 
     def close(ids: list, learns: list[bool], rows: list[np.ndarray], names: Numbers) -> dict:
@@ -394,11 +407,11 @@ def blocks_of(docs: DataFrame, learn: Column, block_bytes: int) -> DataFrame:
         order = np.argsort(-total, kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in names] or [], np.uint64)[order]
-        return {"doc_id": ids, "learns": learns, "words": sizes, "tokens": pack(rank[tokens]), "hashes": pack(np.append(hashes, np.uint64(xxhash.xxh3_64_intdigest(b"\n")))), "counts": pack(np.append(known[order], sum(learns)).astype(np.uint32)), "n": len(names) + 1}
+        hashes = np.append(np.array([xxhash.xxh3_64_intdigest(w) for w in names] or [], np.uint64)[order], np.uint64(xxhash.xxh3_64_intdigest(b"\n")))
+        return {"doc_id": ids, "learns": learns, "words": sizes, "tokens": pack(rank[tokens]), "hashes": pack(hashes), "tops": pack((hashes >> np.uint64(48)).astype(np.uint16)), "counts": pack(np.append(known[order], sum(learns)).astype(np.uint32)), "n": len(names) + 1}
 
-    schema = T.StructType([T.StructField("doc_id", T.ArrayType(kind)), T.StructField("learns", T.ArrayType(T.BooleanType())), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("tokens", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n", T.LongType())])
-    types = [("learns", pa.list_(pa.bool_())), ("words", pa.list_(pa.int64())), ("tokens", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())]
+    schema = T.StructType([T.StructField("doc_id", T.ArrayType(kind)), T.StructField("learns", T.ArrayType(T.BooleanType())), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("tokens", T.BinaryType()), T.StructField("hashes", T.BinaryType()), T.StructField("tops", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("n", T.LongType())])
+    types = [("learns", pa.list_(pa.bool_())), ("words", pa.list_(pa.int64())), ("tokens", pa.binary()), ("hashes", pa.binary()), ("tops", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, learns, rows, names, size, id_type = [], [], [], Numbers(), 0, None
@@ -429,14 +442,18 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
 
     The model learns from the rows where `learn` holds (null: does not). A null text is empty: its one token is the end. Repeated rows each count and are each scored; without training rows every word has the same probability; an empty table gives an empty table; columns other than doc_id and text (and those of `learn`) are ignored.
     """
-    blocks = staged(blocks_of(docs, learn, block_bytes), "lm-blocks")
+    blocks = bucketed(blocks_of(docs, learn, block_bytes), "lm-blocks", "block")
     size = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("tokens")).first()
-    word_shards, shards = max(1, -(-size.words // shard_words)), max(1, -(-size.tokens // shard_tokens))
+    word_shards, shards = min(1 << 16, max(1, -(-size.words // shard_words))), max(1, -(-size.tokens // shard_tokens))
+
+    def shard_of(top: np.ndarray) -> np.ndarray:
+        """The word shard of each word, by the upper 16 bits of its hash."""
+        return top.astype(np.int64) * word_shards >> 16
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             h, n = unpack(b.column(1)[0].as_py(), np.uint64), unpack(b.column(2)[0].as_py(), np.uint32)
-            to = (h % np.uint64(word_shards)).astype(np.int64)
+            to = shard_of(h >> np.uint64(48))
             for s in range(word_shards):
                 mine = to == s
                 if mine.any():
@@ -471,8 +488,8 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
         head = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("triples", pa.binary()), left.schema.field("doc_id"), *(pa.field(n, pa.list_(t)) for n, t in arrow)])
         if block is None:
             return head.empty_table()
-        h = unpack(left["hashes"][0].as_py(), np.uint64)
-        count, number, to = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint32), h % np.uint64(word_shards)
+        h = to = shard_of(unpack(left["tops"][0].as_py(), np.uint16))
+        count, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint32)
         for s, c, m in zip(right["shard"].to_pylist(), right["counts"].to_pylist(), right["numbers"].to_pylist(), strict=True):
             mine = to == s
             count[mine], number[mine] = unpack(c, np.uint64).astype(np.int64), unpack(m, np.uint32)
@@ -574,7 +591,8 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
         return pa.table({**info, "score": pa.array(np.asarray(total, np.float64) / STEP)})
 
     answered = answers.where("block >= 0").select("block", "shard", "counts", "numbers")
-    dealt = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(deal, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("triples", T.BinaryType()), *per_doc]))
+    kept = blocks.select("block", "doc_id", "learns", "words", "tokens", "tops")
+    dealt = kept.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(deal, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("triples", T.BinaryType()), *per_doc]))
     judged = dealt.groupBy("shard").applyInArrow(judge, T.StructType([T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType()), *per_doc]))
     rows = judged.groupBy("block").applyInArrow(gather, T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, t) for n, t in lists), T.StructField("score", T.DoubleType())]))
     return rows.select("doc_id", "learns", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -98,15 +98,49 @@ def test_trie_against_counts_and_pointwise():
     p = brute_trigram(triples, base)
     for i in range(400):
         assert got[i] == pytest.approx(math.log10(p(*triples[i])), abs=2e-3)
-        assert trie.lookup(*triples[i], float(codes[i])) == pytest.approx(got[i], abs=1e-9)
-    assert trie.lookup(5, 99, 1, 100.0) == -100 / ngram.STEP
+    unknown = (np.array([x], np.uint32) for x in (5, 99, 1, 100))
+    assert trie.score(*unknown)[0] == -100 / ngram.STEP
+
+
+def test_lm_whole_against_counts(make):
+    """Scores of whole texts, from words to sums, against a model straight from the counts of all training texts."""
+    rng = np.random.default_rng(4)
+    words = [f"w{int(k)}" for k in rng.zipf(1.4, 5000) % 400]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 12 - i % 5])) for i in range(400)] + [(400 + i, f"a common line w{i % 3}") for i in range(30)] + [(500, None)]
+    learns = {d: zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in rows}
+    tokens = {d: [*(t or "").split(), "\n"] for d, t in rows}
+    count = Counter(w for d in tokens if learns[d] for w in tokens[d])
+    n, v = sum(count.values()), len(count)
+    number = {w: i + 2 for i, w in enumerate(w for w in count if count[w] > 1)}
+    name = {i: w for w, i in number.items()}
+
+    def triples(d):
+        w = [0, 1, *(number.get(x, 0) for x in tokens[d])]
+        return list(zip(w, w[1:], w[2:], strict=False))
+
+    now = [""]
+    p = brute_trigram([t for d in tokens if learns[d] for t in triples(d)], lambda c: (count[name.get(c, now[0])] + 1) / (n + v + 1))
+    want = {}
+    for d in tokens:
+        total = 0.0
+        for (a, b, c), w in zip(triples(d), tokens[d], strict=True):
+            now[0] = w
+            total += math.log10((count[w] + 1) / (n + v + 1) if b == 0 else p(a, b, c))
+        want[d] = total
+    for shard_tokens in (700_000, 200):
+        for r in ngram.score(make(rows), crc_mod("doc_id", 7) != 2, block_bytes=3000, shard_words=100, shard_tokens=shard_tokens).collect():
+            assert r.score == pytest.approx(want[r.doc_id], abs=3e-4 * r.n_tokens)
 
 
 def test_elias_fano():
     v = np.sort(np.random.default_rng(0).integers(0, 10**9, 5000)).astype(np.uint64)
     e = ngram.EliasFano(v)
-    assert np.array_equal(e.decode(), v) and [e[i] for i in (0, 77, 4999)] == [int(v[i]) for i in (0, 77, 4999)]
-    assert e.find(int(v[123])) in np.flatnonzero(v == v[123]) and e.find(10**9 + 5) == -1
+    assert np.array_equal(e.decode(), v) and np.array_equal(e.get(np.array([0, 77, 4999])), v[[0, 77, 4999]])
+    asked = np.concatenate([v.astype(np.int64), v.astype(np.int64) + 1, [-1, 0, 10**9 + 5, 1 << 50]])
+    for values in (v, np.arange(300, dtype=np.uint64), np.full(70, 3, np.uint64), np.zeros(5, np.uint64), np.array([1 << 40], np.uint64)):
+        f, have = ngram.EliasFano(values), set(values.tolist())
+        places = f.find(asked)
+        assert all((i >= 0) == (a in have) and (i < 0 or values[i] == a) for a, i in zip(asked.tolist(), places.tolist(), strict=True))
     assert len(ngram.EliasFano(v[:0]).decode()) == 0 and len(e.low) + len(e.high) < 8 * len(v) / 2
 
 
