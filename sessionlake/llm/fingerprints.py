@@ -5,12 +5,9 @@ draws r and c from Gamma(2, 1) and b from U(0, 1), all from hashes of the word
 and the sample's number; with t = floor(ln(weight) / r + b), the word with the
 smallest ln(c) - r (t - b + 1) is the sample. Two documents draw the same
 (word, t) with a probability equal to the generalised Jaccard similarity of
-their weights, sum(min) / sum(max).
-
-Words are dealt to strata by a hash, and each stratum draws its own samples
-from its own words, so a word takes part in a share of the draws only. Totals
-by stratum stand beside the samples and weigh the strata. With one stratum it
-is the plain scheme.
+their weights, sum(min) / sum(max). As r (t - b) is ln(weight) less r times
+the fraction of ln(weight) / r + b, t itself is not computed; of one word, the
+key tells different t apart.
 
 One shuffle moves the texts: by a range of doc_id, which also brings each
 document next to its successor. All later groupings keep that partitioning.
@@ -18,31 +15,34 @@ document next to its successor. All later groupings keep that partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.llm.common import WORD
 
 
-def halves(seed: int, term: Column) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from the two halves of a hash of the term."""
-    h = F.xxhash64(F.lit(seed), term)
-    unit = lambda x: (x.cast("double") + 0.5) / F.lit(float(1 << 32))
-    return unit(F.shiftrightunsigned(h, 32)), unit(h.bitwiseAND(F.lit(0xFFFFFFFF)))
+#: ln of the product of two numbers of 25 bits is at most this.
+TOP = 50 * math.log(2)
+
+
+def product(h: Column) -> Column:
+    """The product of two numbers of 25 bits from the upper part of a hash, both moved up by one half."""
+    return (F.shiftrightunsigned(h, 39) + F.lit(0.5)) * (F.shiftrightunsigned(h, 14).bitwiseAND(F.lit((1 << 25) - 1)) + F.lit(0.5))
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """One long: the term's key in sample k in its upper 32 bits, a hash of (term, t) in its lower ones; the smallest wins."""
-    (a, b), (c, d), (beta, _) = (halves(3 * k + j, term) for j in range(3))
-    r = -F.log(a * b)
-    t = F.floor(log_weight / r + beta)
-    key = F.log(-F.log(c * d)) - r * (t.cast("double") - beta + 1)
-    # keys of any weight lie above -1020 and under ln 75
-    level = F.floor((F.greatest(key, F.lit(-1020.0)) + 1024) * F.lit(float(1 << 20)))
-    return F.shiftleft(level, 32).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """One long: the term's key in sample k in its upper bits, 32 bits of the term in its lower ones; the smallest wins. One hash gives r and b, another c."""
+    h, g = F.xxhash64(F.lit(2 * k), term), F.xxhash64(F.lit(2 * k + 1), term)
+    r = F.lit(TOP) - F.log(product(h))
+    beta = (h.bitwiseAND(F.lit((1 << 14) - 1)) + F.lit(0.5)) * F.lit(2.0**-14)
+    key = F.log(F.lit(TOP) - F.log(product(g))) - log_weight - r * (1 - F.pmod(log_weight / r + beta, F.lit(1.0)))
+    # keys of any weight lie above -1024 and under ln 35
+    return F.shiftleft(((key + 1024) * F.lit(float(1 << 20))).cast("long"), 32).bitwiseOR(term.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def ranges(docs: DataFrame, rows_per_range: int = 1000, most: int = 4096) -> list:
+def ranges(docs: DataFrame, rows_per_range: int = 1000, most: int = 65_536) -> list:
     """Cut points of doc_id that split the rows into ranges of about `rows_per_range` (or `most` ranges), as a list."""
     n = docs.count()
     parts = min(most, max(1, n // rows_per_range))
@@ -58,10 +58,11 @@ def with_next(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63))) if docs.schema["doc_id"].dataType.typeName() == "long" else F.col("doc_id")
     where = F.lit(0)
     if cuts:
-        # the number of cut points below the key: first among every 64th, then among the 64 that follow
+        # the number of cut points below the key: first among every n-th, then among the n that follow
+        n = math.isqrt(len(cuts)) + 1
         below = lambda points: F.size(F.filter(points, lambda c: c < key))
-        coarse = below(F.array(*[F.lit(c) for c in cuts[63::64]])) if len(cuts) > 63 else F.lit(0)
-        where = 64 * coarse + below(F.slice(F.array(*[F.lit(c) for c in cuts]), 64 * coarse + 1, F.lit(64)))
+        coarse = below(F.array(*[F.lit(c) for c in cuts[n - 1 :: n]])) if len(cuts) >= n else F.lit(0)
+        where = n * coarse + below(F.slice(F.array(*[F.lit(c) for c in cuts]), n * coarse + 1, F.lit(n)))
     placed = docs.withColumn("range", where.cast("int")).withColumn("__key", key)
     heads = placed.groupBy("range").agg(F.max("__key").alias("head"), F.count("*").alias("n")).orderBy(F.desc("range")).collect()  # one row for each range
     follows = {h.range: heads[i - 1].range for i, h in enumerate(heads)}  # the range before in descending order, at whose end a range's first document is the ghost
@@ -73,12 +74,12 @@ def with_next(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(w)).withColumn("place", F.row_number().over(w))
 
 
-def fingerprints(docs: DataFrame, strata: int = 4, per_stratum: int = 16, rows_per_range: int = 1000) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 32, rows_per_range: int = 1000) -> DataFrame:
     """One row for each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document. A fingerprint has, for each stratum, 8 hex digits of its total weight and 8 for each of its samples, all 0 in an empty stratum. Likeness: each stratum's collision rate j turns the two totals a and b into shared weight j (a + b) / (1 + j) and joint weight (a + b) / (1 + j); the likeness is the ratio of their sums, which for one stratum is the collision rate itself. Two texts without words are alike (1), one with and one without are not (0).
+    The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document. A fingerprint has 8 hex digits for each of its `samples`, all 0 without words. Likeness is the share of equal samples; its standard error is sqrt(j (1 - j) / samples). Two texts without words are alike (1), one with and one without are not (0).
 
-    doc_id is an integer. Null texts count as empty; a null doc_id comes after all others; repeated rows each give a row; the next of an only document is itself; an empty table gives an empty table; columns other than doc_id and text are ignored.
+    doc_id is an integer. Null texts count as empty; texts of any length are read whole; a null doc_id comes after all others, ties go by text; repeated rows each give a row; the next of an only document is itself; an empty table gives an empty table; columns other than doc_id and text are ignored.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -93,35 +94,23 @@ def fingerprints(docs: DataFrame, strata: int = 4, per_stratum: int = 16, rows_p
     texts = pairs.select("range", "place", F.explode(F.filter(items, lambda x: x["w"].isNotNull() & x["w"][0].isNotNull())).alias("x")).select("range", (8 * F.col("place") + F.col("x.which")).cast("long").alias("key"), F.explode("x.w").alias("w")).where("w <> ''")
     words = texts.select("range", "key", F.when(F.pmod("key", F.lit(8)) < 2, F.xxhash64("w")).otherwise(F.col("w").cast("long")).alias("term"))
     counted = words.groupBy("range", "key", "term").agg(F.count("*").alias("n")).withColumn("weight", F.log(F.col("n").cast("double")))
-    one = [F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(per_stratum)]
-    drawn = counted.withColumn("stratum", F.when(F.pmod("key", F.lit(8)) < 2, F.pmod(F.col("term"), F.lit(strata))).otherwise(0).cast("int")).groupBy("range", "key", "stratum").agg(F.sum("n").alias("total"), F.max("term").alias("value"), *one)
-    low = [F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(per_stratum)]
-    got = drawn.select("range", "key", "stratum", "value", F.array("total", *low).alias("s"))
-    per_text = got.groupBy("range", "key").agg(F.map_from_entries(F.collect_list(F.struct("stratum", "s"))).alias("m"), F.max("value").alias("value"))
-    none = F.array_repeat(F.lit(0).cast("long"), per_stratum + 1)
-    which = F.pmod("key", F.lit(8))
-    per_text = per_text.select("range", F.floor(F.col("key") / 8).cast("int").alias("place"), which.alias("which"), "value", F.array(*[F.coalesce(F.try_element_at("m", F.lit(i)), none) for i in range(strata)]).alias("sig"))
+    one = [F.min(sample(F.col("term"), F.col("weight"), k)).alias(f"s{k}") for k in range(samples)]
+    drawn = counted.groupBy("range", "key").agg(F.max("term").alias("value"), *one)
+    signed = drawn.select("range", F.floor(F.col("key") / 8).cast("int").alias("place"), F.pmod("key", F.lit(8)).alias("which"), "value", F.array(*[F.xxhash64(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)]).alias("sig"))
     value = lambda i: F.max(F.when(F.col("which") == i, F.col("value")))
-    empty = F.array_repeat(none, strata)
-    signature = lambda i: F.coalesce(F.max(F.when(F.col("which") == i, F.col("sig"))), empty)
-    lined = per_text.groupBy("range", "place").agg(signature(0).alias("a"), signature(1).alias("b"), value(2).alias("n_chars"), value(3).alias("doc_id"), *[value(4 + i).alias(f"q{i}") for i in range(4)])
+    signature = lambda i: F.max(F.when(F.col("which") == i, F.col("sig")))
+    lined = signed.groupBy("range", "place").agg(signature(0).alias("a"), signature(1).alias("b"), value(2).alias("n_chars"), value(3).alias("doc_id"), *[value(4 + i).alias(f"q{i}") for i in range(4)])
     by_place = Window.partitionBy("range").orderBy("place")
-    # ghosts have no edited text
-    lined = lined.withColumn("next", F.coalesce(F.lead("a").over(by_place), F.col("a"))).where("q0 is not null")
+    # ghosts have no edited text; the last row of an only range follows itself
+    following = F.lead(F.struct("a", "place")).over(by_place)
+    lined = lined.withColumn("next", F.when(following.isNull(), F.col("a")).otherwise(following["a"])).where("q0 is not null")
     lined = lined.withColumn("edited_sha256", F.lower(F.concat(*[F.lpad(F.hex(f"q{i}"), 16, "0") for i in range(4)])))
 
     def near(x: str, y: str) -> Column:
-        def part(p: Column, q: Column) -> Column:
-            same = F.size(F.filter(F.zip_with(F.slice(p, 2, per_stratum), F.slice(q, 2, per_stratum), lambda u, v: u == v), lambda e: e))
-            j = F.when((p[0] == 0) | (q[0] == 0), 0.0).otherwise(same / F.lit(float(per_stratum)))
-            joint = (p[0] + q[0]) / (1 + j)
-            return F.struct((j * joint).alias("shared"), joint.alias("joint"))
-
-        parts = F.zip_with(x, y, part)
-        add = lambda f: F.aggregate(parts, F.lit(0.0), lambda s, e: s + e[f])
-        return F.when(add("joint") == 0, F.lit(1.0)).otherwise(add("shared") / add("joint"))
+        same = F.size(F.filter(F.zip_with(x, y, lambda u, v: u == v), lambda e: e)) / F.lit(float(samples))
+        return F.when(F.col(x).isNull() & F.col(y).isNull(), 1.0).when(F.col(x).isNull() | F.col(y).isNull(), 0.0).otherwise(same)
 
     def digits(x: str) -> Column:
-        return F.array_join(F.transform(F.flatten(x), lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), "")
+        return F.coalesce(F.array_join(F.transform(x, lambda v: F.lower(F.lpad(F.hex(v), 8, "0"))), ""), F.lit("0" * 8 * samples))
 
     return lined.select("doc_id", "n_chars", "edited_sha256", digits("a").alias("fingerprint"), digits("b").alias("edited_fingerprint"), near("a", "b").alias("near_edited"), near("a", "next").alias("near_next"))
