@@ -17,9 +17,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where the session has none, as in tests on one machine, a temporary folder is made and remembered."""
+    """The folder that all executors share: spark.checkpoint.dir. Where the session has none, it is an error on a cluster; on one machine, as in tests, a temporary folder is made and remembered."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-sessionlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -64,12 +66,10 @@ def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20
             at = to
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int, seed: int) -> list[tuple[bytes, int]]:
-    """At most `rows` texts with their label, chosen by a hash of the key among the rows where `learn` holds; of a text longer than `chars`, its two ends. For fitting only: scores always read whole texts. Ties and repeated rows: a document with several labels takes the smallest; null keys, texts and labels teach nothing."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, seed: int) -> list[tuple[bytes, int]]:
+    """At most `rows` whole texts with their label, chosen by a hash of the key among the rows where `learn` holds. Ties and repeated rows: a document with several labels takes the smallest, one with several texts the smallest; null keys, texts and labels teach nothing."""
     marks = labels.select("doc_id", label).dropna().groupBy("doc_id").agg(F.min(label).alias("y"))
     ids = docs.select("doc_id").where(learn).dropna().distinct().join(marks, "doc_id")
     few = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
-    half = chars // 2
-    text = F.when(F.length("text") <= chars, F.col("text")).otherwise(F.concat(F.substring("text", 1, half), F.expr(f"right(text, {half})")))
-    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", text.alias("t"), "y").where("t is not null").groupBy("doc_id", "y").agg(F.min("t").alias("t")).collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null").groupBy("doc_id", "y").agg(F.min("text").alias("t")).collect()
     return [(r.t.encode(), int(r.y)) for r in sorted(got, key=lambda r: r.doc_id)]

@@ -49,8 +49,8 @@ class ConvNet:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(rows: list[tuple[bytes, int]], filters: int = 16, width: int = 6, epochs: int = 6, per_doc: int = 6, rate: float = 0.02, seed: int = 7) -> ConvNet:
-    """Fits by Adam on at most `per_doc` random chunks of each row. Without rows of both labels, the score is the share of label 1 (one half with no rows)."""
+def train(rows: list[tuple[bytes, int]], filters: int = 16, width: int = 6, epochs: int = 4, rate: float = 0.02, seed: int = 7) -> ConvNet:
+    """Fits by Adam on all chunks of each row. Without rows of both labels, the score is the share of label 1 (one half with no rows)."""
     rng = np.random.default_rng(seed)
     p = [rng.normal(0, 0.1, (width, 256, filters)).astype(np.float32), np.zeros(filters, np.float32), rng.normal(0, 0.1, 2 * filters).astype(np.float32), np.zeros(1, np.float32)]
     y = np.array([v for _, v in rows], np.float32)
@@ -68,17 +68,19 @@ def train(rows: list[tuple[bytes, int]], filters: int = 16, width: int = 6, epoc
             x, owner = [], []
             for k, i in enumerate(pick):
                 t = rows[i][0]
-                starts = range(0, max(1, len(t) - width + 1), BLOCK)
-                for s in starts if len(starts) <= per_doc else rng.choice(len(starts), per_doc, replace=False) * BLOCK:
+                for s in range(0, max(1, len(t) - width + 1), BLOCK):
                     x.append(np.frombuffer(t[s : s + size].ljust(size, b"\0"), np.uint8))
                     owner.append(k)
             x, owner = np.stack(x), np.array(owner)
             n = size - width + 1
-            z = p[0][0][x[:, :n]]
-            for j in range(1, width):
-                z += p[0][j][x[:, j : j + n]]
-            at = z.argmax(1)
-            top = np.take_along_axis(z, at[:, None], 1)[:, 0] + p[1]
+            at, top = np.empty((len(x), filters), np.int64), np.empty((len(x), filters), np.float32)
+            for k in range(0, len(x), 64):  # responses exist for a few chunks at a time; their maxima are all that is kept
+                part = x[k : k + 64]
+                z = p[0][0][part[:, :n]]
+                for j in range(1, width):
+                    z += p[0][j][part[:, j : j + n]]
+                at[k : k + 64] = z.argmax(1)
+                top[k : k + 64] = np.take_along_axis(z, at[k : k + 64, None], 1)[:, 0] + p[1]
             a, count = np.maximum(top, 0), np.bincount(owner, minlength=len(pick))
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
             mean, most = np.add.reduceat(a, first) / count[:, None], np.maximum.reduceat(a, first)
@@ -100,13 +102,13 @@ def train(rows: list[tuple[bytes, int]], filters: int = 16, width: int = 6, epoc
     return ConvNet(*p[:3], float(p[3][0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, chars: int = 32_768, seed: int = 5) -> ConvNet:
-    """Trains on a bounded sample of `rows` labelled documents; see labelled_sample."""
-    return train(labelled_sample(docs, labels, "quality", learn, rows, chars, seed))
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, seed: int = 5) -> ConvNet:
+    """Trains on the whole texts of a bounded sample of `rows` labelled documents; see labelled_sample."""
+    return train(labelled_sample(docs, labels, "quality", learn, rows, seed))
 
 
 def score(docs: DataFrame, net: ConvNet, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` and the probability of label 1 of each row's whole text. A null text counts as empty and gets the score of the empty text; repeated rows get equal scores; an empty table gives an empty table; other columns are left out."""
+    """The columns `keep` and the probability of label 1 of each row's whole text. A null text counts as empty and gets the score of the empty text; texts of any length are read whole, in pieces; ties and repeated rows get equal scores; an empty table gives an empty table; `name` must not be among `keep`, other columns may have any name."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     kept = docs.select(*keep)

@@ -104,9 +104,9 @@ def train(rows: list[tuple[bytes, int]], least: int = 3, strength: float = 14.0,
     return Bag({w: float(p[i]) for i, w in enumerate(names)}, float(p[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, chars: int = 32_768, seed: int = 6) -> Bag:
-    """Trains on a bounded sample of `rows` labelled documents; see labelled_sample."""
-    return train(labelled_sample(docs, labels, "toxic", learn, rows, chars, seed))
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, seed: int = 6) -> Bag:
+    """Trains on the whole texts of a bounded sample of `rows` labelled documents; see labelled_sample."""
+    return train(labelled_sample(docs, labels, "toxic", learn, rows, seed))
 
 
 def score(docs: DataFrame, bag: Bag, keep: list[str], name: str = "score", spans: str | None = "offending") -> DataFrame:
