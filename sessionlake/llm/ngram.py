@@ -17,7 +17,7 @@ with the corpus, so it is never gathered in one place:
    each block asks with its distinct n-grams and their counts, bigrams dealt by
    parts of the context's successors, trigrams by their first two words. Shards
    add up the counts of all blocks and answer with them and with the masses of
-   what is kept; each block puts the same probabilities together from these as
+   what is kept; each block, numbered again, puts the same probabilities together from these as
    a trie over the whole corpus would hold.
 
 In a trie, each level is a monotone sequence in Elias-Fano coding: contexts,
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -244,20 +245,23 @@ class Trie:
         return out
 
 
-def bundle(kind: int, number: int, *arrays: np.ndarray) -> bytes:
-    """A message of one kind: a number and packed arrays."""
-    packed = [pack(x) for x in arrays]
+def bundle(kind: int, number: int, *arrays: np.ndarray, rising: tuple[int, ...] = ()) -> bytes:
+    """A message of one kind: a number and packed arrays. Arrays at the places `rising` go as differences (modulo 2^32), which are small where they are sorted."""
+    packed = [pack(np.diff(x, prepend=x.dtype.type(0)) if i in rising else x) for i, x in enumerate(arrays)]
     return bytes([kind]) + np.array([number, *map(len, packed)], np.int64).tobytes() + b"".join(packed)
 
 
-def unbundle(data: bytes, *types: type) -> tuple[int, list[np.ndarray]]:
+def unbundle(data: bytes, *types: type, rising: tuple[int, ...] = ()) -> tuple[int, list[np.ndarray]]:
     head = np.frombuffer(data, np.int64, len(types) + 1, 1)
     ends = 9 + 8 * len(types) + np.cumsum(head[1:])
-    return int(head[0]), [unpack(data[int(z - n) : int(z)], k) for z, n, k in zip(ends, head[1:], types, strict=True)]
+    arrays = [unpack(data[int(z - n) : int(z)], k) for z, n, k in zip(ends, head[1:], types, strict=True)]
+    return int(head[0]), [np.cumsum(x, dtype=x.dtype) if i in rising else x for i, x in enumerate(arrays)]
 
 
-#: Kinds of messages: triples for a trie, sums by document, bigrams and trigrams of frequent contexts (questions and answers), and what a block keeps to put their answers together.
-TRIPLES, SUMS, BIGRAMS, TRIGRAMS, KEPT = range(5)
+#: Kinds of messages: triples for a trie, sums by document, bigrams and trigrams of frequent contexts (questions and answers).
+TRIPLES, SUMS, BIGRAMS, TRIGRAMS = range(4)
+#: Which arrays of these messages are sorted, one within the other.
+SORTED = {TRIPLES: (1, 2), BIGRAMS: (0, 1), TRIGRAMS: (0, 1)}
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:
@@ -273,8 +277,9 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def questions(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, doc: np.ndarray, learns: np.ndarray, base: np.ndarray, uses: np.ndarray, docs: int, shards: int, shard_tokens: int) -> Iterator[tuple[int, bytes]]:
-    """(shard, message) of a block's triples after frequent contexts, which have `uses` uses in training; shard -1 is the block itself. The codes `base` count for last words other than RARE."""
+def questions(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, doc: np.ndarray, learns: np.ndarray, base: np.ndarray, uses: np.ndarray, shards: int, shard_tokens: int) -> tuple[list[tuple[int, int, list[np.ndarray]]], list[np.ndarray]]:
+    """(shard, kind, arrays) of a block's triples after frequent contexts, which have `uses` uses in training, and what puts the answers together. The codes `base` count for last words other than RARE."""
+    out = []
     ctx, first, at = np.unique(w2, return_index=True, return_inverse=True)
     total = uses[first].astype(np.int64)
     parts = 1 + 2 * total // shard_tokens
@@ -305,7 +310,7 @@ def questions(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, doc: np.ndarray, l
     for s in range(shards):
         i = slice(edge[s], edge[s + 1])
         if edge[s] < edge[s + 1]:
-            yield s, bundle(BIGRAMS, s, ctx[e_ctx[i]], e_w3[i], e_n[i])
+            out.append((s, BIGRAMS, [ctx[e_ctx[i]], e_w3[i], e_n[i]]))
     # trigrams; those whose first word is RARE stand last and are not asked for
     to = np.where(w1 == RARE, shards, (mixed(w2, w1.astype(np.uint64) + np.uint64(1)) % np.uint64(shards)).astype(np.int64)).astype(np.uint32)
     order = np.lexsort((w3, w1, w2, to))
@@ -319,12 +324,10 @@ def questions(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, doc: np.ndarray, l
     for s in range(shards):
         i = t[edge[s] : edge[s + 1]]
         if len(i):
-            yield s, bundle(TRIGRAMS, s, w1[i], w2[i], w3[i], n[edge[s] : edge[s + 1]])
+            out.append((s, TRIGRAMS, [w1[i], w2[i], w3[i], n[edge[s] : edge[s + 1]]]))
     asked = t[: edge[shards]]
     pair = changes(to[asked], w2[asked], w1[asked])
-    order = np.lexsort((which, doc))
-    steps = np.diff(which[order], prepend=np.uint32(0))  # wraps around
-    yield -1, bundle(KEPT, docs, total, e_ctx.astype(np.uint32), (e_w3 == RARE).astype(np.uint8), e_base, entry[t], pair.astype(np.uint8), steps, np.bincount(doc, minlength=docs).astype(np.uint32))
+    return out, [total, e_ctx, e_w3 == RARE, e_base, entry[t], pair, which]
 
 
 def bigram_answers(asked: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
@@ -363,15 +366,14 @@ def trigram_answers(asked: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]
         yield [count_kept[t], total[p], mass[p], kinds[p]]
 
 
-def put_together(kept: bytes, bigrams: list[bytes], trigrams: list[bytes]) -> np.ndarray:
-    """Sums by document of a block's triples after frequent contexts, in steps, from what the block kept and the answers of all shards."""
+def put_together(kept: list[np.ndarray], doc: np.ndarray, docs: int, bigrams: list[bytes], trigrams: list[bytes]) -> np.ndarray:
+    """Sums by document of a block's triples after frequent contexts, in steps, from the layout of its questions and the answers of all shards."""
 
     def joined(messages: list[bytes], n: int) -> list[np.ndarray]:
         got = sorted((unbundle(m, *[np.uint64] * n) for m in messages), key=lambda x: x[0])
         return [np.concatenate([np.zeros(0, np.int64), *(g[k].astype(np.int64) for _, g in got)]) for k in range(n)]
 
-    docs, (total, ctx, lead, base, entry, pair, steps, sizes) = unbundle(kept, np.int64, np.uint32, np.uint8, np.uint16, np.uint32, np.uint8, np.uint32, np.uint32)
-    lead = lead.astype(bool)
+    total, ctx, lead, base, entry, pair, which = kept
     count, kinds = joined(bigrams, 2)
     mass = np.bincount(ctx[lead], weights=count[lead], minlength=len(total)) - DISCOUNT * np.bincount(ctx[lead], weights=kinds, minlength=len(total))
     left = 1 - mass / np.maximum(total, 1)
@@ -383,8 +385,29 @@ def put_together(kept: bytes, bigrams: list[bytes], trigrams: list[bytes]) -> np
     of = np.cumsum(pair, dtype=np.int64) - 1
     out = cost[entry]
     out[: len(of)] = np.where(count >= 2, code((count - DISCOUNT) / np.maximum(uses, 1)[of] + left[of] * prob(q2[entry[: len(of)]])), out[: len(of)] + code(left)[of])
-    which = np.cumsum(steps, dtype=np.uint32)
-    return -np.bincount(np.repeat(np.arange(docs), sizes), weights=out[which], minlength=docs).astype(np.int64)
+    return -np.bincount(doc, weights=out[which], minlength=docs).astype(np.int64)
+
+
+@dataclass
+class Block:
+    """A block's triples in global numbers, by token, and its sums by document."""
+
+    words: np.ndarray  # of each document, without the end
+    learns: np.ndarray
+    doc: np.ndarray
+    w1: np.ndarray
+    w2: np.ndarray
+    w3: np.ndarray
+    codes: np.ndarray  # of the last word's unigram probability
+    uses: np.ndarray  # of the context, in training
+    hot: np.ndarray  # after a context that is too frequent for one shard
+    known: np.ndarray
+    base: np.ndarray
+    alone: np.ndarray  # codes of what needs no shard
+
+    def questions(self, shards: int, shard_tokens: int) -> tuple[list[tuple[int, int, list[np.ndarray]]], list[np.ndarray]]:
+        h = self.hot
+        return questions(self.w1[h], self.w2[h], self.w3[h], self.doc[h], self.learns[self.doc[h]], self.codes[h], self.uses[h], shards, shard_tokens)
 
 
 class Numbers(dict):
@@ -478,32 +501,24 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
     totals = answers.agg(F.coalesce(F.sum("sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     n_train, divisor = totals.n, totals.n + totals.v + 1
     id_type = docs.schema["doc_id"].dataType
-    lists = [("learns", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType())]
-    per_doc = [T.StructField("doc_id", T.ArrayType(id_type)), *(T.StructField(n, T.ArrayType(t)) for n, t in lists)]
-    arrow = [("learns", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64())]
+    lists = [("learns", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType())]
 
-    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The triples of a block by context shard, and one row of sums by document."""
-        block = left["block"][0].as_py() if left.num_rows else None
-        head = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("triples", pa.binary()), left.schema.field("doc_id"), *(pa.field(n, pa.list_(t)) for n, t in arrow)])
-        if block is None:
-            return head.empty_table()
-        h = to = shard_of(unpack(left["tops"][0].as_py(), np.uint16))
-        count, number = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint32)
-        for s, c, m in zip(right["shard"].to_pylist(), right["counts"].to_pylist(), right["numbers"].to_pylist(), strict=True):
+    def numbered(row: pa.Table, words: list[tuple[int, bytes, bytes]]) -> Block:
+        """A block from its row and the answers of the word shards."""
+        to = shard_of(unpack(row["tops"][0].as_py(), np.uint16))
+        count, number = np.zeros(len(to), np.int64), np.zeros(len(to), np.uint32)
+        for s, c, m in words:
             mine = to == s
             count[mine], number[mine] = unpack(c, np.uint64).astype(np.int64), unpack(m, np.uint32)
-        learns, words = np.array(left["learns"][0].as_py(), bool), np.array(left["words"][0].as_py(), np.int64)
-        tokens = unpack(left["tokens"][0].as_py(), np.uint32)
+        learns, words = np.array(row["learns"][0].as_py(), bool), np.array(row["words"][0].as_py(), np.int64)
         # each document's words, then the end
         stop = np.cumsum(words + 1)
-        local = np.full(int(stop[-1]), len(h) - 1, np.int64)
+        local = np.full(int(stop[-1]), len(to) - 1, np.int64)
         inner = np.ones(len(local), bool)
         inner[stop - 1] = False
-        local[inner] = tokens
+        local[inner] = unpack(row["tokens"][0].as_py(), np.uint32)
         doc = np.repeat(np.arange(len(words), dtype=np.int32), words + 1)
         c, w3 = count[local], number[local]
-        del local, inner, tokens
         log_p = np.log10((c + 1) / divisor)
         begins = stop - words - 1
         w2 = np.concatenate([[START], w3[:-1]]).astype(np.uint32)
@@ -511,51 +526,46 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
         w1 = np.concatenate([[RARE], w2[:-1]]).astype(np.uint32)
         w1[begins] = RARE
         codes = code(10.0**log_p)
-        base = np.bincount(doc, weights=log_p, minlength=len(words))
-        del log_p
-        rows = [{"shard": block % shards, "block": block, "triples": None, "doc_id": left["doc_id"][0].as_py(), "learns": learns.tolist(), "n_tokens": (words + 1).tolist(), "n_known": np.bincount(doc, weights=c > 0, minlength=len(words)).astype(np.int64).tolist(), "base": base.tolist()}]
-        # after a rare word only the unigram counts, which needs no shard
-        alone = np.bincount(doc, weights=np.where(w2 == RARE, codes, 0), minlength=len(words))
-        # contexts too frequent for one shard are counted, the others get tries
         uses = np.concatenate([[0], c[:-1]])
         uses[begins] = count[-1]
         hot = (2 * uses >= shard_tokens) & (w2 != RARE)
-        del c
-        if hot.any():
-            alone += np.bincount(doc, weights=np.where(hot & (w3 == RARE), codes, 0), minlength=len(words))
-            asks = questions(w1[hot], w2[hot], w3[hot], doc[hot], learns[doc[hot]], codes[hot], uses[hot], len(words), shards, shard_tokens)
-            rows += [{"shard": block % shards if s < 0 else s, "block": block, "triples": m} for s, m in asks]
-        rows.append({"shard": block % shards, "block": block, "triples": bundle(SUMS, 0, -alone.astype(np.int64))})
-        del uses
-        by = (mixed(w2) % np.uint64(shards)).astype(np.uint32)
-        order = np.lexsort((w3, w2, by))
-        order = order[(w2[order] != RARE) & ~hot[order]]
+        # after a rare word only the unigram counts, and so it does for a rare word after a frequent context (to which put_together adds the rest)
+        alone = np.bincount(doc, weights=np.where((w2 == RARE) | (hot & (w3 == RARE)), codes, 0), minlength=len(words))
+        known = np.bincount(doc, weights=c > 0, minlength=len(words)).astype(np.int64)
+        return Block(words, learns, doc, w1, w2, w3, codes, uses, hot, known, np.bincount(doc, weights=log_p, minlength=len(words)), alone)
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The triples of a block by context shard."""
+        head = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("triples", pa.binary())])
+        if not left.num_rows:
+            return head.empty_table()
+        block = left["block"][0].as_py()
+        b = numbered(left, list(zip(right["shard"].to_pylist(), right["counts"].to_pylist(), right["numbers"].to_pylist(), strict=True)))
+        rows = []
+        if b.hot.any():
+            rows += [{"shard": s, "block": block, "triples": bundle(kind, s, *arrays, rising=SORTED[kind])} for s, kind, arrays in b.questions(shards, shard_tokens)[0]]
+        by = (mixed(b.w2) % np.uint64(shards)).astype(np.uint32)
+        order = np.lexsort((b.w3, b.w2, by))
+        order = order[(b.w2[order] != RARE) & ~b.hot[order]]
         edge = np.searchsorted(by[order], np.arange(shards + 1, dtype=np.uint32))
-        mark = (doc * 2 + learns[doc]).astype(np.uint32)
+        mark = (b.doc * 2 + b.learns[b.doc]).astype(np.uint32)
         for s in range(shards):
             i = order[edge[s] : edge[s + 1]]
             if len(i):
-                rows.append({"shard": s, "block": block, "triples": bundle(TRIPLES, len(words), *(x[i] for x in (w1, w2, w3, mark, codes)))})
+                rows.append({"shard": s, "block": block, "triples": bundle(TRIPLES, len(b.words), *(x[i] for x in (b.w1, b.w2, b.w3, mark, b.codes)), rising=SORTED[TRIPLES])})
         return pa.Table.from_pylist(rows, schema=head)
 
     def judge(table: pa.Table) -> pa.Table:
         """Builds the shard's trie and gives sums by document for each block, and answers questions about frequent contexts."""
-        out, parts, at, passed = [], [], [], []
+        out, parts, at = [], [], []
         asked: dict[int, list[tuple[int, int, list[np.ndarray]]]] = {BIGRAMS: [], TRIGRAMS: []}
-        for r in range(table.num_rows):
-            t = table["triples"][r].as_py()
-            passed.append(t is None or t[0] in (SUMS, KEPT))
-            if passed[-1]:
-                continue
-            block = table["block"][r].as_py()
+        for block, t in zip(table["block"].to_pylist(), table["triples"].to_pylist(), strict=True):
             if t[0] == TRIPLES:
-                docs_in, arrays = unbundle(t, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16)
+                docs_in, arrays = unbundle(t, np.uint32, np.uint32, np.uint32, np.uint32, np.uint16, rising=SORTED[TRIPLES])
                 parts.append(arrays)
                 at.append((block, docs_in))
             else:
-                asked[t[0]].append((block, *unbundle(t, *[np.uint32] * (3 if t[0] == BIGRAMS else 4))))
-        head = pa.schema([("block", pa.int64()), ("sums", pa.binary()), table.schema.field("doc_id"), *(pa.field(n, pa.list_(t)) for n, t in arrow)])
-        whole = table.filter(pa.array(passed, pa.bool_())).select(["block", "triples", *head.names[2:]]).rename_columns(head.names).cast(head)
+                asked[t[0]].append((block, *unbundle(t, *[np.uint32] * (3 if t[0] == BIGRAMS else 4), rising=SORTED[t[0]])))
         if parts:
             w1, w2, w3, mark, base = (np.concatenate(x) for x in zip(*parts, strict=True))
             sizes = [len(p[0]) for p in parts]
@@ -572,27 +582,32 @@ def score(docs: DataFrame, learn: Column, block_bytes: int = 8 << 20, shard_word
             mine = asked.pop(kind)
             if mine:
                 out += [{"block": block, "sums": bundle(kind, s, *arrays)} for (block, s, _), arrays in zip(mine, reply([x for _, _, x in mine]), strict=True)]
-        return pa.concat_tables([whole, pa.Table.from_pylist(out, schema=head)])
-
-    def gather(pdf: pa.Table) -> pa.Table:
-        """The rows of a block's documents."""
-        total, info = 0, None
-        hot: dict[int, list[bytes]] = {BIGRAMS: [], TRIGRAMS: [], KEPT: []}
-        for r in range(pdf.num_rows):
-            t = pdf["sums"][r].as_py()
-            if t is None:
-                info = {n: pdf[n][r].values for n in ("doc_id", *(n for n, _ in arrow))}
-            elif t[0] == SUMS:
-                total = total + unbundle(t, np.int64)[1][0]
-            else:
-                hot[t[0]].append(t)
-        if hot[KEPT]:
-            total = total + put_together(hot[KEPT][0], hot[BIGRAMS], hot[TRIGRAMS])
-        return pa.table({**info, "score": pa.array(np.asarray(total, np.float64) / STEP)})
+        return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("sums", pa.binary())]))
+
+    def gather(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The rows of a block's documents: it is numbered again, which costs less than to move its layout through two shuffles."""
+        kind = left.schema.field("doc_id").type.value_type
+        head = pa.schema([("doc_id", kind), ("learns", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        if not left.num_rows:
+            return head.empty_table()
+        sums = right["sums"].to_pylist()
+        b = numbered(left, [(s, c, m) for s, c, m, t in zip(right["shard"].to_pylist(), right["counts"].to_pylist(), right["numbers"].to_pylist(), sums, strict=True) if t is None])
+        got: dict[int, list[bytes]] = {SUMS: [], BIGRAMS: [], TRIGRAMS: []}
+        for t in sums:
+            if t is not None:
+                got[t[0]].append(t)
+        total = -b.alone.astype(np.int64)
+        for t in got[SUMS]:
+            total = total + unbundle(t, np.int64)[1][0]
+        if b.hot.any():
+            total = total + put_together(b.questions(shards, shard_tokens)[1], b.doc[b.hot], len(b.words), got[BIGRAMS], got[TRIGRAMS])
+        return pa.table([left["doc_id"].combine_chunks().flatten(), pa.array(b.learns), pa.array(b.words + 1), pa.array(b.known), pa.array(b.base), pa.array(total / STEP)], schema=head)
 
     answered = answers.where("block >= 0").select("block", "shard", "counts", "numbers")
     kept = blocks.select("block", "doc_id", "learns", "words", "tokens", "tops")
-    dealt = kept.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(deal, T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("triples", T.BinaryType()), *per_doc]))
-    judged = dealt.groupBy("shard").applyInArrow(judge, T.StructType([T.StructField("block", T.LongType()), T.StructField("sums", T.BinaryType()), *per_doc]))
-    rows = judged.groupBy("block").applyInArrow(gather, T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, t) for n, t in lists), T.StructField("score", T.DoubleType())]))
+    dealt = kept.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(deal, "shard int, block long, triples binary")
+    judged = dealt.groupBy("shard").applyInArrow(judge, "block long, sums binary")
+    replies = answered.withColumn("sums", F.lit(None).cast("binary")).unionByName(judged, allowMissingColumns=True)
+    again = kept.toDF(*kept.columns)
+    rows = again.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(gather, T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, t) for n, t in lists)]))
     return rows.select("doc_id", "learns", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
