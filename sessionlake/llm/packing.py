@@ -39,7 +39,7 @@ class Tokens:
     A space after a character that is no white space always starts a new pre-token, so a text's ids are those of its space-separated words, one after the other. Arrow splits a batch of texts and numbers its distinct words; only words that are not known yet meet the encoder. Ids of up to `most` words are kept in arrays that grow by doubling, and numpy puts the texts together. Added tokens of the vocabulary (the .json file beside the ranks) have ids of their own wherever they stand in a text; what stands between them is encoded on its own.
     """
 
-    def __init__(self, ranks_file: str, most: int = 1_000_000):
+    def __init__(self, ranks_file: str, most: int = 250_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_file).read_bytes().splitlines())}
         self.bpe = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         whole = Path(ranks_file).with_suffix(".json")
