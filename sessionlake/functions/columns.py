@@ -68,8 +68,10 @@ def tool_class(name: str = "name", args: str = "args_preview", source: str = "so
 
 
 def ns_of(iso: Column) -> Column:
-    """Epoch nanoseconds of an ISO-8601 text; null if it is none."""
-    return F.unix_micros(F.try_to_timestamp(iso)) * 1000
+    """Epoch nanoseconds of an ISO-8601 text, in UTC where it names no zone; null if it is none."""
+    zoned = iso.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$") & iso.rlike(r"[Tt ]")
+    day = F.when(iso.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(iso, F.lit("T00:00:00Z")))
+    return F.unix_micros(F.try_to_timestamp(F.coalesce(day, F.when(zoned, iso), F.concat(iso, F.lit("Z"))))) * 1000
 
 
 def time_of(ns: str) -> Column:
@@ -77,8 +79,8 @@ def time_of(ns: str) -> Column:
 
 
 def day_of(ns: str) -> Column:
-    """The UTC day, in a session whose time zone is UTC."""
-    return F.to_date(F.timestamp_seconds(F.expr(f"{ns} div 1000000000")))
+    """The UTC day, whatever the session's time zone."""
+    return F.expr(f"date_add(DATE'1970-01-01', CAST(({ns} - pmod({ns}, 86400000000000)) div 86400000000000 AS INT))")
 
 
 def short_hash(text: Column, length: int = 16) -> Column:

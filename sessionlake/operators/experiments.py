@@ -6,13 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import base_name, file_argument, tool_class
-from sessionlake.operators.navtime import nav_shares, nav_summary
+from sessionlake.operators.navtime import nav_shares
+
+
+EXPERIMENT = "name string, scope string, source string, start_ns long, end_ns long"
+
+
+def created(experiments: DataFrame, name: str, start_ns: int, end_ns: int | None = None, scope: str | None = None, source: str | None = None) -> DataFrame:
+    """The experiments and one more, open where it has no end. Names are unique, and a window may not end before it starts."""
+    if end_ns is not None and end_ns < start_ns:
+        raise ValueError("an experiment cannot end before it starts")
+    if not got(experiments, name).isEmpty():
+        raise ValueError(f"an experiment named {name!r} exists")
+    return experiments.unionByName(experiments.sparkSession.createDataFrame([(name, scope, source, start_ns, end_ns)], EXPERIMENT), allowMissingColumns=True)
+
+
+def stopped(experiments: DataFrame, name: str, end_ns: int) -> DataFrame:
+    """The experiments, the open one of this name ended; one that is ended keeps its end."""
+    if got(experiments, name).isEmpty():
+        raise ValueError(f"no experiment is named {name!r}")
+    return experiments.withColumn("end_ns", F.when(F.col("name") == name, F.coalesce("end_ns", F.lit(end_ns))).otherwise(F.col("end_ns")))
+
+
+def got(experiments: DataFrame, name: str) -> DataFrame:
+    return experiments.where(F.col("name") == name)
 
 
 def tagged(sessions: DataFrame, experiments: DataFrame) -> DataFrame:
-    """Sessions with `tags`: the names of the windows (name, scope, start_ns, end_ns) that hold their start, both ends included, and whose scope is null or their project. Tags are never stored, so a changed window changes them at once. Windows are few and hand-written."""
-    e = F.broadcast(experiments.select("name", "scope", "start_ns", F.coalesce("end_ns", F.lit(2**63 - 1)).alias("end_ns")))
-    hit = sessions.select("session_id", "project", "started_at_ns").join(e, F.col("started_at_ns").between(F.col("start_ns"), F.col("end_ns")) & (F.col("scope").isNull() | (F.col("scope") == F.col("project"))))
+    """Sessions with `tags`: the names of the windows (name, scope, start_ns, end_ns) that hold their start, both ends included, and whose scope and source are null or their project and source. Tags are never stored, so a changed window changes them at once. Windows are few and hand-written."""
+    of = F.col("source") if "source" in experiments.columns else F.lit(None).cast("string")
+    e = F.broadcast(experiments.select("name", "scope", of.alias("of_source"), "start_ns", F.coalesce("end_ns", F.lit(2**63 - 1)).alias("end_ns")))
+    inside = F.col("started_at_ns").between(F.col("start_ns"), F.col("end_ns")) & (F.col("scope").isNull() | (F.col("scope") == F.col("project"))) & (F.col("of_source").isNull() | (F.col("of_source") == F.col("source")))
+    hit = sessions.select("session_id", "source", "project", "started_at_ns").join(e, inside)
     tags = hit.groupBy("session_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
     return sessions.join(tags, "session_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
@@ -32,10 +57,11 @@ def retagged(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old.select("session_id", F.col("tags").alias("was")), "session_id", "left").where(~F.col("tags").eqNullSafe(F.col("was")))
 
 
-def baseline(sessions_tagged: DataFrame, name: str, start_ns: int, scope: str | None = None, days: int = 10) -> DataFrame:
-    """Top-level sessions of the same scope in the days before the window that do not belong to it."""
+def baseline(sessions_tagged: DataFrame, name: str, start_ns: int, scope: str | None = None, days: int = 10, source: str | None = None) -> DataFrame:
+    """Top-level sessions of the same scope and source in the days before the window that do not belong to it."""
     rows = sessions_tagged.where((F.col("is_subagent") == 0) & (F.col("started_at_ns") >= start_ns - days * 86_400 * 10**9) & (F.col("started_at_ns") < start_ns) & ~F.array_contains("tags", name))
-    return rows if scope is None else rows.where(F.col("project") == scope)
+    rows = rows if scope is None else rows.where(F.col("project") == scope)
+    return rows if source is None else rows.where(F.col("source") == source)
 
 
 def duplicate_reads(calls: DataFrame) -> DataFrame:
@@ -49,8 +75,11 @@ def read_used(calls: DataFrame, contents: DataFrame) -> DataFrame:
     named = calls.where(F.col("name").isin("Read", "Edit", "Write", "NotebookEdit")).select("session_id", "name", file_argument().alias("path")).where(F.col("path").isNotNull() & ~F.col("path").contains("_docnav"))
     reads = named.where("name = 'Read'").select("session_id", "path").distinct()
     edits = named.where("name <> 'Read'").select("session_id", "path").distinct().withColumn("edited", F.lit(1))
-    said = contents.where("kind = 'assistant_message'").select("session_id", "text")
-    cited = reads.join(said, "session_id").where(F.contains("text", base_name("path"))).select("session_id", "path").distinct().withColumn("cited", F.lit(1))
+    # each message meets the base names of its session once, and leaves those that it holds
+    named_files = reads.select("session_id", base_name("path").alias("base")).distinct()
+    said = contents.where("kind = 'assistant_message'").select("session_id", "text").join(named_files.groupBy("session_id").agg(F.collect_set("base").alias("bases")), "session_id")
+    held = said.select("session_id", F.explode(F.filter("bases", lambda b: F.contains("text", b))).alias("base")).distinct().withColumn("cited", F.lit(1))
+    cited = reads.withColumn("base", base_name("path")).join(held, ["session_id", "base"]).select("session_id", "path", "cited")
     used = reads.join(edits, ["session_id", "path"], "left").join(cited, ["session_id", "path"], "left")
     return used.groupBy("session_id").agg(F.count("*").alias("reads"), F.sum(F.greatest(F.coalesce("edited", F.lit(0)), F.coalesce("cited", F.lit(0)))).cast("long").alias("used")).withColumn("share", F.col("used") / F.col("reads"))
 
@@ -71,6 +100,3 @@ def compare(groups: DataFrame, turns: DataFrame, calls: DataFrame, contents: Dat
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     whole = F.col("read") + F.col("inp")
     return got.select("grp", "sessions", zero("measured"), "nav_share_median", "active_hours", "nav_hours", zero("nav_calls"), F.round(F.col("chars") / F.col("nav_calls") / 1000, 1).alias("kb_per_nav_call"), zero("duplicate_reads"), "read_used_share", F.when(whole > 0, F.round(F.col("read") / whole, 3)).alias("cache_hit"), "avg_tools")
-
-
-__all__ = ["baseline", "compare", "duplicate_reads", "listed", "members", "nav_summary", "read_used", "retagged", "tagged"]

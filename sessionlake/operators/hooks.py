@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from sessionlake.functions.columns import HOOK
 
 
+def hook_results(contents: DataFrame, calls: DataFrame) -> DataFrame:
+    """Tool results (session_id, span_id, tool_name, ts_ns, text) of the content table, with the names of their calls; null where the call is unknown."""
+    results = contents.where("kind = 'tool_result'").select("session_id", "span_id", "ts_ns", "text")
+    return results.join(calls.select("session_id", "span_id", F.col("name").alias("tool_name")).dropDuplicates(["session_id", "span_id"]), ["session_id", "span_id"], "left")
+
+
 def hook_events(results: DataFrame, calls: DataFrame, session_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Events parsed from tool results (session_id, span_id, tool_name, ts_ns, text): event, matcher, hook, message, outcome.
 
@@ -24,10 +30,14 @@ def hook_events(results: DataFrame, calls: DataFrame, session_id: str | None = N
     rows = rows.withColumn("hook", F.when(script == "", F.lit("?")).otherwise(script)).withColumn("denied", F.nullif(F.regexp_extract("message", r"you already read (\S+)", 1), F.lit("")))
     guarded = rows.where(F.col("hook").contains("reread-guard") & F.col("denied").isNotNull() & F.col("ts_ns").isNotNull())
     later = calls.where("name = 'Read' and is_error = 0").select("session_id", F.col("started_at_ns").alias("at"), "args_preview")
-    again = guarded.select("session_id", "span_id", "ts_ns", "denied").join(later, "session_id").where((F.col("at") > F.col("ts_ns")) & F.contains(F.lower("args_preview"), F.lower("denied"))).select("span_id").distinct().withColumn("again", F.lit(True))
+    # the denied paths of a session meet each later read once; only the last read of a path counts
+    denied = guarded.groupBy("session_id").agg(F.collect_set(F.lower("denied")).alias("paths"), F.min("ts_ns").alias("from_ns"))
+    read = later.join(denied, "session_id").where("at > from_ns").select("session_id", "at", F.explode(F.filter("paths", lambda p: F.contains(F.lower("args_preview"), p))).alias("path"))
+    last = read.groupBy("session_id", "path").agg(F.max("at").alias("at"))
+    again = guarded.select("session_id", "span_id", "ts_ns", F.lower("denied").alias("path")).join(last, ["session_id", "path"]).where("at > ts_ns").select("span_id").distinct().withColumn("again", F.lit(True))
     outcome = F.when(F.col("hook").contains("reread-guard") & F.col("denied").isNotNull() & F.col("ts_ns").isNotNull(), F.when(F.col("again"), "bypassed").otherwise("heeded"))
-    got = rows.join(again, "span_id", "left").select("session_id", "span_id", "ts_ns", "event", "matcher", "hook", "message", outcome.alias("outcome")).orderBy(F.desc("ts_ns"), "span_id")
-    return got if limit is None else got.limit(limit)
+    got = rows.join(again, "span_id", "left").select("session_id", "span_id", "ts_ns", "event", "matcher", "hook", "message", outcome.alias("outcome"))
+    return got if limit is None else got.orderBy(F.desc("ts_ns"), "span_id").limit(limit)
 
 
 def hook_summary(events: DataFrame) -> DataFrame:

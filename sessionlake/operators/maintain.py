@@ -58,14 +58,14 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def decide(inventory: DataFrame, state: DataFrame, quiet_s: int = 5, max_attempts: int = 3) -> DataFrame:
+def decide(inventory: DataFrame, state: DataFrame, quiet_s: int = 5, max_attempts: int | None = None) -> DataFrame:
     """What to do with each file: path, action, attempts.
 
-    vanished: known, but no longer there. active: changed within quiet_s. ingest: new, changed (attempts start again) or failed before with attempts left. unchanged: everything else, also files that were empty.
+    vanished: known, but no longer there. active: changed within quiet_s. ingest: new, changed (attempts start again) or failed before, with attempts left where `max_attempts` is set. unchanged: everything else, also files that were empty.
     """
     both = inventory.select("path", "fingerprint", "age_s").join(state.select("path", F.col("fingerprint").alias("known"), "status", "attempts"), "path", "full")
     changed = F.col("known").isNull() | (F.col("known") != F.col("fingerprint"))
-    retry = (F.col("status") == "failed") & (F.col("attempts") < max_attempts)
+    retry = (F.col("status") == "failed") & (F.lit(True) if max_attempts is None else F.col("attempts") < max_attempts)
     action: Column = F.when(F.col("fingerprint").isNull(), "vanished").when(F.col("age_s") < quiet_s, "active").when(changed | retry | (F.col("status") == "pending"), "ingest").otherwise("unchanged")
     attempts = F.when(action == "ingest", F.when(changed, 0).otherwise(F.col("attempts")) + 1).otherwise(F.coalesce("attempts", F.lit(0)))
     return both.select("path", action.alias("action"), attempts.cast("long").alias("attempts"))

@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import tool_class
+from sessionlake.functions.intervals import with_latest
 
 
 def nav_shares(sessions: DataFrame, turns: DataFrame, calls: DataFrame, idle_s: float = 300) -> DataFrame:
-    """session_id, project, active_s, nav_s, nav_share, generation_s, nav_calls of top-level sessions with timed cycles; longer cycles than idle_s are the user's. The calls meet the cycles by session and range, so no session is looped over."""
+    """session_id, project, active_s, nav_s, nav_share, generation_s, nav_calls of top-level sessions with timed cycles; longer cycles than idle_s are the user's. The calls find their cycles in one sort of a session."""
     top = sessions.where("is_subagent = 0").select("session_id", "source", "project")
     starts = turns.join(top, "session_id", "left_semi").select("session_id", "started_at_ns").distinct()
     w = Window.partitionBy("session_id").orderBy("started_at_ns")
     cycles = starts.select("session_id", F.col("started_at_ns").alias("b"), F.lead("started_at_ns").over(w).alias("e")).where("e is not null").withColumn("s", (F.col("e") - F.col("b")) / 1e9).where(F.col("s") <= idle_s)
     c = calls.join(top, "session_id").select("session_id", "started_at_ns", tool_class().alias("class"))
-    hit = cycles.join(c, "session_id", "left").where("class is null or (started_at_ns >= b and started_at_ns < e)")
-    per_class = hit.where("class is not null").groupBy("session_id", "b", "class").agg(F.count("*").alias("n"))
+    hit = with_latest(c, "started_at_ns", cycles, "b", "session_id", "cycle").where("started_at_ns < cycle.e")
+    per_class = hit.groupBy("session_id", F.col("cycle.b").alias("b"), "class").agg(F.count("*").alias("n"))
     shares = per_class.withColumn("k", F.sum("n").over(Window.partitionBy("session_id", "b")))
     timed = cycles.join(shares, ["session_id", "b"], "left").select("session_id", F.coalesce("class", F.lit("generation")).alias("class"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), F.col("s")).otherwise(F.col("s") * F.col("n") / F.col("k")).alias("s"))
     part = lambda name: F.coalesce(F.sum(F.when(F.col("class") == name, F.col("s"))), F.lit(0.0))

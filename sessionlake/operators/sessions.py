@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlake.functions.intervals import with_latest
 from sessionlake.functions.columns import ratio, tool_kind, tool_vendor
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
@@ -151,15 +152,15 @@ def prompts(contents: DataFrame, turns: DataFrame, calls: DataFrame, cut: int =
     said = contents.where("kind = 'user_message' and ts_ns is not null and text <> '' and not startswith(text, '<')")
     first = last_wins(said, ["session_id", "ts_ns"], -F.col("seq"))
     w = Window.partitionBy("session_id").orderBy("ts_ns")
-    spans = first.select("session_id", F.col("ts_ns").alias("from_ns"), F.lead("ts_ns").over(w).alias("to_ns"), F.row_number().over(w).alias("prompt"), F.substring("text", 1, cut).alias("text"))
-    inside = (F.col("started_at_ns") >= F.col("from_ns")) & (F.col("to_ns").isNull() | (F.col("started_at_ns") < F.col("to_ns")))
-    bounds = spans.select("session_id", "prompt", "from_ns", "to_ns")
+    spans = first.select("session_id", F.col("ts_ns").alias("from_ns"), F.row_number().over(w).alias("prompt"), F.substring("text", 1, cut).alias("text"))
+    begins = spans.select("session_id", "prompt", "from_ns")
+    led = lambda rows: with_latest(rows, "started_at_ns", begins, "from_ns", "session_id", "led").where("led is not null").withColumn("prompt", F.col("led.prompt"))
     sums = [c for c in (*TOKENS, "thinking_chars") if c in turns.columns]
-    t = turns.join(bounds, "session_id").where(inside).groupBy("session_id", "prompt").agg(F.count("*").alias("turns"), F.max("ended_at_ns").alias("end_ns"), *[F.sum(c).cast("long").alias(c) for c in sums])
-    c = calls.join(bounds, "session_id").where(inside).groupBy("session_id", "prompt").agg(F.count("*").alias("tool_calls"))
+    t = led(turns).groupBy("session_id", "prompt").agg(F.count("*").alias("turns"), F.max("ended_at_ns").alias("end_ns"), *[F.sum(c).cast("long").alias(c) for c in sums])
+    c = led(calls).groupBy("session_id", "prompt").agg(F.count("*").alias("tool_calls"))
     got = spans.join(t, ["session_id", "prompt"], "left").join(c, ["session_id", "prompt"], "left")
     zero = {x: F.coalesce(x, F.lit(0)).cast("long") for x in ("turns", "tool_calls", *sums)}
-    return got.withColumns(zero).withColumn("duration_ms", F.coalesce(F.expr("(end_ns - from_ns) div 1000000"), F.lit(0)).cast("long")).drop("to_ns", "end_ns")
+    return got.withColumns(zero).withColumn("duration_ms", F.coalesce(F.expr("(end_ns - from_ns) div 1000000"), F.lit(0)).cast("long")).drop("end_ns")
 
 
 def is_stale(version: int) -> Column:
@@ -168,4 +169,4 @@ def is_stale(version: int) -> Column:
 
 
 def stale_sessions(sessions: DataFrame, version: int) -> DataFrame:
-    return sessions.where(is_stale(version)).orderBy(F.desc("started_at_ns"), "session_id")
+    return sessions.where(is_stale(version))
