@@ -145,9 +145,23 @@ class Lake:
             if (df := self.read(table)) is not None:
                 df.createOrReplaceTempView(table)
 
+    def reads_only(self, text: str) -> bool:
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        if plan.getClass().getSimpleName().startswith(("Explain", "Show", "Describe")):
+            return True
+        command = self.spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+        nodes = [plan]
+        while nodes:
+            node = nodes.pop()
+            if command.isInstance(node) or node.getClass().getSimpleName().startswith("Insert"):
+                return False
+            below = node.children()
+            nodes += [below.apply(i) for i in range(below.size())]
+        return True
+
     def sql(self, text: str, limit: int = 1000) -> DataFrame:
-        """A read-only query over the views, of at most `limit` rows."""
-        if text.strip().split(None, 1)[0].upper() not in ("SELECT", "WITH", "EXPLAIN", "SHOW", "DESCRIBE"):
+        """A read-only query over the views, of at most `limit` rows. The parsed statement decides: nothing in it may be a command or an insert, but for the ones that only tell about tables and plans."""
+        if not self.reads_only(text):
             raise ValueError("only queries are allowed")
         self.views()
         return self.spark.sql(text).limit(limit)

@@ -15,8 +15,8 @@ from sessionlake.sources.lake import Lake
 from sessionlake.sources.scan import events, identity, inventory, lines, stem
 
 
-def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], quiet_s: int = 5, max_attempts: int = 3, now_ns: int | None = None, dry_run: bool = False) -> DataFrame:
-    """One pass over the roots: decides for each file, captures the raw lines of those to ingest, and replaces their sessions. Returns path, action, attempts and outcome (ingested, empty or null).
+def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], quiet_s: int = 5, max_attempts: int | None = None, now_ns: int | None = None, dry_run: bool = False) -> DataFrame:
+    """One pass over the roots: decides for each file, captures the raw lines of those to ingest, and replaces their sessions. Returns path, action, attempts and outcome (ingested, empty, failed or null).
 
     Change detection comes from fingerprints against the stored state, so a file that was rewritten is read again as a whole, which a file stream would not do. A pass may be repeated at any time: ids are deterministic and sessions are replaced.
     """
@@ -35,11 +35,14 @@ def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str],
     rows = lines(spark, roots).join(F.broadcast(chosen), "file", "left_semi")
     lake.capture(rows, source, now_ns)
     made = assemble.tables(source, events(rows), now_ns)
+    # a session whose id another source has is left out; its file failed and is tried again
+    rejected = lake.pinned(lake.collisions(made["sessions"]).select(F.col("file_path").alias("path")).distinct().withColumn("rejected", F.lit(True)))
     lake.replace(made)
     have = lake.read("sessions")
     ingested = made["sessions"] if have is None else have.where(F.col("ingested_at_ns") == now_ns)
     ingested = ingested.select(F.col("file_path").alias("path")).distinct().withColumn("made", F.lit(True))
-    done = decided.join(ingested, "path", "left").withColumn("outcome", F.when(F.col("action") == "ingest", F.when(F.col("made"), "ingested").otherwise("empty"))).drop("made")
+    outcome = F.when(F.col("rejected"), "failed").when(F.col("made"), "ingested").otherwise("empty")
+    done = decided.join(ingested, "path", "left").join(rejected, "path", "left").withColumn("outcome", F.when(F.col("action") == "ingest", outcome)).drop("made", "rejected")
     outcomes = done.where("outcome is not null").select("path", F.col("outcome").alias("o"), F.col("attempts").alias("a"))
     after = lake.observe(known.where(F.col("age_s") >= quiet_s), now_ns).join(outcomes, "path", "left")
     lake.save_state(after.select("path", "fingerprint", F.coalesce("o", "status").alias("status"), F.coalesce("a", "attempts").alias("attempts"), "seen_ns"))

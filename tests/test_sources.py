@@ -140,8 +140,24 @@ def test_lake_twice_is_once_and_rewrites_replace(spark, tmp_path):
     assert other.count() == 0 and lake.collisions(clash).count() == 2
     lake.delete_sessions(lake.read("sessions").where("session_id = 's1'").select("session_id", "source"))
     assert lake.read("sessions").count() == 1 and lake.sql("select count(*) as n from sessions").first().n == 1
-    with pytest.raises(ValueError):
-        lake.sql("drop table sessions")
+    for text in ("drop table sessions", "with x as (select 1 as a) insert into t select * from x", "insert into t values (1)", "create table t as select 1"):
+        with pytest.raises(ValueError):
+            lake.sql(text)
+    assert lake.reads_only("with x as (select 1 as a) select * from x") and lake.reads_only("explain select 1") and lake.reads_only("show tables")
+
+
+def test_collided_session_fails_and_is_tried_again(spark, tmp_path):
+    src, lake = tmp_path / "in", Lake(spark, str(tmp_path / "lake"), buckets=2)
+    write(src / "s1.jsonl", CLI)
+    made = assemble.tables("claude-code", events(lines(spark, [str(src)])))
+    lake.replace({t: df.withColumn("source", F.lit("other")) if "source" in df.columns else df for t, df in made.items()})
+    write(src / "s2.jsonl", CLI[:2])
+    later = 4_000_000_000 * 10**9
+    for k in range(2):
+        got = {r.path.rsplit("/", 1)[1]: (r.action, r.attempts, r.outcome) for r in one_pass(spark, lake, "claude-code", [str(src)], now_ns=later + k).collect()}
+        assert got["s1.jsonl"] == ("ingest", k + 1, "failed")
+        assert got["s2.jsonl"] == (("ingest", 1, "ingested") if k == 0 else ("unchanged", 1, None))
+    assert {(r.session_id, r.source) for r in lake.read("sessions").collect()} == {("s1", "other"), ("s2", "claude-code")}
 
 
 def test_stream(spark, tmp_path):
