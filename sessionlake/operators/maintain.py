@@ -76,11 +76,12 @@ def summary(decisions: DataFrame) -> DataFrame:
 
 
 def rebuild_plan(sessions: DataFrame, inventory: DataFrame, versions: DataFrame, version: int) -> DataFrame:
-    """Where each stale session's lines come from: its original file, else its newest raw version, else nowhere."""
-    stale = sessions.where(is_stale(version)).select("session_id", "source", "file_path")
+    """Where each stale session's lines come from: its original file, else its newest raw version, else nowhere. Raw versions are known by the file's stem (raw_id), which some sources' session ids differ from; a session without a file by its id."""
+    name = F.regexp_extract("file_path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    stale = sessions.where(is_stale(version)).select("session_id", "source", "file_path", F.when(name != "", name).otherwise(F.col("session_id")).alias("raw_id"))
     there = inventory.select(F.col("path").alias("file_path"), F.lit(True).alias("on_disk"))
-    raw = latest_versions(versions).select("source", "session_id", "sha256")
-    got = stale.join(there, "file_path", "left").join(raw, ["source", "session_id"], "left")
+    raw = latest_versions(versions).select("source", F.col("session_id").alias("raw_id"), "sha256")
+    got = stale.join(there, "file_path", "left").join(raw, ["source", "raw_id"], "left")
     return got.withColumn("origin", F.when(F.col("on_disk"), "from_original").when(F.col("sha256").isNotNull(), "from_archive").otherwise("missing_raw")).drop("on_disk")
 
 

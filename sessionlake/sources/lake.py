@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.functions.columns import day_of
+from sessionlake.operators.maintain import expired, retention_report
+
 TABLES = ("turns", "tool_calls", "contents", "sessions")  # sessions last: children of a session that is half written stay unseen
 
 
+def checksum() -> Column:
+    """The hash of a version's lines, by number and value, as an aggregate that takes them in any order."""
+    sums = [F.sum(F.xxhash64(*seed, "line_no", "value").cast("decimal(38,0)")).cast("string") for seed in ([], [F.lit(1)])]
+    return F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), sums[0], F.lit(":"), sums[1]), 256)
+
+
 class Lake:
-    """Folders under a root that all executors can reach. Tables are partitioned by source and by a bucket of the session."""
+    """Folders under a root that all executors can reach. Session tables are partitioned by source and by a bucket of the session, raw ones by source and by the UTC day of capture, so that retention drops days."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.work: list[str] = []
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -41,34 +52,77 @@ class Lake:
     # raw
 
     def capture(self, lines: DataFrame, source: str, now_ns: int) -> DataFrame:
-        """Keeps the lines (session_id, line_no, value) of versions that are not there yet, before anything is parsed; returns the new versions. A version is known by source, session and the hash of its lines, so capturing twice adds nothing, and lines that were lost are captured again."""
-        made = lines.groupBy("session_id").agg(F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), F.sum(F.xxhash64("line_no", "value").cast("decimal(38,0)")).cast("string"), F.lit(":"), F.sum(F.xxhash64(F.lit(1), "line_no", "value").cast("decimal(38,0)")).cast("string")), 256).alias("sha256"), F.sum(F.octet_length("value") + 1).cast("long").alias("size_bytes"))
-        made = made.withColumn("source", F.lit(source)).withColumn("captured_at_ns", F.lit(now_ns).cast("long"))
-        known, kept = self.read("raw_versions"), self.read("raw_lines")
-        if known is not None and kept is not None:
-            whole = known.join(kept.select("source", "session_id", "sha256").distinct(), ["source", "session_id", "sha256"], "left_semi")
-            made = made.join(whole, ["source", "session_id", "sha256"], "left_anti")
-        made = self.pinned(made)  # what follows must not see itself
-        rows = lines.select("session_id", "line_no", "value").join(made.select("session_id", "sha256", "source"), "session_id")
-        rows.write.mode("append").partitionBy("source").parquet(self.path("raw_lines"))
-        made.write.mode("append").partitionBy("source").parquet(self.path("raw_versions"))
+        """Keeps the lines (session_id, line_no, value) of versions that are not there yet, before anything is parsed; returns the new versions. A version is known by source, session and the hash of its lines, so capturing twice adds nothing, and lines that were lost are captured again. Kept lines are looked at only on the days of versions that come again."""
+        made = lines.groupBy("session_id").agg(checksum().alias("sha256"), F.sum(F.octet_length("value") + 1).cast("long").alias("size_bytes"))
+        made = self.pinned(made.withColumn("source", F.lit(source)).withColumn("captured_at_ns", F.lit(now_ns).cast("long")).withColumn("day", day_of("captured_at_ns").cast("string")))
+        key = ["source", "session_id", "sha256"]
+        known = self.read("raw_versions")
+        if known is not None:
+            again = self.pinned(known.join(made.select(key), key, "left_semi").select(*key, F.col("day").cast("string").alias("day")))
+            kept = None if again.isEmpty() else self.read("raw_lines")
+            if kept is not None:
+                whole = again.join(kept.select(*key, F.col("day").cast("string").alias("day")), [*key, "day"], "left_semi")
+                made = self.pinned(made.join(whole, key, "left_anti"))  # what follows must not see itself
+        rows = lines.select("session_id", "line_no", "value").join(made.select("session_id", "sha256", "source", "day"), "session_id")
+        rows.write.mode("append").partitionBy("source", "day").parquet(self.path("raw_lines"))
+        made.write.mode("append").partitionBy("source", "day").parquet(self.path("raw_versions"))
         return made
 
-    def restore(self, source: str, session_id: str, sha256: str | None = None) -> DataFrame:
-        """The lines of a version (the newest if none is named), in order."""
+    def restore(self, source: str, session_id: str, sha256: str | None = None, index: int = -1) -> DataFrame:
+        """The lines of a version, in order: the one named by its hash, else the index-th from the oldest (negative: from the newest). Raises LookupError where there is none, and ValueError where its lines no longer have its hash."""
         mine = (F.col("source") == source) & (F.col("session_id") == session_id)
-        versions = self.read("raw_versions").where(mine)
-        chosen = versions.where(F.col("sha256") == sha256) if sha256 else versions.orderBy(F.desc("captured_at_ns"), F.desc("sha256")).limit(1)
-        return self.read("raw_lines").where(mine).join(F.broadcast(chosen.select("sha256").distinct()), "sha256", "left_semi").dropDuplicates(["line_no"]).orderBy("line_no").select("line_no", "value")
+        versions = self.read("raw_versions")
+        found = [] if versions is None else versions.where(mine).orderBy("captured_at_ns", "sha256").select("sha256", F.col("day").cast("string").alias("day")).collect()
+        found = [v for v in found if sha256 in (None, v.sha256)]
+        if not -len(found) <= index < len(found):
+            raise LookupError(f"no such version of {source} {session_id}")
+        chosen, kept = found[index], self.read("raw_lines")
+        if kept is not None:
+            got = kept.where(mine & (F.col("sha256") == chosen.sha256) & (F.col("day") == F.lit(chosen.day))).dropDuplicates(["line_no"]).select("line_no", "value")
+            if got.agg(checksum().alias("h")).first().h == chosen.sha256:
+                return got.orderBy("line_no")
+        raise ValueError(f"lines of version {chosen.sha256} are damaged")
+
+    def delete_versions(self, gone: DataFrame) -> None:
+        """Rewrites the days of these raw versions (source, session_id, sha256, day) without them."""
+        gone = self.pinned(gone.select("source", "session_id", "sha256", "day"))
+        for table in ("raw_versions", "raw_lines"):  # a version that is listed has its lines
+            self.without(table, gone, ["source", "session_id", "sha256", "day"], "day")
+
+    def retain(self, policies: DataFrame, now_ns: int, dry_run: bool = False) -> DataFrame:
+        """Deletes raw versions and sessions that are older than their source's policy allows; returns what went, or would go, by tier and source."""
+        versions, sessions = self.read("raw_versions"), self.read("sessions")
+        raw = expired(versions, policies, "raw", now_ns, "captured_at_ns") if versions is not None else None
+        done = expired(sessions, policies, "analyzed", now_ns, "ended_at_ns") if sessions is not None else None
+        raw_schema, done_schema = "source string, size_bytes long, captured_at_ns long", "source string, ended_at_ns long"
+        report = retention_report(sessions if sessions is not None else self.spark.createDataFrame([], done_schema), versions if versions is not None else self.spark.createDataFrame([], raw_schema), policies, now_ns)
+        report = self.spark.createDataFrame(report.collect(), report.schema)  # a row for each tier and source
+        if not dry_run:
+            if raw is not None:
+                self.delete_versions(raw)
+            if done is not None:
+                self.delete_sessions(done)
+            self.tidy()
+        return report
 
     # sessions
 
     def pinned(self, df: DataFrame) -> DataFrame:
         """df as it is now, in a folder of its own: the tables it came from are about to change."""
         path = f"{self.path('work')}/{uuid.uuid4().hex}"
+        self.work.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def tidy(self) -> None:
+        """Deletes what this object has pinned so far; frames that read it must not be used any more."""
+        while self.work:
+            self.remove(self.work.pop())
+
+    def remove(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def collisions(self, sessions: DataFrame) -> DataFrame:
         """New sessions whose id another source already has."""
         have = self.read("sessions")
@@ -91,50 +145,55 @@ class Lake:
                 # what else lives in the touched partitions stays
                 kept = have.join(F.broadcast(touched), ["source", "bucket"], "left_semi").join(ids.select("session_id"), "session_id", "left_anti")
                 rows = rows.unionByName(kept, allowMissingColumns=True)
-            gone = self.emptied(rows, touched) if have is not None else []
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(self.path(table))
-            self.drop_partitions(table, gone)
-
-    def emptied(self, rows: DataFrame, touched: DataFrame) -> list[tuple[str, int]]:
-        """Partitions that are left without rows: an overwrite would not remove them. At most one for each source and bucket."""
-        gone = touched.join(rows.select("source", "bucket").distinct(), ["source", "bucket"], "left_anti")
-        return [(r.source, r.bucket) for r in gone.collect()]
-
-    def drop_partitions(self, table: str, parts: list[tuple[str, int]]) -> None:
-        for source, bucket in parts:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/source={source}/bucket={bucket}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self.overwrite(table, rows, touched if have is not None else None, "bucket")
+
+    def overwrite(self, table: str, rows: DataFrame, touched: DataFrame | None, part: str) -> None:
+        """Puts the rows in place of the touched partitions (source and `part`); those that get no row vanish, as an overwrite would leave them."""
+        gone = []
+        if touched is not None:  # at most one for each source and bucket or day
+            gone = touched.join(rows.select("source", part).distinct(), ["source", part], "left_anti").collect()
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", part).parquet(self.path(table))
+        for r in gone:
+            self.remove(f"{self.path(table)}/source={r.source}/{part}={r[part]}")
+
+    def without(self, table: str, gone: DataFrame, keys: Sequence[str], part: str) -> None:
+        """Rewrites the partitions of the rows in `gone` without rows of their keys."""
+        have = self.read(table)
+        if have is None:
+            return
+        touched = gone.select("source", part).distinct()
+        self.overwrite(table, have.join(touched, ["source", part], "left_semi").join(gone.select(*keys), list(keys), "left_anti"), touched, part)
 
     def delete_sessions(self, ids: DataFrame) -> None:
         """Rewrites the partitions of these sessions (session_id, source) without them."""
         ids = self.pinned(ids.select("session_id", "source", self.bucket()))
-        touched = ids.select("source", "bucket").distinct()
         for table in reversed(TABLES):
-            have = self.read(table)
-            if have is None:
-                continue
-            kept = have.join(F.broadcast(touched), ["source", "bucket"], "left_semi").join(ids.select("session_id"), "session_id", "left_anti")
-            gone = self.emptied(kept, touched)
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "bucket").parquet(self.path(table))
-            self.drop_partitions(table, gone)
+            self.without(table, ids, ["session_id"], "bucket")
 
     # ingest state and findings
 
     def observe(self, inventory: DataFrame, now_ns: int) -> DataFrame:
-        """The state of all files after seeing the inventory (path, fingerprint): new and changed files are pending with no attempts, others as they were."""
+        """The state of all files after seeing the inventory (path, fingerprint, length, modified): new and changed files are pending with no attempts, others as they were."""
         state = self.read("ingest_state")
-        seen = inventory.select("path", "fingerprint")
+        seen = inventory.select("path", "fingerprint", "length", "modified")
         if state is None:
-            return seen.select("path", "fingerprint", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(now_ns).cast("long").alias("seen_ns"))
-        both = seen.withColumnRenamed("fingerprint", "now").join(state, "path", "full")
-        changed = F.col("now").isNotNull() & (F.col("fingerprint").isNull() | (F.col("now") != F.col("fingerprint")))
-        return both.select("path", F.coalesce("now", "fingerprint").alias("fingerprint"), F.when(changed, "pending").otherwise(F.col("status")).alias("status"), F.when(changed, 0).otherwise(F.col("attempts")).cast("long").alias("attempts"), F.when(F.col("now").isNotNull(), F.lit(now_ns)).otherwise(F.col("seen_ns")).cast("long").alias("seen_ns"))
+            return seen.select("*", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(now_ns).cast("long").alias("seen_ns"))
+        both = seen.toDF("path", "now", "length_now", "modified_now").join(state, "path", "full")
+        there = F.col("now").isNotNull()
+        changed = there & (F.col("fingerprint").isNull() | (F.col("now") != F.col("fingerprint")))
+        return both.select("path", F.coalesce("now", "fingerprint").alias("fingerprint"), F.coalesce("length_now", "length").alias("length"), F.coalesce("modified_now", "modified").alias("modified"), F.when(changed, "pending").otherwise(F.col("status")).alias("status"), F.when(changed, 0).otherwise(F.col("attempts")).cast("long").alias("attempts"), F.when(there, F.lit(now_ns)).otherwise(F.col("seen_ns")).cast("long").alias("seen_ns"))
 
     def save_state(self, state: DataFrame) -> None:
         """Overwrites the state by way of a second folder, as the new state may read the old one."""
         state.write.mode("overwrite").parquet(self.path("ingest_state_next"))
         self.spark.read.parquet(self.path("ingest_state_next")).write.mode("overwrite").parquet(self.path("ingest_state"))
 
+    def log(self, rows: DataFrame, table: str, now_ns: int) -> DataFrame:
+        """Keeps the rows of a pass and returns them as kept."""
+        path = f"{self.path(table)}/pass={now_ns}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def log_findings(self, findings: DataFrame) -> None:
         """Appends one run's findings (with run_ns); the current state is an aggregate over the log."""
         findings.write.mode("append").parquet(self.path("finding_runs"))

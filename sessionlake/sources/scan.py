@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,17 +15,25 @@ MAX_LINE = 64 << 20
 
 
 def inventory(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """path, length and modified (timestamp) of all *.jsonl under the roots, each once. File contents are not read."""
+    """path, length and modified (timestamp) of all *.jsonl under the roots, each once. File contents are not read. Files of no bytes count as absent, as the reader leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(roots))
     return files.select("path", "length", F.col("modificationTime").alias("modified")).distinct()
 
 
+def plain(path: Column) -> Column:
+    """A file's path as people write it: the readers' metadata give it with escapes like %20."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def literal(path: str) -> str:
+    """A path for the readers that means this one file, whatever pattern signs it holds."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def lines(spark: SparkSession, paths: Sequence[str], max_line: int = MAX_LINE) -> DataFrame:
     """file, session_id (the file's stem), line_no (from 0, by place in the file) and value of all lines under the paths."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop.setInt("mapreduce.input.linerecordreader.line.maxlength", max_line)
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(list(paths))
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("mapreduce.input.linerecordreader.line.maxlength", max_line).text(list(paths))
+    raw = raw.select("value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
     return numbered(raw).withColumn("session_id", stem("file")).select("file", "session_id", "line_no", "value")
 
 
@@ -79,11 +88,27 @@ def probe(evs: DataFrame, source: str, head: int = 200) -> DataFrame:
     return got.withColumn("parent_session_id", F.coalesce(F.col("parent_session_id"), from_path) if "parent_session_id" in got.columns else from_path)
 
 
-def identity(spark: SparkSession, roots: Sequence[str], largest_binary: int = 1 << 30) -> DataFrame:
-    """path and fingerprint of all files. Those that a binary column can hold are known by sha256 and size; larger ones by a sum of line hashes, under a prefix of its own, as no row could hold them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(roots))
+def fingerprints(spark: SparkSession, paths: Sequence[str], largest_binary: int = 1 << 30) -> DataFrame:
+    """path and fingerprint of these files. Those that a binary column can hold are known by sha256 and size; larger ones by a sum of line hashes, under a prefix of its own, as no row could hold them."""
+    if not paths:
+        return spark.createDataFrame([], "path string, fingerprint string")
+    files = spark.read.format("binaryFile").load([literal(p) for p in paths])
     small = files.where(F.col("length") <= largest_binary).select("path", F.concat_ws(":", F.lit("sha256"), F.sha2("content", 256), F.lit("size"), F.col("length").cast("string")).alias("fingerprint"))
     large = files.where(F.col("length") > largest_binary).select("path", "length")
-    sums = lines(spark, roots).groupBy(F.col("file").alias("path")).agg(F.sum(F.xxhash64("line_no", "value").cast("decimal(38,0)")).alias("h"))
-    large = large.join(sums, "path").select("path", F.concat_ws(":", F.lit("lines"), F.col("h").cast("string"), F.lit("size"), F.col("length").cast("string")).alias("fingerprint"))
+    long_ones = [literal(r.path) for r in large.select("path").toLocalIterator()]
+    if not long_ones:
+        return small
+    sums = lines(spark, long_ones).groupBy(F.col("file").alias("path")).agg(F.sum(F.xxhash64("line_no", "value").cast("decimal(38,0)")).alias("h"))
+    large = large.join(sums, "path", "left").select("path", F.concat_ws(":", F.lit("lines"), F.col("h").cast("string"), F.lit("size"), F.col("length").cast("string")).alias("fingerprint"))
     return small.unionByName(large)
+
+
+def identity(spark: SparkSession, files: DataFrame, state: DataFrame | None, largest_binary: int = 1 << 30) -> DataFrame:
+    """The files (path, length, modified and more columns) with their fingerprint. Only files whose length or time the state does not know are read; the others keep the fingerprint it has. The paths of those to read pass through the driver, where the reader lists them anyway."""
+    if state is None:
+        known = files.withColumn("kept", F.lit(None).cast("string"))
+    else:
+        known = files.join(state.select("path", "length", "modified", F.col("fingerprint").alias("kept")), ["path", "length", "modified"], "left")
+    paths = [r.path for r in known.where("kept is null").select("path").toLocalIterator()]
+    got = known.join(fingerprints(spark, paths, largest_binary), "path", "left")
+    return got.withColumn("fingerprint", F.coalesce("kept", "fingerprint")).drop("kept")

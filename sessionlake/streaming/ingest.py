@@ -9,30 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sessionlake.operators.maintain import decide, summary
+from sessionlake.operators.maintain import decide, rebuild_plan, rebuild_report, summary
 from sessionlake.sources import assemble
 from sessionlake.sources.lake import Lake
-from sessionlake.sources.scan import events, identity, inventory, lines, stem
+from sessionlake.sources.scan import events, identity, inventory, lines, literal, plain
 
 
 def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], quiet_s: int = 5, max_attempts: int | None = None, now_ns: int | None = None, dry_run: bool = False) -> DataFrame:
     """One pass over the roots: decides for each file, captures the raw lines of those to ingest, and replaces their sessions. Returns path, action, attempts and outcome (ingested, empty, failed or null).
 
-    Change detection comes from fingerprints against the stored state, so a file that was rewritten is read again as a whole, which a file stream would not do. A pass may be repeated at any time: ids are deterministic and sessions are replaced.
+    Change detection comes from the stored state, so a file that was rewritten is read again as a whole, which a file stream would not do. Only files of another length or time than the state knows are hashed, only those to ingest are read, and files still being written are not opened. A pass may be repeated at any time: ids are deterministic and sessions are replaced.
     """
     now_ns = now_ns or time.time_ns()
-    files = inventory(spark, roots)
-    age = (F.lit(now_ns) - F.unix_micros("modified") * 1000) / 1e9
-    known = files.join(identity(spark, roots), "path").select("path", "fingerprint", age.alias("age_s"))
+    files = inventory(spark, roots).withColumn("age_s", (F.lit(now_ns) - F.unix_micros("modified") * 1000) / 1e9)
+    quiet = F.col("age_s") >= quiet_s
     before = lake.read("ingest_state")
+    known = lake.pinned(identity(spark, files.where(quiet), before).unionByName(files.where(~quiet).withColumn("fingerprint", F.lit("unread"))))
     state = before if before is not None else lake.observe(known, now_ns).limit(0)
-    log = f"{lake.path('ingest_log')}/pass={now_ns}"
-    decide(known, state, quiet_s, max_attempts).write.mode("overwrite").parquet(log)
-    decided = spark.read.parquet(log)
-    chosen = decided.where("action = 'ingest'").select(F.col("path").alias("file"))
-    if dry_run or chosen.isEmpty():
+    decided = lake.log(decide(known, state, quiet_s, max_attempts), "ingest_log", now_ns)
+    paths = [literal(r.path) for r in decided.where("action = 'ingest'").select("path").toLocalIterator()]
+    if dry_run or not paths:
+        lake.tidy()
         return decided.withColumn("outcome", F.lit(None).cast("string"))
-    rows = lines(spark, roots).join(F.broadcast(chosen), "file", "left_semi")
+    rows = lines(spark, paths)
     lake.capture(rows, source, now_ns)
     made = assemble.tables(source, events(rows), now_ns)
     # a session whose id another source has is left out; its file failed and is tried again
@@ -43,35 +42,71 @@ def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str],
     ingested = ingested.select(F.col("file_path").alias("path")).distinct().withColumn("made", F.lit(True))
     outcome = F.when(F.col("rejected"), "failed").when(F.col("made"), "ingested").otherwise("empty")
     done = decided.join(ingested, "path", "left").join(rejected, "path", "left").withColumn("outcome", F.when(F.col("action") == "ingest", outcome)).drop("made", "rejected")
+    done = lake.log(done, "ingest_outcomes", now_ns)
     outcomes = done.where("outcome is not null").select("path", F.col("outcome").alias("o"), F.col("attempts").alias("a"))
-    after = lake.observe(known.where(F.col("age_s") >= quiet_s), now_ns).join(outcomes, "path", "left")
-    lake.save_state(after.select("path", "fingerprint", F.coalesce("o", "status").alias("status"), F.coalesce("a", "attempts").alias("attempts"), "seen_ns"))
+    after = lake.observe(known.where(quiet), now_ns).join(outcomes, "path", "left")
+    lake.save_state(after.select("path", "fingerprint", "length", "modified", F.coalesce("o", "status").alias("status"), F.coalesce("a", "attempts").alias("attempts"), "seen_ns"))
+    lake.tidy()
     return done
 
 
-def passes(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], every_s: float, times: int, **options) -> list[DataFrame]:
-    """Repeated passes, each with its summary."""
+def rebuild(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], version: int = assemble.PIPELINE_VERSION, now_ns: int | None = None, dry_run: bool = False) -> DataFrame:
+    """Normalises the stale sessions of a source again, from their files where these are still under the roots, else from their newest raw version, and replaces them. Returns outcome, origin and the number of sessions. Sessions whose lines no longer give one stay as they were (yielded_nothing), as do those without lines (missing_raw); a dry run gives the planned origins with a null outcome."""
+    have, versions = lake.read("sessions"), lake.read("raw_versions")
+    if have is None:
+        return spark.createDataFrame([], "outcome string, origin string, sessions long")
+    if versions is None:
+        versions = spark.createDataFrame([], "source string, session_id string, sha256 string, captured_at_ns long, day date")
+    plan = lake.pinned(rebuild_plan(have.where(F.col("source") == source), inventory(spark, roots), versions, version))
+    if dry_run:
+        return plan.groupBy(F.lit(None).cast("string").alias("outcome"), "origin").agg(F.count("*").alias("sessions"))
+    rows = None
+    paths = [literal(r.file_path) for r in plan.where("origin = 'from_original'").select("file_path").distinct().toLocalIterator()]
+    if paths:
+        rows = lines(spark, paths)
+        lake.capture(rows, source, now_ns or time.time_ns())
+    kept = lake.read("raw_lines")
+    if kept is not None:
+        chosen = plan.where("origin = 'from_archive'").select("raw_id", "sha256", F.coalesce("file_path", "raw_id").alias("file")).distinct()
+        mine = kept.where(F.col("source") == source).select(F.col("session_id").alias("raw_id"), "sha256", "line_no", "value").dropDuplicates(["raw_id", "sha256", "line_no"])
+        old = mine.join(chosen, ["raw_id", "sha256"]).select("file", F.col("raw_id").alias("session_id"), "line_no", "value")
+        rows = old if rows is None else rows.unionByName(old)
+    made = None if rows is None else assemble.tables(source, events(lake.pinned(rows)), now_ns)
+    if made is None:
+        done = rebuild_report(plan, plan.limit(0))
+    else:
+        stale = lake.pinned(made["sessions"].join(plan.select("session_id"), "session_id", "left_semi"))
+        lake.replace({**made, "sessions": stale})
+        done = rebuild_report(plan, stale)
+    done = spark.createDataFrame(done.collect(), done.schema)  # a row for each outcome and origin
+    lake.tidy()
+    return done
+
+
+def passes(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str], every_s: float, times: int, policies: DataFrame | None = None, **options) -> list[DataFrame]:
+    """Repeated passes, each with its summary. Where policies are given, what they let expire is deleted after each pass, or none of it in a dry run."""
     out = []
     for k in range(times):
         if k:
             time.sleep(every_s)
         out.append(summary(one_pass(spark, lake, source, roots, **options)))
+        if policies is not None:
+            lake.retain(policies, options.get("now_ns") or time.time_ns(), options.get("dry_run", False))
     return out
 
 
 def stream(spark: SparkSession, lake: Lake, source: str, root: str, checkpoint: str) -> StreamingQuery:
     """New files as an availableNow stream: the sessions that a micro-batch touches are read again as whole files and replaced, so a batch that is repeated after a failure changes nothing. Rewritten files are not seen; one_pass sees them."""
-    new = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").format("text").load(root).select("value", F.col("_metadata.file_path").alias("file"))
+    new = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").format("text").load(root).select(plain(F.col("_metadata.file_path")).alias("file"))
 
     def write(batch: DataFrame, _: int) -> None:
-        files = batch.select("file").distinct()
-        if files.isEmpty():
+        paths = [literal(r.file) for r in batch.select("file").distinct().toLocalIterator()]
+        if not paths:
             return
-        rows = lines(spark, [root]).join(F.broadcast(files), "file", "left_semi")
+        rows = lines(spark, paths)
         lake.capture(rows, source, time.time_ns())
         lake.replace(assemble.tables(source, events(rows)))
+        lake.tidy()
 
     return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-__all__ = ["one_pass", "passes", "stem", "stream"]
