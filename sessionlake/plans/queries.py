@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import tool_class
 from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions
+from sessionlake.plans import transcripts
 from sessionlake.plans.fixtures import oracle, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -437,3 +438,12 @@ for _name, _query, _where in (
 ):
     QUERIES[_name] = partial(searched, _query)
     ORACLES[_name] = oracle(f"SELECT doc_id, lang FROM documents WHERE {_where}").replace("WITH \n", "")
+
+
+# transcripts through their adapters
+
+for _name, _source in (("cli", "claude-code"), ("rollout", "codex"), ("harness", "harness")):
+    QUERIES[f"{_name}_sessions"] = partial(transcripts.session_totals, source=_source)
+    ORACLES[f"{_name}_sessions"] = oracle(*transcripts.SESSIONS_SQL[_source])
+    QUERIES[f"{_name}_calls"] = partial(transcripts.calls_with_turns, source=_source)
+    ORACLES[f"{_name}_calls"] = oracle(*transcripts.CALLS_SQL[_source])
