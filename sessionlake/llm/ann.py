@@ -87,24 +87,44 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def pairs_of(p: np.ndarray, keys: np.ndarray, q: np.ndarray, visits: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) positions: for each query row and the points of the bucket it visits, the nearest `take`, by a matrix product in blocks."""
+def measured(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the pairs (q[i], p[j]), from differences and in pieces."""
+    return np.concatenate([np.sqrt(((q[i[s : s + 16384]] - p[j[s : s + 16384]]) ** 2).sum(1)) for s in range(0, len(i), 16384)] or [np.zeros(0)])
+
+
+def best_of(who: np.ndarray, d: np.ndarray, first: np.ndarray, take: int) -> np.ndarray:
+    """Positions of the `take` smallest (d, first) of each `who`."""
+    order = np.lexsort((first, d, who))
+    m = who[order]
+    return order[np.arange(len(m)) - np.searchsorted(m, m) < take]
+
+
+def pairs_of(p: np.ndarray, first: np.ndarray, keys: np.ndarray, q: np.ndarray, visits: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance): for each query row and the points of the bucket it visits, the nearest `take`, ties to the smaller `first`.
+
+    A matrix product ranks them in blocks. Every point that its rounding error could place among the nearest is measured, so ties at the edge are decided by exact distance and id.
+    """
     by, order = np.argsort(keys, kind="stable"), np.argsort(visits, kind="stable")
-    sq, out_q, out_p = (p * p).sum(1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sq, sq_q, out = (p * p).sum(1), (q * q).sum(1), []
+    slack = 4 * (p.shape[1] + 4) * np.finfo(float).eps
     ks, vs = keys[by], visits[order]
     for key in np.intersect1d(ks, vs):
         mine = by[np.searchsorted(ks, key) : np.searchsorted(ks, key, "right")]
         asking = order[np.searchsorted(vs, key) : np.searchsorted(vs, key, "right")]
-        for i in range(0, len(asking), 1024):
-            who = asking[i : i + 1024]
-            n = min(take, len(mine))
-            if n == len(mine):
-                best = np.broadcast_to(np.arange(n), (len(who), n))
-            else:
-                best = np.argpartition(sq[mine][None] - 2 * (q[who] @ p[mine].T), n - 1, axis=1)[:, :n]
-            out_q.append(np.repeat(who, n))
-            out_p.append(mine[best.ravel()])
-    return np.concatenate(out_q), np.concatenate(out_p)
+        n = min(take, len(mine))
+        for at in range(0, len(asking), 1024):
+            who = asking[at : at + 1024]
+            near = sq[mine][None] - 2 * (q[who] @ p[mine].T)
+            edge = np.partition(near, n - 1, axis=1)[:, n - 1] + slack * (sq_q[who] + sq[mine].max())
+            row, col = np.nonzero(near <= edge[:, None])
+            i, j = who[row], mine[col]
+            d = measured(p, q, i, j)
+            keep = best_of(row, d, first[j], take)
+            out.append((i[keep], j[keep], d[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, d = (np.concatenate(c) for c in zip(*out, strict=True))
+    return i, j, d
 
 
 def nearest_in(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -114,14 +134,12 @@ def nearest_in(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
         p, q = matrix(left["x"]), matrix(right["x"])
         if p.shape[1] != q.shape[1]:
             raise ValueError("vectors differ in length")
-        # rounding of the product could swap rows at the edge, so a few more than k + 1 are measured exactly
-        i, j = pairs_of(p, left["key"].to_numpy(), q, right["key"].to_numpy(), k + 9)
-        d = np.concatenate([np.sqrt(((q[i[s : s + 16384]] - p[j[s : s + 16384]]) ** 2).sum(1)) for s in range(0, len(i), 16384)] or [np.zeros(0)])
-        me = right["vec_id"].to_numpy()[i]
         ids = left["ids"].combine_chunks()
         starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-        first = flat[starts[:-1]][j]
-        order = np.lexsort((first, d, me))
+        first = flat[starts[:-1]]
+        i, j, d = pairs_of(p, first, left["key"].to_numpy(), q, right["key"].to_numpy(), k + 1)
+        me = right["vec_id"].to_numpy()[i]
+        order = np.lexsort((first[j], d, me))
         order = order[np.concatenate([[True], (np.diff(me[order]) != 0) | (np.diff(j[order]) != 0)])] if len(order) else order
         # only k + 1 classes of a query can matter
         m = me[order]

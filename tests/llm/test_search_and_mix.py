@@ -52,6 +52,23 @@ def test_ann_recall_and_ties(spark):
         assert r.score == pytest.approx(float(np.linalg.norm(np.array(vecs[r.query_id]) - np.array(vecs[r.vec_id]))), abs=1e-12)
 
 
+def test_ann_ties_at_the_edge_go_to_smaller_ids():
+    # points of a grid, many of them equally far; whatever their order, the smaller ids win
+    rng = np.random.default_rng(5)
+    grid = np.array([(x, y, z) for x in range(-4, 5) for y in range(-4, 5) for z in range(-4, 5)], dtype=float)
+    for _ in range(5):
+        ids = rng.permutation(len(grid))
+        q = grid[rng.integers(0, len(grid), 7)] * 1.0
+        left = pa.table({"key": np.zeros(len(grid), np.int64), "x": pa.array(grid.tolist()), "ids": pa.array([[int(i)] for i in ids])})
+        right = pa.table({"key": np.zeros(7, np.int64), "vec_id": np.arange(1000, 1007), "x": pa.array(q.tolist())})
+        got = ann.nearest_in(10, left, right).to_pandas()
+        for n in range(7):
+            d = np.sqrt(((grid - q[n]) ** 2).sum(1))
+            want = sorted(zip(d, ids))[:10]
+            mine = got[got.query_id == 1000 + n].sort_values(["score", "vec_id"])
+            assert list(zip(mine.score, mine.vec_id)) == [(a, b) for a, b in want]
+
+
 def test_ann_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (None, [1.0, 2.0]), (6, []), (100, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
