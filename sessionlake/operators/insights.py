@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sessionlake.operators.audit import script_clusters
 from sessionlake.operators.cost import is_premium
 from sessionlake.operators.navtime import nav_shares, nav_summary
-from sessionlake.operators.search import matches
+from sessionlake.operators.search import padded
 from sessionlake.operators.sessions import audit_repeats, session_filter
 
 
@@ -89,10 +90,13 @@ def schema_loops(calls: DataFrame, sessions: DataFrame, contents: DataFrame, lim
     failed = (F.col("name") == "StructuredOutput") & (F.col("is_error") == 1)
     errors = calls.where(failed).join(sessions.select("session_id", "project"), "session_id").groupBy("project").agg(F.count("*").alias("errors"), F.countDistinct("session_id").alias("sessions"), F.max("session_id").alias("example_session"))
     top = errors.where(F.col("errors") >= limits.schema_errors).orderBy(F.desc("errors"), "project").limit(5)
-    where_from = (all_calls or calls).where(failed).select("span_id", "session_id").join((all_sessions or sessions).select("session_id", F.col("project").alias("p")), "session_id")
+    # only sessions of the few projects that are reported give samples
+    named = top.select(F.col("project").alias("kept"))
+    homes = (all_sessions or sessions).select("session_id", F.col("project").alias("p")).join(named, F.col("p").eqNullSafe(F.col("kept")), "left_semi")
+    where_from = (all_calls or calls).where(failed).select("span_id", "session_id").join(homes, "session_id")
     texts = contents.where("kind = 'tool_result'").select("span_id", "ts_ns", F.substring("text", 1, 200).alias("text")).join(where_from, "span_id")
     sample = texts.groupBy("p").agg(F.max_by("text", F.struct("ts_ns", "span_id")).alias("sample"))
-    return top.join(F.broadcast(sample), F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
+    return top.join(sample, F.col("project").eqNullSafe(F.col("p")), "left").drop("p")
 
 
 def thinking_volume(sessions: DataFrame, turns: DataFrame, contents: DataFrame, prices: DataFrame) -> DataFrame:
@@ -110,18 +114,22 @@ def thinking_volume(sessions: DataFrame, turns: DataFrame, contents: DataFrame,
 def index_ignored(sessions: DataFrame, contents: DataFrame, markers: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Busy sessions in places that have an index marker (cwd, marker), with whether any of their contents names one of all markers."""
     busy = sessions.where((F.col("tool_call_count") > limits.index_calls) & F.col("cwd").isNotNull())
-    there = busy.join(F.broadcast(markers.select("cwd").distinct()), "cwd", "left_semi").select("session_id", "project")
-    names = markers.select("marker").distinct()
-    texts = contents.join(there.select("session_id"), "session_id", "left_semi")
-    used = texts.join(F.broadcast(names), matches(F.col("text"), F.col("marker"))).select("session_id").distinct().withColumn("used", F.lit(1))
+    there = busy.join(markers.select("cwd").distinct(), "cwd", "left_semi").select("session_id", "project")
+    # the names of indexes are a hand-written list: one row holds them, and each text meets it once
+    names = markers.agg(F.collect_set(padded(F.col("marker"))).alias("names"))
+    texts = contents.join(there.select("session_id"), "session_id", "left_semi").select("session_id", padded(F.col("text")).alias("text"))
+    used = texts.crossJoin(names).where(F.exists("names", lambda m: F.contains("text", m))).select("session_id").distinct().withColumn("used", F.lit(1))
     return there.join(used, "session_id", "left").withColumn("used", F.coalesce("used", F.lit(0)))
 
 
-def insights(sessions: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, prices: DataFrame, markers: DataFrame | None = None, since_ns: int | None = None, source: str | None = None, limits: Limits = DEFAULT) -> DataFrame:
-    """The findings of all detectors, by severity and metric. Scope is set on the session's start, also for its turns and calls; sessions are rolled up (see roll_up)."""
-    chosen = session_filter(sessions, source=source, since_ns=since_ns)
+def insights(sessions: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, prices: DataFrame, markers: DataFrame | None = None, since_ns: int | None = None, source: str | None = None, limits: Limits = DEFAULT, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The findings of all detectors, by severity and metric. Scope is set on the session's start, also for its turns and calls; sessions are rolled up (see roll_up).
+
+    About ten detectors read the tables in scope. `keep` is given each of these once, and may write it and give it back as read again (see Lake.pinned); as it stands, each detector cuts them out for itself.
+    """
+    chosen = keep(session_filter(sessions, source=source, since_ns=since_ns))
     ids = chosen.select("session_id")
-    t, c, x = (df.join(ids, "session_id", "left_semi") for df in (turns, calls, contents))
+    t, c, x = (keep(df.join(ids, "session_id", "left_semi")) for df in (turns, calls, contents))
     fp = F.lit(source or "all")
     scripts = x.where("kind = 'tool_arguments'").join(c.where(F.col("name").isin("Bash", "exec_command")).select("span_id"), "span_id", "left_semi").select("session_id", "span_id", "text")
     found = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ def new_and_grown(current: DataFrame, known: DataFrame, least_growth: float = 0.
     return both.withColumn("status", status).where("status is not null").drop("seen")
 
 
-def review(sessions: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, prices: DataFrame, known: DataFrame, experiments: DataFrame, hook_results: DataFrame, now_ns: int, since_ns: int | None = None, source: str | None = None, severity_max: int = 2, least_growth: float = 0.25, baseline_days: int = 30, least_sessions: int = 10, limits: Limits = DEFAULT, markers: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The parts of a review, each a DataFrame: findings (to be appended to the log after `known` was read), changes, comparison of the active experiments (directional if the weaker arm measured fewer than least_sessions), hooks and counts."""
-    found = insights(sessions, turns, calls, contents, prices, markers, since_ns, source, limits).cache()
+def review(sessions: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, prices: DataFrame, known: DataFrame, experiments: DataFrame, hook_results: DataFrame, now_ns: int, since_ns: int | None = None, source: str | None = None, severity_max: int = 2, least_growth: float = 0.25, baseline_days: int = 30, least_sessions: int = 10, limits: Limits = DEFAULT, markers: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """The parts of a review, each a DataFrame: findings (to be appended to the log after `known` was read), changes, comparison of the active experiments (directional if the weaker arm measured fewer than least_sessions), hooks and counts. Several parts come from the findings; `keep` may write these and the tables they come from once (see Lake.pinned)."""
+    found = keep(insights(sessions, turns, calls, contents, prices, markers, since_ns, source, limits, keep))
     changes = new_and_grown(found, known, least_growth, severity_max)
     tags = tagged(sessions, experiments)
     # active experiments are few rows of a hand-written table

@@ -174,7 +174,7 @@ class Lake:
 
     def observe(self, inventory: DataFrame, now_ns: int) -> DataFrame:
         """The state of all files after seeing the inventory (path, fingerprint, length, modified): new and changed files are pending with no attempts, others as they were."""
-        state = self.read("ingest_state")
+        state = self.state()
         seen = inventory.select("path", "fingerprint", "length", "modified")
         if state is None:
             return seen.select("*", F.lit("pending").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(now_ns).cast("long").alias("seen_ns"))
@@ -183,8 +183,14 @@ class Lake:
         changed = there & (F.col("fingerprint").isNull() | (F.col("now") != F.col("fingerprint")))
         return both.select("path", F.coalesce("now", "fingerprint").alias("fingerprint"), F.coalesce("length_now", "length").alias("length"), F.coalesce("modified_now", "modified").alias("modified"), F.when(changed, "pending").otherwise(F.col("status")).alias("status"), F.when(changed, 0).otherwise(F.col("attempts")).cast("long").alias("attempts"), F.when(there, F.lit(now_ns)).otherwise(F.col("seen_ns")).cast("long").alias("seen_ns"))
 
+    def state(self) -> DataFrame | None:
+        """The stored state of all files. Where a run was lost while it replaced the state, the second folder is whole and takes its place."""
+        if self.exists("ingest_state_next/_SUCCESS") and not self.exists("ingest_state/_SUCCESS"):
+            self.spark.read.parquet(self.path("ingest_state_next")).write.mode("overwrite").parquet(self.path("ingest_state"))
+        return self.read("ingest_state")
+
     def save_state(self, state: DataFrame) -> None:
-        """Overwrites the state by way of a second folder, as the new state may read the old one."""
+        """Overwrites the state by way of a second folder, as the new state may read the old one; one of the two is whole at any time (see state)."""
         state.write.mode("overwrite").parquet(self.path("ingest_state_next"))
         self.spark.read.parquet(self.path("ingest_state_next")).write.mode("overwrite").parquet(self.path("ingest_state"))
 

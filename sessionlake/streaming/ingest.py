@@ -23,7 +23,7 @@ def one_pass(spark: SparkSession, lake: Lake, source: str, roots: Sequence[str],
     now_ns = now_ns or time.time_ns()
     files = inventory(spark, roots).withColumn("age_s", (F.lit(now_ns) - F.unix_micros("modified") * 1000) / 1e9)
     quiet = F.col("age_s") >= quiet_s
-    before = lake.read("ingest_state")
+    before = lake.state()
     known = lake.pinned(identity(spark, files.where(quiet), before).unionByName(files.where(~quiet).withColumn("fingerprint", F.lit("unread"))))
     state = before if before is not None else lake.observe(known, now_ns).limit(0)
     decided = lake.log(decide(known, state, quiet_s, max_attempts), "ingest_log", now_ns)

@@ -140,3 +140,13 @@ def test_rebuild(spark, tmp_path):
     again = {(r.outcome, r.origin) for r in rebuild(spark, lake, "claude-code", [str(src)], now_ns=LATER + 2).collect()}
     assert again == {("yielded_nothing", "from_original"), ("missing_raw", "missing_raw")}
     assert rebuild(spark, Lake(spark, str(tmp_path / "none")), "codex", [str(src)]).count() == 0
+
+
+def test_state_survives_a_run_lost_while_replacing_it(spark, tmp_path):
+    src, lake = tmp_path / "in", Lake(spark, str(tmp_path / "lake"), buckets=2)
+    talk(src / "a.jsonl", 2)
+    one_pass(spark, lake, "claude-code", [str(src)], now_ns=LATER)
+    for p in (tmp_path / "lake" / "ingest_state").iterdir():
+        p.unlink()  # the old state is deleted, the new one not yet written
+    got = actions(one_pass(spark, lake, "claude-code", [str(src)], now_ns=LATER + 1))
+    assert got == {"a.jsonl": ("unchanged", None)}

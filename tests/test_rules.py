@@ -214,7 +214,7 @@ def test_decisions(spark):
     assert {r.path: r.action for r in maintain.decide(inv, state).collect()}["tired"] == "ingest"
 
 
-def test_insights_and_review_run(spark):
+def test_insights_and_review_run(spark, tmp_path):
     from sessionlake.plans import queries as q
 
     d = "/root/testdata/sf0.001"
@@ -223,8 +223,13 @@ def test_insights_and_review_run(spark):
     found = insights.insights(s, *parts, q.prices(spark), q.view(spark, d, "fx_markers"), limits=q.LIMITS)
     rows = found.collect()
     assert rows == sorted(rows, key=lambda r: (r.severity, -r.metric, r.kind, r.fingerprint)) and {"context_flood", "marathon_session"} <= {r.kind for r in rows}
-    known = found.where("kind = 'context_flood'")
-    got = review.review(s, *parts, q.prices(spark), known, q.windows(spark), q.view(spark, d, "fx_hooks"), q.NOW, limits=q.LIMITS, markers=q.view(spark, d, "fx_markers"))
+    from sessionlake.sources.lake import Lake
+
+    lake = Lake(spark, str(tmp_path))
+    kept = insights.insights(s, *parts, q.prices(spark), q.view(spark, d, "fx_markers"), limits=q.LIMITS, keep=lake.pinned)
+    assert kept.collect() == rows and len(lake.work) == 4
+    known = kept.where("kind = 'context_flood'")
+    got = review.review(s, *parts, q.prices(spark), known, q.windows(spark), q.view(spark, d, "fx_hooks"), q.NOW, limits=q.LIMITS, markers=q.view(spark, d, "fx_markers"), keep=lake.pinned)
     assert "context_flood" not in {r.kind for r in got["changes"].collect()} and got["experiments"].count() >= 2 and got["counts"].first().detected == len(rows)
 
 
