@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import day_of
 from sessionlake.operators.maintain import expired, retention_report
+from sessionlake.sources.scan import checksum, counted
 
 TABLES = ("turns", "tool_calls", "contents", "sessions")  # sessions last: children of a session that is half written stay unseen
 
 
-def checksum() -> Column:
-    """The hash of a version's lines, by number and value, as an aggregate that takes them in any order."""
-    sums = [F.sum(F.xxhash64(*seed, "line_no", "value").cast("decimal(38,0)")).cast("string") for seed in ([], [F.lit(1)])]
-    return F.sha2(F.concat(F.count("*").cast("string"), F.lit(":"), sums[0], F.lit(":"), sums[1]), 256)
-
-
 class Lake:
     """Folders under a root that all executors can reach. Session tables are partitioned by source and by a bucket of the session, raw ones by source and by the UTC day of capture, so that retention drops days."""
 
@@ -51,9 +46,10 @@ class Lake:
 
     # raw
 
-    def capture(self, lines: DataFrame, source: str, now_ns: int) -> DataFrame:
-        """Keeps the lines (session_id, line_no, value) of versions that are not there yet, before anything is parsed; returns the new versions. A version is known by source, session and the hash of its lines, so capturing twice adds nothing, and lines that were lost are captured again. Kept lines are looked at only on the days of versions that come again."""
-        made = lines.groupBy("session_id").agg(checksum().alias("sha256"), F.sum(F.octet_length("value") + 1).cast("long").alias("size_bytes"))
+    def capture(self, lines: DataFrame, source: str, now_ns: int, files: DataFrame | None = None) -> DataFrame:
+        """Keeps the lines (file, session_id, line_no, value) of versions that are not there yet, before anything is parsed; returns the new versions. A version is known by source, session and the hash of its lines, so capturing twice adds nothing, and lines that were lost are captured again. Kept lines are looked at only on the days of versions that come again. files: counted() of the lines, where that is known."""
+        files = counted(lines) if files is None else files
+        made = files.groupBy("session_id").agg(checksum().alias("sha256"), F.sum("bytes").alias("size_bytes"))
         made = self.pinned(made.withColumn("source", F.lit(source)).withColumn("captured_at_ns", F.lit(now_ns).cast("long")).withColumn("day", day_of("captured_at_ns").cast("string")))
         key = ["source", "session_id", "sha256"]
         known = self.read("raw_versions")
@@ -79,7 +75,8 @@ class Lake:
         chosen, kept = found[index], self.read("raw_lines")
         if kept is not None:
             got = kept.where(mine & (F.col("sha256") == chosen.sha256) & (F.col("day") == F.lit(chosen.day))).dropDuplicates(["line_no"]).select("line_no", "value")
-            if got.agg(checksum().alias("h")).first().h == chosen.sha256:
+            sums = counted(got.withColumns({"file": F.lit(""), "session_id": F.lit(session_id)}))
+            if sums.agg(checksum().alias("h")).first().h == chosen.sha256:
                 return got.orderBy("line_no")
         raise ValueError(f"lines of version {chosen.sha256} are damaged")
 

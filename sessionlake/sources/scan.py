@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import is_string
@@ -13,11 +14,8 @@ from sessionlake.functions.columns import is_string
 #: Longer lines vanish at the reader; lines next to them stay.
 MAX_LINE = 64 << 20
 
-
-def inventory(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """path, length and modified (timestamp) of all *.jsonl under the roots, each once. File contents are not read. Files of no bytes count as absent, as the reader leaves them out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(list(roots))
-    return files.select("path", "length", F.col("modificationTime").alias("modified")).distinct()
+#: The fingerprint of a file that was listed and could not be read.
+UNREADABLE = "unreadable"
 
 
 def plain(path: Column) -> Column:
@@ -30,17 +28,64 @@ def literal(path: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
 
 
+def existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of the paths (patterns too) that name something."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if len(path(p).getFileSystem(conf).globStatus(path(p)) or [])]
+
+
+def loaded(spark: SparkSession, reader: DataFrameReader, kind: str, paths: Sequence[str]) -> DataFrame:
+    """What a reader of files gives, without those that went since they were listed, or that can't be read."""
+    reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    try:
+        return reader.format(kind).load(list(paths))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or not (left := existing(spark, paths)):
+            raise
+        return reader.format(kind).load(left)
+
+
+def inventory(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """path, length and modified (timestamp) of all *.jsonl under the roots, each once. File contents are not read. Files of no bytes count as absent, as the reader leaves them out."""
+    files = loaded(spark, spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl"), "binaryFile", roots)
+    return files.select("path", "length", F.col("modificationTime").alias("modified")).distinct()
+
+
 def lines(spark: SparkSession, paths: Sequence[str], max_line: int = MAX_LINE) -> DataFrame:
-    """file, session_id (the file's stem), line_no (from 0, by place in the file) and value of all lines under the paths."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("mapreduce.input.linerecordreader.line.maxlength", max_line).text(list(paths))
+    """file, session_id (the file's stem), line_no (from 0, by place in the file) and value of all lines under the paths. Files that went since they were listed, or that can't be read, give none."""
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("mapreduce.input.linerecordreader.line.maxlength", max_line)
+    raw = loaded(spark, reader, "text", paths)
     raw = raw.select("value", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
     return numbered(raw).withColumn("session_id", stem("file")).select("file", "session_id", "line_no", "value")
 
 
 def numbered(raw: DataFrame) -> DataFrame:
-    """Line numbers by block and place in the block."""
-    w = Window.partitionBy("file").orderBy("at", "id")
-    return raw.withColumn("line_no", F.row_number().over(w) - 1)
+    """Line numbers: the lines of the blocks before, added up over the blocks of a file, and the place in the block. No task holds more lines of a file than a block has."""
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = raw.groupBy("file", "at").agg(F.count("*").alias("n")).select("file", "at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("file", "at").orderBy("id")) - 1
+    return raw.withColumn("line_no", inside).join(blocks.toDF("file", "at", "first"), ["file", "at"]).withColumn("line_no", F.col("first") + F.col("line_no")).drop("first")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """What each file of the lines holds, in one scan: lines, bytes (a line end each), blank lines, malformed ones, ones that hold other JSON than an object, and the two sums that make up a version's hash (see checksum)."""
+    blank = F.trim("value") == ""
+    ev = F.try_parse_json("value")
+    malformed = ~blank & ev.isNull()
+    other = ~blank & ev.isNotNull() & ~F.schema_of_variant(ev).startswith("OBJECT")
+    many = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return rows.groupBy("file", "session_id").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value") + 1).cast("long").alias("bytes"), many(blank).alias("blank"), many(malformed).alias("malformed"), many(other).alias("not_object"), *(F.sum(F.xxhash64(*seed, "line_no", "value").cast("decimal(38,0)")).alias(n) for n, seed in (("sum_a", []), ("sum_b", [F.lit(1)]))))
+
+
+def checksum() -> Column:
+    """The hash of a version's lines, by number and value, from the sums of counted()."""
+    return F.sha2(F.concat(F.sum("lines").cast("string"), F.lit(":"), F.sum("sum_a").cast("decimal(38,0)").cast("string"), F.lit(":"), F.sum("sum_b").cast("decimal(38,0)").cast("string")), 256)
+
+
+def completeness(max_line: int = MAX_LINE) -> Column:
+    """What became of a file of `length` bytes that gave `lines` lines of `bytes` bytes, line ends included: `unread` where it gave none, `partial` where bytes are missing that no over-long line, two-byte line ends or byte order mark explain, else `whole`. Over-long lines vanish at the reader."""
+    missing = F.col("length") - F.col("bytes")
+    return F.when(F.coalesce("lines", F.lit(0)) == 0, "unread").when((missing > F.col("lines") + 4) & (missing <= max_line), "partial").otherwise("whole")
 
 
 def stem(path: str) -> Column:
@@ -92,7 +137,7 @@ def fingerprints(spark: SparkSession, paths: Sequence[str], largest_binary: int
     """path and fingerprint of these files. Those that a binary column can hold are known by sha256 and size; larger ones by a sum of line hashes, under a prefix of its own, as no row could hold them."""
     if not paths:
         return spark.createDataFrame([], "path string, fingerprint string")
-    files = spark.read.format("binaryFile").load([literal(p) for p in paths])
+    files = loaded(spark, spark.read, "binaryFile", [literal(p) for p in paths])
     small = files.where(F.col("length") <= largest_binary).select("path", F.concat_ws(":", F.lit("sha256"), F.sha2("content", 256), F.lit("size"), F.col("length").cast("string")).alias("fingerprint"))
     large = files.where(F.col("length") > largest_binary).select("path", "length")
     long_ones = [literal(r.path) for r in large.select("path").toLocalIterator()]
@@ -104,11 +149,11 @@ def fingerprints(spark: SparkSession, paths: Sequence[str], largest_binary: int
 
 
 def identity(spark: SparkSession, files: DataFrame, state: DataFrame | None, largest_binary: int = 1 << 30) -> DataFrame:
-    """The files (path, length, modified and more columns) with their fingerprint. Only files whose length or time the state does not know are read; the others keep the fingerprint it has. The paths of those to read pass through the driver, where the reader lists them anyway."""
+    """The files (path, length, modified and more columns) with their fingerprint, `unreadable` for those that gave none. Only files whose length or time the state does not know are read; the others keep the fingerprint it has. The paths of those to read pass through the driver, where the reader lists them anyway."""
     if state is None:
         known = files.withColumn("kept", F.lit(None).cast("string"))
     else:
-        known = files.join(state.select("path", "length", "modified", F.col("fingerprint").alias("kept")), ["path", "length", "modified"], "left")
+        known = files.join(state.select("path", "length", "modified", F.nullif("fingerprint", F.lit(UNREADABLE)).alias("kept")), ["path", "length", "modified"], "left")
     paths = [r.path for r in known.where("kept is null").select("path").toLocalIterator()]
     got = known.join(fingerprints(spark, paths, largest_binary), "path", "left")
-    return got.withColumn("fingerprint", F.coalesce("kept", "fingerprint")).drop("kept")
+    return got.withColumn("fingerprint", F.coalesce("kept", "fingerprint", F.lit(UNREADABLE))).drop("kept")
