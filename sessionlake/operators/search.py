@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from sessionlake.operators.textindex import TextIndex
+
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -24,24 +29,49 @@ def matches(text: Column, phrase: Column) -> Column:
     return F.contains(padded(text), padded(phrase))
 
 
-def one(text: Column, item: str) -> Column:
-    quoted = item.startswith('"')
-    bare = " ".join(w for w in re.split(r"[^\w]+|_", item.lower()) if w)
-    prefix = not quoted and item.endswith("*")
-    return F.contains(padded(text), F.lit(f" {bare}" + ("" if prefix else " "))) if bare else F.lit(True)
+@dataclass(frozen=True)
+class Item:
+    """Terms that stand next to each other; the last may go on where `prefix` is set."""
 
+    terms: tuple[str, ...]
+    prefix: bool = False
 
-def predicate(text: Column, query: str) -> Column:
-    """Items are ANDed; OR binds looser than AND; NOT negates the next item."""
-    any_part = F.lit(False)
+    def slots(self) -> list[tuple[str, bool]]:
+        """Each term, and whether it may go on."""
+        return [(t, self.prefix and k == len(self.terms) - 1) for k, t in enumerate(self.terms)]
+
+    def text(self) -> str:
+        return " ".join(self.terms) + "*" if self.prefix and len(self.terms) == 1 else "-".join(self.terms) + "*" * self.prefix
+
+
+def parsed(query: str) -> list[list[tuple[bool, Item]]]:
+    """The alternatives of a query, each a list of (negated, item) that all must hold. Items are ANDed; OR binds looser than AND; NOT negates the next item."""
+    out = []
     for part in re.split(r"\s+OR\s+", query.strip()):
-        every, negate = F.lit(True), False
-        for item in re.findall(r'"[^"]*"|\S+', part):
-            if item in ("AND", "NOT"):
-                negate = item == "NOT"
+        items, negate = [], False
+        for word in re.findall(r'"[^"]*"|\S+', part):
+            if word in ("AND", "NOT"):
+                negate = word == "NOT"
                 continue
+            quoted = word.startswith('"')
+            items.append((negate, Item(tuple(w for w in re.split(r"[^\w]+|_", word.lower()) if w), not quoted and word.endswith("*"))))
+            negate = False
+        out.append(items)
+    return out
+
+
+def one(text: Column, item: Item) -> Column:
+    return F.contains(padded(text), F.lit(" " + " ".join(item.terms) + ("" if item.prefix else " "))) if item.terms else F.lit(True)
+
+
+def predicate(text: Column, query: str) -> Column:
+    """Whether a text holds what the query asks for (see parsed)."""
+    any_part = F.lit(False)
+    for part in parsed(query):
+        every = F.lit(True)
+        for negate, item in part:
             hit = one(text, item)
-            every, negate = every & (~hit if negate else hit), False
+            every = every & (~hit if negate else hit)
         any_part = any_part | every
     return any_part
 
@@ -56,9 +86,9 @@ def snippet(text: Column, term: str, around: int = 12) -> Column:
     return F.when(at > 0, cut).otherwise(F.substring(text, 1, 240))
 
 
-def search(contents: DataFrame, sessions: DataFrame, query: str, kind: str | None = None, source: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Contents that match, with a snippet, by session and place."""
-    hits = contents.where(predicate(F.col("text"), query))
+def search(contents: DataFrame, sessions: DataFrame, query: str, kind: str | None = None, source: str | None = None, limit: int | None = 50, index: TextIndex | None = None) -> DataFrame:
+    """Contents that match, with a snippet, by session and place. With an index over the contents, only the texts that match are read and shown."""
+    hits = contents.where(predicate(F.col("text"), query)) if index is None else contents.join(index.matching(query), list(index.keys), "left_semi")
     if kind is not None:
         hits = hits.where(F.col("kind") == kind)
     of = sessions.select("session_id", "source", "project")
@@ -66,9 +96,3 @@ def search(contents: DataFrame, sessions: DataFrame, query: str, kind: str | Non
     term = re.sub(r"[^\w].*", "", query.strip('"'))
     rows = rows.withColumn("snippet", snippet(F.col("text"), term)).orderBy("session_id", "seq")
     return rows if limit is None else rows.limit(limit)
-
-
-def term_table(contents: DataFrame) -> DataFrame:
-    """(term, session_id, seq), one row for each distinct term of a text: written partitioned by the term's first letters, it serves searches that should not scan all texts."""
-    terms = contents.select("session_id", "seq", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return terms.withColumn("prefix", F.substring("term", 1, 2))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import tool_class
-from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions
+from sessionlake.functions.places import shared_folder
+from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions, textindex
 from sessionlake.plans import transcripts
 from sessionlake.plans.fixtures import oracle, view
 
@@ -440,6 +441,41 @@ for _name, _query, _where in (
     ORACLES[_name] = oracle(f"SELECT doc_id, lang FROM documents WHERE {_where}").replace("WITH \n", "")
 
 
+# the same through an index
+
+
+def indexed(spark: SparkSession, d: str) -> textindex.TextIndex:
+    path = shared_folder(spark, "text-index")
+    textindex.build(spark.read.parquet(f"{d}/documents.parquet"), path, ["doc_id"])
+    return textindex.TextIndex(spark, path, ("doc_id",))
+
+
+def index_search(query: str, spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d).matching(query)
+
+
+for _name, _query, _where in (
+    ("index_phrase", '"of the" AND the', f"contains({PAD}, ' of the ') AND contains({PAD}, ' the ')"),
+    ("index_prefix", "thnt* que and-th*", f"contains({PAD}, ' thnt') AND contains({PAD}, ' que ') AND contains({PAD}, ' and th')"),
+    ("index_or", 'idiot OR "is the" OR trash*', f"contains({PAD}, ' idiot ') OR contains({PAD}, ' is the ') OR contains({PAD}, ' trash')"),
+    ("index_not", 'NOT the OR "of the" NOT with', f"NOT contains({PAD}, ' the ') OR (contains({PAD}, ' of the ') AND NOT contains({PAD}, ' with '))"),
+):
+    QUERIES[_name] = partial(index_search, _query)
+    ORACLES[_name] = f"SELECT doc_id FROM documents WHERE COALESCE({_where}, FALSE)"
+
+RANKED = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') AS terms FROM documents),
+f AS (SELECT doc_id, len(terms) AS n, len(list_filter(terms, lambda t: t = 'idiot'))::DOUBLE AS f0, len(list_filter(terms, lambda t: starts_with(t, 'thnt')))::DOUBLE AS f1, len(list_filter(range(1, len(terms)), lambda k: terms[k] = 'of' AND terms[k + 1] = 'the'))::DOUBLE AS f2 FROM d),
+t AS (SELECT COUNT(*) AS c, AVG(n) AS mean, COUNT(*) FILTER (WHERE f0 > 0) AS d0, COUNT(*) FILTER (WHERE f1 > 0) AS d1, COUNT(*) FILTER (WHERE f2 > 0) AS d2 FROM f)
+SELECT doc_id, ROUND(ln((c - d0 + 0.5) / (d0 + 0.5) + 1) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / mean)) + ln((c - d1 + 0.5) / (d1 + 0.5) + 1) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / mean)) + ln((c - d2 + 0.5) / (d2 + 0.5) + 1) * f2 * 2.2 / (f2 + 1.2 * (0.25 + 0.75 * n / mean)), 4) AS score
+FROM f CROSS JOIN t WHERE f0 > 0 OR f1 > 0 OR f2 > 0 ORDER BY score DESC, doc_id LIMIT 50"""
+
+
+def index_ranked(spark: SparkSession, d: str) -> DataFrame:
+    return indexed(spark, d).ranked('idiot OR thnt* OR "of the"')
+
+
+QUERIES["index_ranked"], ORACLES["index_ranked"] = index_ranked, RANKED
+
 # transcripts through their adapters
 
 for _name, _source in (("cli", "claude-code"), ("rollout", "codex"), ("harness", "harness")):
