@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import base_name, file_argument, tool_class
+from sessionlake.functions.medians import medians
+from sessionlake.functions.places import kept
 from sessionlake.operators.navtime import nav_shares
 
 
@@ -70,32 +72,63 @@ def duplicate_reads(calls: DataFrame) -> DataFrame:
     return groups.groupBy("session_id").agg(F.sum(F.col("n") - 1).cast("long").alias("duplicates"))
 
 
+def grams(text: Column, q: int) -> Column:
+    """The distinct runs of q characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(q))))
+
+
+def held_names(names: DataFrame, texts: DataFrame, q: int = 3, piece: int = 65_536) -> DataFrame:
+    """(session_id, base) of the distinct names (session_id, base) that a text (session_id, text) of their session holds, as contains() does. Null and empty names and texts hold nothing.
+
+    Names and texts meet by a run of q characters (shorter names: as many as they have): a name asks for the one of its runs that the fewest texts of its session have, none if a run is in no text. Texts are cut into overlapping pieces of bounded size, and only the runs of names are kept of them. Each candidate is looked at exactly.
+    """
+    names = names.select("session_id", "base").where("base <> ''").distinct()
+    texts = texts.select("session_id", "text").where("text <> ''").join(names.select("session_id").distinct(), "session_id", "left_semi")
+    texts = kept(texts.withColumn("id", F.monotonically_increasing_id()), "names-texts")
+    asked = kept(names.withColumn("gram", F.explode(F.when(F.length("base") >= q, grams(F.col("base"), q)).otherwise(F.array("base")))), "names-grams")
+    wanted = asked.select("session_id", "gram").distinct()
+    have = None
+    for k in range(1, q + 1):
+        some = wanted.where(F.length("gram") == k) if k < q else wanted.where(F.length("gram") >= q)
+        of = texts.join(some.select("session_id").distinct(), "session_id", "left_semi")
+        pieces = of.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(piece)))).select("session_id", "id", F.substr("text", "at", F.lit(piece + k - 1)).alias("piece"))
+        got = pieces.select("session_id", "id", F.explode(grams(F.col("piece"), k)).alias("gram")).join(some, ["session_id", "gram"], "left_semi").distinct()
+        have = got if have is None else have.unionByName(got)
+    have = kept(have, "names-have")
+    rare = have.groupBy("session_id", "gram").agg(F.count("*").alias("texts"))
+    chosen = asked.join(rare, ["session_id", "gram"], "left").groupBy("session_id", "base").agg(F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.count(F.when(F.col("texts").isNull(), 1)).alias("absent")).where("absent = 0")
+    near = chosen.join(have, ["session_id", "gram"]).select("id", "session_id", "base")
+    return near.join(texts.select("id", "text"), "id").where(F.contains("text", "base")).select("session_id", "base").distinct()
+
+
 def read_used(calls: DataFrame, contents: DataFrame) -> DataFrame:
     """Share of a session's read files that it also edits, at any time, or whose base name an assistant message holds."""
     named = calls.where(F.col("name").isin("Read", "Edit", "Write", "NotebookEdit")).select("session_id", "name", file_argument().alias("path")).where(F.col("path").isNotNull() & ~F.col("path").contains("_docnav"))
     reads = named.where("name = 'Read'").select("session_id", "path").distinct()
     edits = named.where("name <> 'Read'").select("session_id", "path").distinct().withColumn("edited", F.lit(1))
-    # each message meets the base names of its session once, and leaves those that it holds
-    named_files = reads.select("session_id", base_name("path").alias("base")).distinct()
-    said = contents.where("kind = 'assistant_message'").select("session_id", "text").join(named_files.groupBy("session_id").agg(F.collect_set("base").alias("bases")), "session_id")
-    held = said.select("session_id", F.explode(F.filter("bases", lambda b: F.contains("text", b))).alias("base")).distinct().withColumn("cited", F.lit(1))
+    held = held_names(reads.select("session_id", base_name("path").alias("base")), contents.where("kind = 'assistant_message'")).withColumn("cited", F.lit(1))
     cited = reads.withColumn("base", base_name("path")).join(held, ["session_id", "base"]).select("session_id", "path", "cited")
     used = reads.join(edits, ["session_id", "path"], "left").join(cited, ["session_id", "path"], "left")
     return used.groupBy("session_id").agg(F.count("*").alias("reads"), F.sum(F.greatest(F.coalesce("edited", F.lit(0)), F.coalesce("cited", F.lit(0)))).cast("long").alias("used")).withColumn("share", F.col("used") / F.col("reads"))
 
 
 def compare(groups: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, idle_s: float = 300, least_s: float = 60) -> DataFrame:
-    """Ten measures for each group of sessions: `groups` has rolled-up sessions with a column grp. One plan serves all groups."""
+    """Ten measures for each group of sessions: `groups` has rolled-up sessions with a column grp. One plan serves all groups. The groups are worked out once, and only their sessions' turns, calls and messages are looked at."""
+    groups = kept(groups, "compare-groups")
     of = groups.select("session_id", "grp")
+    ids = of.select("session_id").distinct()
+    turns, calls, contents = (df.join(ids, "session_id", "left_semi") for df in (turns, calls, contents))
     shape = groups.groupBy("grp").agg(F.count("*").alias("sessions"), F.sum("input_tokens").alias("inp"), F.sum("cache_read_tokens").alias("read"), F.round(F.avg("tool_call_count"), 1).alias("avg_tools"))
     mine = calls.join(groups.select("session_id", "source", "grp"), "session_id")
     nav = mine.where(tool_class() == "navigation").groupBy("grp").agg(F.count("*").alias("nav_calls"), F.sum("result_chars").alias("chars"))
-    shares = nav_shares(groups, turns, calls, idle_s).join(of, "session_id").where(F.col("active_s") >= least_s)
-    time = shares.groupBy("grp").agg(F.count("*").alias("measured"), F.round(F.median("nav_share"), 4).alias("nav_share_median"), F.round(F.sum("active_s") / 3600, 1).alias("active_hours"), F.round(F.sum("nav_s") / 3600, 1).alias("nav_hours"))
+    one_each = groups.dropDuplicates(["session_id"])  # a session may belong to several groups
+    shares = kept(nav_shares(one_each, turns, calls, idle_s).join(of, "session_id").where(F.col("active_s") >= least_s).select("grp", "nav_share", "active_s", "nav_s"), "compare-shares")
+    time = shares.groupBy("grp").agg(F.count("*").alias("measured"), F.round(F.sum("active_s") / 3600, 1).alias("active_hours"), F.round(F.sum("nav_s") / 3600, 1).alias("nav_hours"))
+    middle = medians(shares, ["grp"], "nav_share", "m").select("grp", F.round("m", 4).alias("nav_share_median"))
     dups = duplicate_reads(calls).join(of, "session_id").groupBy("grp").agg(F.sum("duplicates").alias("duplicate_reads"))
-    used = read_used(calls, contents).join(of, "session_id").groupBy("grp").agg(F.round(F.median("share"), 3).alias("read_used_share"))
+    used = medians(read_used(calls, contents).join(of, "session_id"), ["grp"], "share", "m").select("grp", F.round("m", 3).alias("read_used_share"))
     got = shape
-    for other in (nav, time, dups, used):
+    for other in (nav, time, middle, dups, used):
         got = got.join(other, "grp", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     whole = F.col("read") + F.col("inp")

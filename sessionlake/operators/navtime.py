@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import tool_class
 from sessionlake.functions.intervals import with_latest
+from sessionlake.functions.medians import medians
+from sessionlake.functions.places import kept
 
 
 def nav_shares(sessions: DataFrame, turns: DataFrame, calls: DataFrame, idle_s: float = 300) -> DataFrame:
@@ -30,5 +32,8 @@ def nav_shares(sessions: DataFrame, turns: DataFrame, calls: DataFrame, idle_s:
 
 
 def nav_summary(shares: DataFrame, least_s: float = 300) -> DataFrame:
-    """One row: sessions, hours, and the exact median and mean share of the sessions with least_s active seconds."""
-    return shares.where(F.col("active_s") >= least_s).agg(F.count("*").alias("sessions"), F.round(F.coalesce(F.sum("active_s"), F.lit(0.0)) / 3600, 1).alias("active_hours"), F.round(F.coalesce(F.sum("nav_s"), F.lit(0.0)) / 3600, 1).alias("nav_hours"), F.round(F.median("nav_share"), 4).alias("nav_share_median"), F.round(F.avg("nav_share"), 4).alias("nav_share_mean"), F.coalesce(F.sum("nav_calls"), F.lit(0)).cast("long").alias("nav_calls"))
+    """One row: sessions, hours, and the exact median and mean share of the sessions with least_s active seconds. The shares are worked out once and kept in the shared folder."""
+    rows = kept(shares.where(F.col("active_s") >= least_s).select("active_s", "nav_s", "nav_share", "nav_calls"), "nav-shares")
+    sums = rows.agg(F.count("*").alias("sessions"), F.round(F.coalesce(F.sum("active_s"), F.lit(0.0)) / 3600, 1).alias("active_hours"), F.round(F.coalesce(F.sum("nav_s"), F.lit(0.0)) / 3600, 1).alias("nav_hours"), F.round(F.avg("nav_share"), 4).alias("nav_share_mean"), F.coalesce(F.sum("nav_calls"), F.lit(0)).cast("long").alias("nav_calls"))
+    middle = medians(rows, [], "nav_share", "m").agg(F.round(F.max("m"), 4).alias("nav_share_median"))  # one row, also of none
+    return sums.crossJoin(middle).select("sessions", "active_hours", "nav_hours", "nav_share_median", "nav_share_mean", "nav_calls")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import tool_class
+from sessionlake.functions.medians import medians
 from sessionlake.functions.places import shared_folder
 from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions, textindex
 from sessionlake.plans import transcripts
@@ -193,10 +194,21 @@ def last_wins(spark: SparkSession, d: str) -> DataFrame:
     return sessions.last_wins(view(spark, d, "fx_tools"), ["session_id", "name"], F.struct("started_at_ns", "span_id")).select("session_id", "name", "span_id", "started_at_ns")
 
 
-@register("""SELECT p.session_id, prompt, from_ns, p.text, COUNT(t.span_id) AS turns, CAST(0 AS BIGINT) AS tool_calls, CAST(COALESCE(SUM(output_tokens), 0) AS BIGINT) AS output_tokens, COALESCE((MAX(ended_at_ns) - from_ns) // 1000000, 0) AS duration_ms
-FROM p LEFT JOIN fx_msg_turns t ON t.session_id = p.session_id AND started_at_ns >= from_ns AND (to_ns IS NULL OR started_at_ns < to_ns) GROUP BY 1, 2, 3, 4""", "p AS (SELECT session_id, row_number() OVER w AS prompt, ts_ns AS from_ns, LEAD(ts_ns) OVER w AS to_ns, substring(text, 1, 300) AS text FROM fx_messages WHERE kind = 'user_message' AND text <> '' AND NOT starts_with(text, '<') WINDOW w AS (PARTITION BY session_id ORDER BY ts_ns))")
+PROMPTS = "p AS (SELECT session_id, row_number() OVER w AS prompt, ts_ns AS from_ns, LEAD(ts_ns) OVER w AS to_ns, substring(text, 1, 300) AS text FROM fx_messages WHERE kind = 'user_message' AND text <> '' AND NOT starts_with(text, '<') WINDOW w AS (PARTITION BY session_id ORDER BY ts_ns))"
+# every message but the user's makes a call for each 200 characters of it, ten seconds apart
+MESSAGE_CALLS = "mc AS (SELECT session_id, ts_ns + 10000000000 * k AS started_at_ns FROM (SELECT session_id, ts_ns, unnest(range(0, length(text) // 200 + 1)) AS k FROM fx_messages WHERE kind <> 'user_message'))"
+
+
+def message_calls(spark: SparkSession, d: str) -> DataFrame:
+    said = view(spark, d, "fx_messages").where("kind <> 'user_message'").select("session_id", "ts_ns", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 200).cast("int"))).alias("k"))
+    return said.select("session_id", (F.col("ts_ns") + F.lit(10**10) * F.col("k")).alias("started_at_ns"))
+
+
+@register("""SELECT session_id, prompt, from_ns, text, COALESCE(turns, 0) AS turns, COALESCE(tool_calls, 0) AS tool_calls, COALESCE(output_tokens, 0) AS output_tokens, COALESCE((ended - from_ns) // 1000000, 0) AS duration_ms FROM p
+LEFT JOIN (SELECT p.session_id, prompt, COUNT(*) AS turns, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, MAX(ended_at_ns) AS ended FROM p JOIN fx_msg_turns t ON t.session_id = p.session_id AND started_at_ns >= from_ns AND (to_ns IS NULL OR started_at_ns < to_ns) GROUP BY 1, 2) USING (session_id, prompt)
+LEFT JOIN (SELECT p.session_id, prompt, COUNT(*) AS tool_calls FROM p JOIN mc ON mc.session_id = p.session_id AND started_at_ns >= from_ns AND (to_ns IS NULL OR started_at_ns < to_ns) GROUP BY 1, 2) USING (session_id, prompt)""", PROMPTS, MESSAGE_CALLS)
 def session_commands(spark: SparkSession, d: str) -> DataFrame:
-    got = sessions.prompts(view(spark, d, "fx_messages"), view(spark, d, "fx_msg_turns"), view(spark, d, "fx_msg_turns").limit(0))
+    got = sessions.prompts(view(spark, d, "fx_messages"), view(spark, d, "fx_msg_turns"), message_calls(spark, d))
     return got.withColumn("prompt", F.col("prompt").cast("long"))
 
 
@@ -336,6 +348,34 @@ def read_used_share(spark: SparkSession, d: str) -> DataFrame:
     return experiments.read_used(view(spark, d, "fx_tools"), view(spark, d, "fx_contents"))
 
 
+# words of users as files that are read, some edited; answers may name them
+NAMED = """fm_ AS (SELECT session_id, seq, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^a-z]+'), lambda w: w <> ''))) AS base FROM fx_messages WHERE kind = 'user_message'),
+rd AS (SELECT DISTINCT session_id, base FROM fm_), ed AS (SELECT DISTINCT session_id, base FROM fm_ WHERE seq % 3 = 0 AND length(base) % 4 = 0),
+ct AS (SELECT DISTINCT rd.session_id, base FROM rd JOIN fx_messages m ON m.session_id = rd.session_id AND m.kind = 'assistant_message' AND contains(m.text, base))"""
+
+
+def word_calls(spark: SparkSession, d: str) -> DataFrame:
+    words = view(spark, d, "fx_messages").where("kind = 'user_message'").select("session_id", "seq", F.explode(F.array_distinct(F.split("text", "[^a-z]+"))).alias("base")).where("base <> ''")
+    call = lambda name, rows: rows.select("session_id", F.lit(name).alias("name"), F.concat(F.lit('{"file_path": "/repo/'), "base", F.lit('"}')).alias("args_preview"))
+    return call("Read", words).unionByName(call("Edit", words.where("seq % 3 = 0 and length(base) % 4 = 0")))
+
+
+@register("SELECT * FROM ct", NAMED)
+def cited_files(spark: SparkSession, d: str) -> DataFrame:
+    names = word_calls(spark, d).where("name = 'Read'").select("session_id", F.regexp_extract("args_preview", "repo/([a-z]+)", 1).alias("base"))
+    return experiments.held_names(names, view(spark, d, "fx_messages").where("kind = 'assistant_message'"))
+
+
+@register("SELECT session_id, COUNT(*) AS reads, CAST(SUM(CASE WHEN (session_id, base) IN (SELECT session_id, base FROM ed) OR (session_id, base) IN (SELECT session_id, base FROM ct) THEN 1 ELSE 0 END) AS BIGINT) AS used, CAST(SUM(CASE WHEN (session_id, base) IN (SELECT session_id, base FROM ed) OR (session_id, base) IN (SELECT session_id, base FROM ct) THEN 1 ELSE 0 END) AS BIGINT) / COUNT(*) AS share FROM rd GROUP BY 1", NAMED)
+def read_used_cited(spark: SparkSession, d: str) -> DataFrame:
+    return experiments.read_used(word_calls(spark, d), view(spark, d, "fx_messages"))
+
+
+@register("SELECT kind, MEDIAN(length(text)) AS middle FROM fx_messages GROUP BY 1")
+def message_medians(spark: SparkSession, d: str) -> DataFrame:
+    return medians(view(spark, d, "fx_messages").withColumn("n", F.length("text")), ["kind"], "n", "middle", most=100)
+
+
 # findings, hooks, review
 
 RUNS = "runs AS (SELECT CAST(CAST(to_timestamp(CAST(started_at_ns // 1000000000 AS DOUBLE)) AT TIME ZONE 'UTC' AS DATE) AS VARCHAR) AS day, name AS fingerprint, CAST(SUM(is_error) AS DOUBLE) AS metric FROM fx_tools GROUP BY 1, 2)"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import is_string, ns_of, span_id
+from sessionlake.functions.intervals import with_owner
 from sessionlake.sources.scan import filled, first_of, long_at, text_at
 from sessionlake.sources.shared import Parts, call_rows, content_rows, turn_rows
 
@@ -63,10 +64,9 @@ def normalize(evs: DataFrame) -> Parts:
 
     # the first turn that holds the call, else the first that ends later, else the last, else the root
     t = turns.select("session_id", "i", F.col("span_id").alias("turn_span_id"), F.col("started_at_ns").alias("t0"), F.col("ended_at_ns").alias("t1"))
-    rank = F.when((F.col("t0") <= F.col("started_at_ns")) & (F.col("started_at_ns") <= F.col("t1")), F.struct(F.lit(0).alias("c"), F.col("i").alias("i"))).when(F.col("t1") >= F.col("started_at_ns"), F.struct(F.lit(1).alias("c"), F.col("i").alias("i"))).otherwise(F.struct(F.lit(2).alias("c"), (-F.col("i")).alias("i")))
-    owner = one.select("session_id", "span_id", "g", "started_at_ns").join(t, "session_id").groupBy("session_id", "span_id", "g").agg(F.min_by("turn_span_id", rank).alias("turn_span_id"))
+    owned = with_owner(one, "started_at_ns", t, "t0", "t1", "i", "session_id", "owner")
     root = span_id(SOURCE, F.col("session_id"), F.lit("root"))
-    placed = one.join(owner, ["session_id", "span_id", "g"], "left").withColumn("turn_span_id", F.coalesce("turn_span_id", root))
+    placed = owned.withColumn("turn_span_id", F.coalesce("owner.turn_span_id", root))
 
     tool = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), text_at("ev", "$.payload.call_id")))
     has_id = text_at("ev", "$.payload.call_id").isNotNull()
