@@ -6,9 +6,9 @@ that stood before the span, then the span's own turns. Only the own assistant
 turns count for the loss, so a repeated target is masked.
 
 A turn is written `<|role|>\\n` text `<|end|>\\n`. In roles and texts, each of
-`<`, `[` and `\\` gets a `\\` after it. So neither the template's own marks nor
-`</s>` or `[INST]` can occur there, and dropping the `\\` after each of the
-three restores the text.
+`<`, `[` and `\\` gets a `\\` after it, in roles `|` too. So neither the
+template's own marks nor `</s>` or `[INST]` can occur in a text, nor the end of
+its head in a role, and dropping the `\\` after each of them restores both.
 """
 
 from __future__ import annotations
@@ -18,19 +18,21 @@ from pyspark.sql import functions as F
 
 #: Characters that control strings start with (and the escape itself).
 SPECIAL = r"([<\[\\])"
+#: In roles, also what the end of the head starts with.
+OF_ROLE = r"([<\[\\|])"
 END = "<|end|>\n"
 
 
-def escape(text: Column) -> Column:
-    return F.regexp_replace(text, SPECIAL, r"$1\\")
+def escape(text: Column, special: str = SPECIAL) -> Column:
+    return F.regexp_replace(text, special, r"$1\\")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, SPECIAL + r"\\", "$1")
+def unescape(text: Column, special: str = SPECIAL) -> Column:
+    return F.regexp_replace(text, special + r"\\", "$1")
 
 
 def segment(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|"), escape(role), F.lit("|>\n"), escape(text), F.lit(END))
+    return F.concat(F.lit("<|"), escape(role, OF_ROLE), F.lit("|>\n"), escape(text), F.lit(END))
 
 
 def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_turns: int = 3, system: int = 256, section: int = 1024) -> DataFrame:
@@ -38,7 +40,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 256, history_tu
 
     Tokens are estimated as a quarter of the UTF-8 bytes, plus 4 for each turn. A window's own turns have at most budget - history - system tokens together, or are a single longer turn. History: up to `history_turns` turns right before the span, of at most `history` tokens together. The conversation's first system turn starts every window, once; where it has more than `system` tokens, these are taken off what the window's own turns may have.
 
-    A conversation is laid out in sections of `section` consecutive turns, so one endless conversation is spread over many tasks. The last turns of a section are copied into the next one, as history only. Null texts count as empty, null roles as ''; null conv_ids are one conversation; rows with the same or a null turn number are ordered by role and text, and repeated rows are turns of their own; an empty table gives an empty table; other columns are ignored.
+    A conversation is laid out in sections of `section` consecutive turns, so one endless conversation is spread over many tasks. The last turns of a section are copied into the next one, as history only. Null texts count as empty, null roles as ''; roles may hold anything, marks too; null conv_ids are one conversation; rows with the same or a null turn number are ordered by role and text, and repeated rows are turns of their own; an empty table gives an empty table; other columns are ignored.
     """
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / section), F.lit(-(2**62))).cast("long")).withColumn("tokens", F.ceil(F.octet_length("text") / 4) + 4)
@@ -98,7 +100,7 @@ def read_back(texts: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read from formatted texts: marks split the turns, repeated ones are left out, and texts are unescaped."""
     turns = F.filter(F.split(F.col("formatted"), r"<\|end\|>\n"), lambda x: x != "")
     own = F.slice(turns, F.col("repeated") + 1, F.greatest(F.size(turns), F.lit(1)))
-    said = F.transform(own, lambda x: F.concat(unescape(F.regexp_extract(x, r"(?s)^<\|(.*?)\|>\n", 1)), F.lit("\n"), unescape(F.regexp_replace(x, r"(?s)^<\|.*?\|>\n", "")), F.lit("\n")))
+    said = F.transform(own, lambda x: F.concat(unescape(F.regexp_extract(x, r"(?s)^<\|(.*?)\|>\n", 1), OF_ROLE), F.lit("\n"), unescape(F.regexp_replace(x, r"(?s)^<\|.*?\|>\n", "")), F.lit("\n")))
     target = F.transform("loss", lambda x: unescape(F.substring(F.col("formatted"), x["start"] + 1, x["length"])))
     parts = texts.select("conv_id", F.struct("section", "window", F.array_join(said, "").alias("said"), F.array_join(target, "").alias("target"), F.size(own).alias("n")).alias("w"), F.length("formatted").alias("chars"))
     whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"), F.sum("w.n").alias("n_turns"))
