@@ -12,6 +12,7 @@ stored. Each shard takes disjoint runs of draws and shuffles them locally.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,6 +46,36 @@ def targets(sources: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     return got.withColumn("target", F.when(level.isNull() | (F.col("full_at") <= level), F.col("cap")).otherwise(level * F.col("weight"))).drop("cap", "full_at", "capped", "open", "level")
 
 
+#: From this total on, numpy's hypergeometric draws refuse.
+LARGE = 10**9
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of `take` draws without replacement are good, for any sizes. Beyond numpy's limit, by inversion over 40 standard deviations on both sides of the mode, outside of which no double holds a chance."""
+    if good + bad < LARGE:
+        return int(rng.hypergeometric(good, bad, take))
+    total = good + bad
+    mean, spread = take * good / total, math.sqrt(take * (good / total) * (bad / total) * ((total - take) / max(1, total - 1)))
+    lo, hi = max(0, take - bad, int(mean - 40 * spread) - 40), min(good, take, int(mean + 40 * spread) + 40)
+    k = np.arange(lo, hi, dtype=np.float64)
+    # log chance of k + 1 less that of k
+    step = np.log(good - k) + np.log(take - k) - np.log(k + 1) - np.log(bad - take + k + 1)
+    chance = np.concatenate([[0.0], np.cumsum(step)])
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return lo + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
+
+
+def split(quotas: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate-hypergeometric draw of `take` among the quotas."""
+    rest, out = int(quotas.sum()), np.zeros_like(quotas)
+    if 0 < rest < LARGE:
+        return rng.multivariate_hypergeometric(quotas, take, method="marginals")
+    for i, q in enumerate(quotas.tolist()):
+        out[i] = hypergeometric(q, rest - q, take, rng) if q and take else 0
+        rest, take = rest - q, take - int(out[i])
+    return out
+
+
 def leaf(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(first draw, number of draws) of each source for one shard, by walking down the splitting tree. Every shard makes the same draw at the same node, so shards agree without talking."""
     lo, hi, start, q = 0, shards, np.zeros_like(quotas), quotas.copy()
@@ -52,7 +83,7 @@ def leaf(quotas: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.nda
         mid = (lo + hi) // 2
         take = int(q.sum()) * (mid - lo) // (hi - lo)
         rng = np.random.default_rng([seed, lo, hi])
-        left = rng.multivariate_hypergeometric(q, take, method="marginals") if q.sum() else q
+        left = split(q, take, rng)
         if shard < mid:
             hi, q = mid, left
         else:
