@@ -87,9 +87,22 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def length(d: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; those whose squares overflow or vanish are worked out from rows divided by their largest component."""
+    out = np.sqrt((d * d).sum(1))
+    odd = np.flatnonzero(~((out > 1e-150) & (out < np.inf)))
+    if len(odd):
+        most = np.abs(d[odd]).max(1, initial=0)
+        some = most > 0
+        part = d[odd[some]] / most[some, None]
+        out[odd] = 0
+        out[odd[some]] = most[some] * np.sqrt((part * part).sum(1))
+    return out
+
+
 def measured(p: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Euclidean distances of the pairs (q[i], p[j]), from differences and in pieces."""
-    return np.concatenate([np.sqrt(((q[i[s : s + 16384]] - p[j[s : s + 16384]]) ** 2).sum(1)) for s in range(0, len(i), 16384)] or [np.zeros(0)])
+    return np.concatenate([length(q[i[s : s + 16384]] - p[j[s : s + 16384]]) for s in range(0, len(i), 16384)] or [np.zeros(0)])
 
 
 def best_of(who: np.ndarray, d: np.ndarray, first: np.ndarray, take: int) -> np.ndarray:
@@ -104,6 +117,12 @@ def pairs_of(p: np.ndarray, first: np.ndarray, keys: np.ndarray, q: np.ndarray,
 
     A matrix product ranks them in blocks. Every point that its rounding error could place among the nearest is measured, so ties at the edge are decided by exact distance and id.
     """
+    with np.errstate(over="ignore", invalid="ignore"):
+        return ranked_pairs(p, first, keys, q, visits, take)
+
+
+def ranked_pairs(p: np.ndarray, first: np.ndarray, keys: np.ndarray, q: np.ndarray, visits: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pairs_of(), where overflow is looked after."""
     by, order = np.argsort(keys, kind="stable"), np.argsort(visits, kind="stable")
     sq, sq_q, out = (p * p).sum(1), (q * q).sum(1), []
     slack = 4 * (p.shape[1] + 4) * np.finfo(float).eps
@@ -116,7 +135,7 @@ def pairs_of(p: np.ndarray, first: np.ndarray, keys: np.ndarray, q: np.ndarray,
             who = asking[at : at + 1024]
             near = sq[mine][None] - 2 * (q[who] @ p[mine].T)
             edge = np.partition(near, n - 1, axis=1)[:, n - 1] + slack * (sq_q[who] + sq[mine].max())
-            row, col = np.nonzero(near <= edge[:, None])
+            row, col = np.nonzero(~(near > edge[:, None]))  # where squares overflow, nothing is ruled out
             i, j = who[row], mine[col]
             d = measured(p, q, i, j)
             keep = best_of(row, d, first[j], take)
@@ -156,7 +175,7 @@ def nearest_in(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
 def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 6, probes: int = 64, width: float = 3.0, block: int = 2048, shard_rows: int = 50_000, sample: int = 4096, seed: int = 11) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest rows found for each row of (vec_id, embedding) where the Column is_query holds.
 
-    score is the Euclidean distance in double precision. Ties go to the smaller vec_id. Rows with a query's own vec_id are no candidates for it; repeated rows count once. Rows whose id or vector is null, empty, all zero, or holds null or non-finite components take no part. Vectors must have one length, else an error says so. Where the buckets give a query fewer than k rows, it searches all rows in blocks, so it gets min(k, all) of them. An empty table gives an empty table; other columns are ignored.
+    score is the Euclidean distance in double precision. Ties go to the smaller vec_id. Rows with a query's own vec_id are no candidates for it; repeated rows count once. Rows whose id or vector is null, empty, all zero, or holds null or non-finite components take no part. Vectors must have one length, else an error says so; components may be of any finite size. Where the buckets give a query fewer than k rows, it searches all rows in blocks, so it gets min(k, all) of them. An empty table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = vectors.schema["embedding"].dataType.elementType
