@@ -336,59 +336,43 @@ def near_pairs(data: np.ndarray, seek: np.ndarray, fp: np.ndarray, radius: int)
                 yield s[i + a], d[j + b], dist[a, b]
 
 
-def group_links(ids: np.ndarray, fp: np.ndarray, first: np.ndarray, sure: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) links of one group, and the positions that no vantage point of `first` (positions) reaches.
-
-    Vantage points link all within `sure` bits of them; only who is left over searches the tree. Of pairs within `sure` bits a spanning forest remains; of wider ones, up to `most` bits, for each member the nearest in each part that it is not yet linked with.
-    """
-    forest, out, left = Forest(len(ids)), [], np.arange(len(ids))
+def group_links(ids: np.ndarray, fp: np.ndarray, first: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b) links of a spanning forest of the pairs of one group within `sure` bits, and the positions that no vantage point of `first` (positions) reaches. Vantage points link all that are near them; only who is left over searches the tree."""
+    forest, left, edges = Forest(len(ids)), np.arange(len(ids)), []
     queue = first.tolist()
     while len(left):
         v = queue.pop(0) if queue else int(left[0])
-        d = apart(fp, fp[v])
-        hit = np.flatnonzero(d <= sure)
-        forest.link(np.full(len(hit), v), hit)
-        out.append((np.full(len(hit), v), hit, d[hit]))
-        before, left = len(left), left[d[left] > sure]
+        hit = np.flatnonzero(apart(fp, fp[v]) <= sure)
+        edges += joined(forest, np.full(len(hit), v), hit)
+        before, left = len(left), np.setdiff1d(left, hit, assume_unique=True)
         if not queue and before - len(left) < max(2, before // 16):
             break
-    unreached = left
-    everyone = np.arange(len(ids))
-    for a, b, d in near_pairs(everyone, left, fp, sure):
-        new = a != b
-        forest.link(a[new], b[new])
-        out.append((a[new], b[new], d[new]))
-    root = np.array([forest.find(i) for i in range(len(ids))])
-    if len(np.unique(root)) > 1:
-        # members of the largest part need not search: the others find them
-        part, size = np.unique(root, return_counts=True)
-        wide = []
-        for a, b, d in near_pairs(everyone, everyone[root != part[size.argmax()]], fp, most):
-            new = root[a] != root[b]
-            wide.append((a[new], b[new], d[new]))
-        a, b, d = (np.concatenate(x) for x in zip(*wide, strict=True)) if wide else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((d, root[b], a))
-        keep = order[np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(root[b[order]]) != 0)])] if len(order) else order
-        out.append((a[keep], b[keep], d[keep]))
-    a, b, d = (np.concatenate(x) for x in zip(*out, strict=True))
-    tight = d <= sure
-    # of the sure pairs, only those that join parts
-    again = Forest(len(ids))
-    use = ~tight
-    for k in np.flatnonzero(tight).tolist():
-        i, j = again.find(int(a[k])), again.find(int(b[k]))
-        if i != j:
-            again.up[max(i, j)] = min(i, j)
-            use[k] = True
-    return ids[a[use]], ids[b[use]], d[use], unreached
-
-
-LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.int32())])
-
-
-def similar_links(classes: DataFrame, similarity: float, margin: float, group: int = 20_000, pivots: int = 16) -> DataFrame:
-    """Links (a, b, d) between classes (c, fp, views) whose estimated similarity is at least similarity - margin. Shards are the views: classes that share a view key meet. A key that more than `group` classes share is cut into parts; all parts link to the same few vantage points, and classes that none of these reaches search all parts, in blocks."""
-    sure, most = int(bits_at(min(1.0, similarity + margin))), int(bits_at(similarity - margin))
+    for a, b, _ in near_pairs(np.arange(len(ids)), left, fp, sure):
+        edges += joined(forest, a, b)
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    return ids[ends[:, 0]], ids[ends[:, 1]], left
+
+
+def joined(forest: Forest, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Links these pairs; returns those that joined two parts."""
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = forest.find(i), forest.find(j)
+        if p != q:
+            forest.up[max(p, q)] = min(p, q)
+            out.append((i, j))
+    return out
+
+
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def links_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=LINK)
+
+
+def similar_links(classes: DataFrame, sure: int, group: int = 20_000, pivots: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes (c, fp, views) within `sure` bits, enough of them to join all that such links join, and the classes that meet: (key, part, parts, c, fp). Shards are the views: classes that share a view key meet. A key that more than `group` classes share is cut into parts; all parts link to the same few vantage points, and classes that none of these reaches search all parts, in blocks."""
     keys = staged(classes.select("c", F.explode("views").alias("key")), "dedup-views")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / group).cast("int")
@@ -406,7 +390,7 @@ def similar_links(classes: DataFrame, similarity: float, margin: float, group: i
     shards = max(16, -(-met.count() // group))
 
     def search(table: pa.Table) -> pa.Table:
-        """All groups (key, part) of a shard."""
+        """All groups (key, part) of a shard; classes that no vantage point of a hot key reaches come with a null partner."""
         table = table.sort_by([("key", "ascending"), ("part", "ascending"), ("c", "ascending"), ("lead", "descending")])
         key, part, c, lead = (table[n].to_numpy() for n in ("key", "part", "c", "lead"))
         fp = words_of(table["fp"])
@@ -415,37 +399,100 @@ def similar_links(classes: DataFrame, similarity: float, margin: float, group: i
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             i = np.arange(lo, hi)
             i = i[np.concatenate([[True], np.diff(c[i]) != 0])]  # a lead stands in its own part too
-            a, b, d, rest = group_links(c[i], fp[i], np.flatnonzero(lead[i]), sure, most)
-            got.append((a, b, d))
+            a, b, rest = group_links(c[i], fp[i], np.flatnonzero(lead[i]), sure)
+            got.append(links_table(a, b))
             if lead[i].any():
-                got.append((c[i][rest], np.full(len(rest), -1), np.full(len(rest), part[lo])))
-        a, b, d = (np.concatenate(x) for x in zip(*got, strict=True))
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], schema=LINK)
+                got.append(pa.table([pa.array(c[i][rest]), pa.nulls(len(rest), pa.int64())], schema=LINK))
+        return pa.concat_tables(got)
 
     shard = F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard")
-    found = staged(met_parts.groupBy(shard).applyInArrow(search, "a long, b long, d int"), "dedup-links")
-    links = found.where("b >= 0")
+    found = staged(met_parts.groupBy(shard).applyInArrow(search, "a long, b long"), "dedup-links")
+    links = found.where("b is not null")
     if any_hot:
-        rest = found.where("b < 0").select(F.col("a").alias("c")).distinct()
+        rest = found.where("b is null").select(F.col("a").alias("c")).distinct()
         asks = hot.join(rest, "c", "left_semi").withColumnRenamed("part", "mine").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         here = asks.select("key", "part", "mine").distinct()
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Left-over classes of one part against all of another part."""
+            """A spanning forest between left-over classes of one part and all classes of another."""
             if not left.num_rows or not right.num_rows:
                 return LINK.empty_table()
             c = np.concatenate([left["c"].to_numpy(), right["c"].to_numpy()])
             fp = np.concatenate([words_of(left["fp"]), words_of(right["fp"])])
             n = left.num_rows
-            got = [(c[a[k]], c[b[k]], d[k]) for a, b, d in near_pairs(np.arange(n, len(c)), np.arange(n), fp, most) for k in [c[a] != c[b]]]
-            a, b, d = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.int64),) * 3
-            return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int32())], schema=LINK)
+            forest, edges = Forest(len(c)), []
+            for a, b, _ in near_pairs(np.arange(n, len(c)), np.arange(n), fp, sure):
+                edges += joined(forest, a, b)
+            ends = np.array([e for e in edges if c[e[0]] != c[e[1]]], np.int64).reshape(-1, 2)
+            return links_table(c[ends[:, 0]], c[ends[:, 1]])
 
         by, slim = ["key", "part", "mine"], ["key", "part", "mine", "c", "fp"]
         members = hot.join(here, ["key", "part"]).select(slim).toDF(*slim)
         asks = asks.select(slim).toDF(*slim)
-        links = links.unionByName(asks.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(meet, "a long, b long, d int"))
-    return staged(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "dedup-pairs")
+        links = staged(links.unionByName(asks.groupBy(*by).cogroup(members.groupBy(*by)).applyInArrow(meet, "a long, b long")), "dedup-links")
+    return links, met.drop("lead")
+
+
+def nearest_outside(c: np.ndarray, fp: np.ndarray, label: np.ndarray, data: np.ndarray, seek: np.ndarray, done: list[list[int] | None], most: int, each: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seeker, other): of each seeker's pairs within `most` bits with classes of other labels, the `each` nearest of each label, without the partners in `done` (one list a seeker). seek and data are positions in c, fp and label."""
+    seen = {int(s): set(d) for s, d in zip(seek, done, strict=True) if d}
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def best() -> tuple[np.ndarray, ...]:
+        a, b, d = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((c[b], d, label[b], a))
+        a, b, d = a[order], b[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(label[b]) != 0)])) if len(a) else np.zeros(0, np.int64)
+        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        return a[place < each], b[place < each], d[place < each]
+
+    rows = 0
+    for a, b, d in near_pairs(data, seek, fp, most):
+        new = label[a] != label[b]
+        a, b, d = a[new], b[new], d[new]
+        if seen and len(a):
+            fresh = np.array([int(y) not in seen.get(x, ()) for x, y in zip(a.tolist(), c[b].tolist(), strict=True)], bool)
+            a, b, d = a[fresh], b[fresh], d[fresh]
+        held.append((a, b, d))
+        rows += len(a)
+        if rows > 1_000_000:
+            held = [best()]
+            rows = len(held[0][0]) // 2  # pairs that stay don't call for the next round at once
+    a, b, _ = best()
+    return a, b
+
+
+def unsure_pairs(met: DataFrame, labels: DataFrame, failed: DataFrame | None, most: int, each: int, group: int) -> DataFrame:
+    """Pairs (a, b) of classes of different labels (c, label) that meet and lie within `most` bits: for each seeker, part and other label the `each` nearest. Seekers are the members of a key that do not have its most frequent label, or those in failed (c, done: partners not to name again). Seekers visit all parts of a key."""
+    named = met.join(labels, "c")
+    if failed is None:
+        tops = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+        members = staged(named.join(tops, "key"), "dedup-named")
+        seekers = members.where("label <> top").withColumn("done", F.lit(None).cast("array<long>"))
+    else:
+        seekers = named.join(failed, "c")
+        members = named.join(seekers.select("key").distinct(), "key", "left_semi")
+    plain = ["key", "part", "c", "fp", "label"]
+    visits = seekers.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*plain, "done", F.lit(True).alias("seeks"))
+    rows = members.select(*plain, F.lit(None).cast("array<long>").alias("done"), F.lit(False).alias("seeks")).unionByName(visits)
+    rows = staged(rows, "dedup-seek")
+    shards = max(16, -(-rows.count() // group))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("part", "ascending")])
+        key, part, c, label, seeks = (table[n].to_numpy() for n in ("key", "part", "c", "label", "seeks"))
+        fp, done = words_of(table["fp"]), table["done"]
+        edge = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(part) != 0), [True]]))
+        got = [LINK.empty_table()]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            seek, data = lo + np.flatnonzero(seeks[lo:hi]), lo + np.flatnonzero(~seeks[lo:hi])
+            a, b = nearest_outside(c, fp, label, data, seek, done.take(seek).to_pylist(), most, each)
+            got.append(links_table(c[a], c[b]))
+        return pa.concat_tables(got)
+
+    shard = F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard")
+    found = rows.groupBy(shard).applyInArrow(search, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def alike(a: str, b: str, shingle: int, similarity: float) -> Column:
@@ -463,10 +510,10 @@ def alike(a: str, b: str, shingle: int, similarity: float) -> Column:
     return check(a, b)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, group: int = 20_000) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, group: int = 20_000, each: int = 8) -> DataFrame:
     """One row for each distinct (doc_id, text) of docs: doc_id, h1, h2 (see text_hash), n (rows), component (a number of its group of near duplicates).
 
-    Texts are linked when their sets of word shingles have a Jaccard similarity of `similarity` or more; groups are chains of links. The estimate from 1,024 bits has a standard error of about 0.026; pairs within `margin` of the threshold are checked exactly on the texts. Candidates share one of 12 views (5 smallest remixed hashes each), which pairs at 0.8 do in 99 of 100 cases, at 0.9 in all but one of 100,000.
+    Texts are linked when their sets of word shingles have a Jaccard similarity of `similarity` or more; groups are chains of links. The estimate from 1,024 bits has a standard error of about 0.026; pairs within `margin` of the threshold are checked exactly on the texts, unless others link them already: of each text the `each` nearest in every other group first, and more where all of these fail. Candidates share one of 12 views (5 smallest remixed hashes each), which pairs at 0.8 do in 99 of 100 cases, at 0.9 in all but one of 100,000.
 
     Null, empty and wordless texts are one group; texts of fewer words than a shingle are one shingle; rows with null doc_id take part like others; an empty table gives an empty table; other columns are ignored.
     """
@@ -475,13 +522,27 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     distinct = staged(one, "dedup-texts")
     grouped = distinct.groupBy("same").agg(F.min("fp").alias("fp"), F.min("views").alias("views"), F.min(F.struct("h1", "h2")).alias("t"))
     classes = staged(grouped.withColumn("c", F.monotonically_increasing_id()), "dedup-classes")
-    found = similar_links(classes, similarity, margin, group)
-    sure = F.col("d") <= int(bits_at(min(1.0, similarity + margin)))
-    unsure = found.where(~sure)
-    ends = unsure.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "t"), "c")
-    texts = docs.select(*text_hash(), "text").join(ends.select("c", "t.h1", "t.h2"), ["h1", "h2"]).groupBy("c").agg(F.min("text").alias("text"))
-    checked = unsure.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").where(alike("text_a", "text_b", shingle, similarity))
-    joined = components(found.where(sure).select("a", "b").unionByName(checked.select("a", "b")))
+    sure, most = int(bits_at(min(1.0, similarity + margin))), int(bits_at(similarity - margin))
+    links, met = similar_links(classes, sure, group)
+    joined = components(links)
+    # unsure pairs, nearest first; where those of a text fail, it names further ones, until none is left
+    checked, failed = None, None
+    while True:
+        labels = classes.select("c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("label"))
+        pairs = unsure_pairs(met, labels, failed, most, each, group)
+        pairs = staged(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "dedup-unsure")
+        if not pairs.limit(1).count():
+            break
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "t"), "c")
+        texts = docs.select(*text_hash(), "text").join(ends.select("c", "t.h1", "t.h2"), ["h1", "h2"]).groupBy("c").agg(F.min("text").alias("text"))
+        now = staged(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", alike("text_a", "text_b", shingle, similarity).alias("like")), "dedup-checked")
+        checked = now if checked is None else checked.unionByName(now)
+        if now.where("like").limit(1).count():
+            links = links.unionByName(now.where("like").select("a", "b"))
+            joined = components(links)
+        both = checked.select("a", "b").union(checked.select("b", "a")).toDF("c", "other").groupBy("c").agg(F.collect_list("other").alias("done"))
+        again = now.where("not like").select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        failed, each = staged(both.join(again, "c"), "dedup-failed"), each * 8
     named = classes.select("same", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("same", F.coalesce("root", "c").alias("component"))
     return staged(distinct.join(named, "same").select("doc_id", "h1", "h2", "n", "component"), "dedup-named")
 

@@ -413,6 +413,48 @@ def test_similar_groups_and_keep_one(make, odd, group):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_where_the_nearest_pair_fails_the_next_one_is_tried(make):
+    """b and c are near copies, a is like c and not like b, but by the estimate it is nearer to b."""
+    rng, rows, want = np.random.default_rng(3), [], []
+    while len(rows) < 12:
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        a, b, c = " ".join([f"n{x}" for x in rng.integers(0, 10**6, 21)] + w[21:-2]), " ".join(w), " ".join(w[:-2])
+        prints = [np.frombuffer(simhash.sketch(simhash.shingles(t, 5))[0], np.uint64) for t in (a, b, c)]
+        if simhash.apart(prints[0], prints[1]) < simhash.apart(prints[0], prints[2]):
+            k = len(rows)
+            rows += [(k, a), (k + 1, b), (k + 2, c)]
+            want.append(k)
+    sets = brute_sets([t for _, t in rows])
+    for k in want:
+        assert len(sets[k] & sets[k + 1]) < 0.8 * len(sets[k] | sets[k + 1]) and len(sets[k] & sets[k + 2]) >= 0.8 * len(sets[k] | sets[k + 2])
+    groups = {r.doc_id: r.component for r in simhash.similar_groups(make(rows), each=1).collect()}
+    for k in want:
+        assert groups[k] == groups[k + 1] == groups[k + 2]
+    assert len(set(groups.values())) == len(want)
+
+
+def test_nearest_outside_against_all_pairs():
+    rng = np.random.default_rng(4)
+    fp = np.repeat(rng.integers(0, 2**63, (12, 16), dtype=np.uint64), 25, axis=0)
+    flips = rng.integers(0, 16, (len(fp), 20)), rng.integers(0, 64, (len(fp), 20)).astype(np.uint64)
+    for k in range(20):
+        fp[np.arange(len(fp)), flips[0][:, k]] ^= np.uint64(1) << flips[1][:, k]
+    c, label = rng.permutation(len(fp)).astype(np.int64), rng.integers(0, 40, len(fp))
+    seek = rng.choice(len(fp), 90, replace=False)
+    done = [c[rng.choice(len(fp), 30)].tolist() if i % 2 else None for i in range(90)]
+    a, b = simhash.nearest_outside(c, fp, label, np.arange(len(fp)), seek, done, 40, 2)
+    got = {}
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        got.setdefault((i, int(label[j])), []).append(j)
+    want = {}
+    for i, skip in zip(seek.tolist(), done, strict=True):
+        for j in range(len(fp)):
+            d = int(simhash.apart(fp[i], fp[j]))
+            if label[i] != label[j] and d <= 40 and c[j] not in (skip or []):
+                want.setdefault((i, int(label[j])), []).append((d, int(c[j]), j))
+    assert {k: v for k, v in got.items()} == {k: [j for *_, j in sorted(v)[:2]] for k, v in want.items()}
+
+
 def test_hot_nodes(spark):
     """Stars of many leaves, chained: nodes over the limit take the broadcast."""
     edges = [(0, i) for i in range(1, 400)] + [(399, 1000 + i) for i in range(400)] + [(5000, 5001)]
