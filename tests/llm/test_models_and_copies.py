@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -170,6 +171,36 @@ def test_filters_see_the_whole_text():
         assert net.score(b"a" * at + b"$" + b"a" * (70_000 - at)) > 0.99
 
 
+def test_the_network_against_plain_loops():
+    rng = np.random.default_rng(12)
+    net = quality.ConvNet(rng.normal(size=(3, 256, 4)).astype(np.float32), rng.normal(size=4).astype(np.float32), rng.normal(size=8).astype(np.float32), 0.3)
+    for n in (0, 1, 2, 3, 40, 511, 515, 1100, 9000):
+        text = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        x = text.ljust(3, b"\0")
+        z = np.array([[sum(float(net.filters[j, x[i + j], f]) for j in range(3)) for f in range(4)] for i in range(len(x) - 2)])
+        blocks = [z[i : i + quality.BLOCK].max(0) for i in range(0, len(z), quality.BLOCK)]
+        chunks = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:], strict=False)] or blocks
+        chunks = [np.maximum(c + net.bias, 0) for c in chunks]
+        f = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+        assert net.score(text) == pytest.approx(1 / (1 + math.exp(-float(f @ net.out + net.out_bias))), abs=1e-4)
+
+
+def test_noisy_or_against_plain_loops():
+    bag = toxicity.Bag({"bad": 2.0, "worse": 3.5, "^worse": 0.5, "^horri": 1.5, "mild": -1.0}, -2.5)
+    texts = ["", "Bad. Worse! mild bad?\nHorribly mild.", "nothing here. at all", "worse " * 50 + ". " + "bad\n" * 9]
+    for t in texts:
+        clean, spans = 1.0, []
+        for a, b, z in bag.sentences(t):
+            words = {w.lower() for w in re.findall(r"[^\W\d_]+", t[a:b])}
+            held = words | {"^" + w[:5] for w in words if len(w) > 5}
+            p = 1 / (1 + math.exp(-(bag.bias + sum(bag.weights.get(w, 0) for w in held))))
+            clean *= 1 - p
+            assert 1 / (1 + math.exp(-z)) == pytest.approx(p)
+            spans += [(a, b)] if p >= 0.5 else []
+        score, found = bag.score(t)
+        assert score == pytest.approx(1 - clean, abs=1e-9) and [(a, b) for a, b, _ in found] == spans
+
+
 def test_toxicity_learns_and_locates(make, spark):
     rng = np.random.default_rng(4)
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]

@@ -1,6 +1,7 @@
 """Nearest neighbours, mixing, packing and chat against brute force."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -77,6 +78,37 @@ def test_ann_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_ann_components_of_any_size(spark):
+    """Squares of these components overflow, or vanish."""
+    rng = np.random.default_rng(6)
+    vecs = {i: (rng.normal(size=4) * (1e200 if i < 20 else 1e-200)).tolist() for i in range(40)}
+    df = spark.createDataFrame([*vecs.items()], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 10 == 0, k=3).collect()
+
+    for q in (0, 10, 20, 30):
+        far = lambda i, q=q: math.dist(vecs[q], vecs[i])
+        want = sorted((far(i), i) for i in vecs if i != q)[:3]
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [i for _, i, _ in mine] == [i for _, i in want]
+        assert [s for *_, s in mine] == pytest.approx([d for d, _ in want], rel=1e-12)
+
+
+def test_draws_of_any_size():
+    """Beyond numpy's limit: sums, bounds and moments of the draws."""
+    good, bad, take = 3 * 10**9, 10**9, 10**6
+    x = np.array([mixing.hypergeometric(good, bad, take, np.random.default_rng(i)) for i in range(400)])
+    assert abs(x.mean() - 0.75 * take) < 5 * math.sqrt(take * 0.1875 / 400) and 0.85 < x.std() / math.sqrt(take * 0.1875) < 1.15
+    quotas = np.array([4 * 10**10, 1, 0, 5 * 10**9])
+    for seed in range(5):
+        left = mixing.split(quotas, 2 * 10**10, np.random.default_rng(seed))
+        assert left.sum() == 2 * 10**10 and (left >= 0).all() and (left <= quotas).all()
+    start, n = mixing.leaf(quotas, 10**8, 77, 1)
+    again, after = mixing.leaf(quotas, 10**8, 78, 1)
+    assert (start + n <= quotas).all() and abs(int(n.sum()) - 450) <= 1 and (again >= start + n).all() and after.sum() > 0
+    small = mixing.hypergeometric(5, 10**9, 10**9 + 5, np.random.default_rng(1)), mixing.hypergeometric(0, 10**9, 7, np.random.default_rng(1))
+    assert small == (5, 0)
+
+
 def test_probe_order():
     sets = ann.perturbations(4, 30)
     assert sets[0] == [0] and len({tuple(s) for s in sets}) == 30
@@ -234,7 +266,7 @@ def turns(spark, rows):
 
 def test_chat_round_trip(spark):
     rng = np.random.default_rng(5)
-    rows = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (9, 1, "assistant", None), (9, 0, None, "<|end|>\n<|user|>\n\\<"), (None, 0, "user", "")]
+    rows = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"), (9, 1, "assistant", None), (9, 0, None, "<|end|>\n<|user|>\n\\<"), (None, 0, "user", ""), (10, 0, "od|>\nd\\", "a"), (10, 1, "|>\n<|x|>\n", "b|>\n"), (10, 2, "|\\|", "c")]
     for c in range(6):
         n = [1, 5, 40, 400, 8, 3000][c]
         for t in range(n):
