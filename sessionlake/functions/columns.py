@@ -116,7 +116,7 @@ def project_of(cwd: Column) -> Column:
     """The last two parts of a working directory, without the home folder and anything from /.claude/ on; `~` for the home folder itself."""
     bare = F.regexp_replace(cwd, r"^/(?:Users|home)/[^/]+", "")
     bare = F.split_part(bare, F.lit("/.claude/"), F.lit(1))
-    parts = F.filter(F.split(bare, "/"), lambda p: p != "")
+    parts = F.array_remove(F.split(bare, "/"), "")
     parts = F.when(F.try_element_at(parts, F.lit(1)) == "Code", F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
     last = F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2))
     return F.when(cwd.isNull() | (cwd == ""), F.lit(None).cast("string")).when(F.size(parts) == 0, "~").otherwise(F.array_join(last, "/"))
@@ -137,11 +137,11 @@ def growth(previous: Column, current: Column) -> Column:
 
 
 def imports(text: str = "text") -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"import (\w+)"), F.lit(1)))), "+")
+    return F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"import (\w+)"), F.lit(1)))), "+")
 
 
 def operations(text: str = "text") -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(SCRIPT_OPS), F.lit(1)))), "+")
+    return F.array_join(F.sort_array(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(SCRIPT_OPS), F.lit(1)))), "+")
 
 
 def is_script(text: str = "text") -> Column:

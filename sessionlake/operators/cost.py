@@ -67,6 +67,11 @@ def cost(turns: DataFrame, sessions: DataFrame, prices: DataFrame, by: str = "mo
     keys: dict[str, Column] = {"model": F.col("model"), "day": day_of("started_at_ns").cast("string"), "project": F.col("project"), "session": F.col("session_id")}
     joined = turns.join(s.select("session_id", "project"), "session_id")
     sums = joined.groupBy(keys[by].alias("grp"), "model").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in RATES])
+    return dollars(sums, prices, as_model)
+
+
+def dollars(sums: DataFrame, prices: DataFrame, as_model: str | None = None) -> DataFrame:
+    """The rows of cost() from sums (grp, model, n and tokens)."""
     if as_model:
         priced_as = prices.where(F.lit(as_model).startswith(F.col("prefix"))).orderBy(F.length("prefix").desc()).limit(1)
         if priced_as.isEmpty():

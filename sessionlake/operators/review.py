@@ -13,10 +13,13 @@ from sessionlake.operators.hooks import hook_events, hook_summary
 from sessionlake.operators.insights import DEFAULT, Limits, insights
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Findings from the append-only log of runs (run_ns and a finding's columns): first and last seen, occurrences, and the newest wording."""
-    newest = [F.max_by(c, "run_ns").alias(c) for c in runs.columns if c not in ("run_ns", "kind", "fingerprint")]
-    return runs.groupBy("kind", "fingerprint").agg(F.min("run_ns").alias("first_seen_ns"), F.max("run_ns").alias("last_seen_ns"), F.count("*").alias("occurrences"), *newest)
+def merged(runs: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """Findings from the append-only log of runs (run_ns and a finding's columns): first and last seen, occurrences, and the newest wording. state: what merged() gave for earlier runs."""
+    own = [c for c in runs.columns if c not in ("run_ns", "kind", "fingerprint")]
+    rows = runs.select("kind", "fingerprint", F.col("run_ns").alias("first_seen_ns"), F.col("run_ns").alias("last_seen_ns"), F.lit(1).cast("long").alias("occurrences"), *own)
+    rows = rows if state is None else rows.unionByName(state)
+    newest = [F.max_by(c, "last_seen_ns").alias(c) for c in own]
+    return rows.groupBy("kind", "fingerprint").agg(F.min("first_seen_ns").alias("first_seen_ns"), F.max("last_seen_ns").alias("last_seen_ns"), F.sum("occurrences").alias("occurrences"), *newest)
 
 
 def listed(findings: DataFrame, kind: str | None = None, since_ns: int | None = None, limit: int = 50) -> DataFrame:

@@ -8,10 +8,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionlake.functions import sql
 from sessionlake.functions.columns import tool_class
 from sessionlake.functions.medians import medians
 from sessionlake.functions.places import shared_folder
-from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions, textindex
+from sessionlake.operators import audit, cost, experiments, hooks, insights, maintain, navtime, review, search, sessions, textindex, totals
 from sessionlake.plans import transcripts
 from sessionlake.plans.fixtures import oracle, view
 
@@ -99,6 +100,47 @@ for _by in ("source", "model"):
     ORACLES[f"token_stats_{_by}"] = oracle(f"SELECT *, CASE WHEN cache_read_tokens + input_tokens + cache_creation_tokens > 0 THEN ROUND(cache_read_tokens / (cache_read_tokens + input_tokens + cache_creation_tokens), 4) ELSE 0.0::DOUBLE END AS cache_hit FROM (SELECT {_by} AS key, COUNT(*) AS turns, {TOKEN_SUMS} FROM fx_turns JOIN (SELECT session_id, source FROM fx_sessions) s USING (session_id) GROUP BY 1)")
 
 
+SUMMED = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"))
+
+
+@register(f"""SELECT *, CASE WHEN cache_read_tokens + input_tokens + cache_creation_tokens > 0 THEN ROUND(cache_read_tokens / (cache_read_tokens + input_tokens + cache_creation_tokens), 4) ELSE 0.0::DOUBLE END AS cache_hit FROM (SELECT CASE GROUPING(source, surface, model) WHEN 7 THEN 'all' WHEN 3 THEN 'source' WHEN 5 THEN 'surface' ELSE 'model' END AS by, COALESCE(source, surface, model) AS key, COUNT(*) AS turns, {SUMMED} FROM fx_turns JOIN (SELECT session_id, source, concat(project, '/', CAST(n_events % 3 AS VARCHAR)) AS surface FROM fx_sessions) s USING (session_id) GROUP BY GROUPING SETS ((), (source), (surface), (model)))""")
+def token_report(spark: SparkSession, d: str) -> DataFrame:
+    s = view(spark, d, "fx_sessions").withColumn("surface", F.concat_ws("/", "project", (F.col("n_events") % 3).cast("string")))
+    return totals.token_report(view(spark, d, "fx_turns"), s)
+
+
+def bucketed_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and turns as the lake holds them."""
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(16)).cast("int")
+    s = rolled(spark, d).withColumns({"bucket": bucket, "surface": F.lit("cli"), "pipeline_version": F.lit(4)})
+    return s, view(spark, d, "fx_turns").join(s.select("session_id", "source", "bucket"), "session_id")
+
+
+@register("SELECT COUNT(*) AS sessions, CAST(SUM(is_subagent) AS BIGINT) AS subagents, CAST(SUM(turn_count) AS BIGINT) AS turns, CAST(SUM(tool_call_count) AS BIGINT) AS tool_calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens, CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(SUM(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, COUNT(*) AS stale, MIN(started_at_ns) AS first_ns, MAX(ended_at_ns) AS last_ns FROM ru", RU)
+def overview_from_sums(spark: SparkSession, d: str) -> DataFrame:
+    sums = totals.session_sums(bucketed_tables(spark, d)[0])
+    return totals.overview(sums, 5)
+
+
+def cost_from_sums(by: str, spark: SparkSession, d: str) -> DataFrame:
+    s, t = bucketed_tables(spark, d)
+    return totals.cost(totals.usage_sums(t, s), prices(spark), by)
+
+
+for _by in ("model", "day", "project"):
+    QUERIES[f"cost_sums_{_by}"], ORACLES[f"cost_sums_{_by}"] = partial(cost_from_sums, _by), ORACLES[f"cost_by_{_by}"]
+
+
+@register(f"SELECT source, {CLASS} AS class, COUNT(*) AS calls, CAST(SUM(result_chars // 4) AS BIGINT) AS tokens, COUNT(DISTINCT regexp_extract(args_preview, '\"file_path\":\\s*\"([^\"]+)\"', 1)) FILTER (WHERE contains(args_preview, 'file_path')) AS files, MIN(split_part(name, '__', 2)) FILTER (WHERE starts_with(name, 'mcp__')) AS vendor FROM fx_tools JOIN fx_sessions USING (session_id) GROUP BY 1, 2")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    return spark.sql(
+        "SELECT source, tool_class(source, name, args_preview) AS class, count(*) AS calls, sum(token_estimate(result_chars)) AS tokens, count(DISTINCT base_name(file_argument(args_preview))) AS files, min(tool_vendor(name)) AS vendor FROM {calls} JOIN {sessions} USING (session_id) GROUP BY 1, 2",
+        calls=view(spark, d, "fx_tools"),
+        sessions=view(spark, d, "fx_sessions"),
+    )
+
+
 @register("SELECT root, COUNT(*) AS members, CAST(SUM(turn_count) AS BIGINT) AS turn_count, CAST(SUM(tool_call_count) AS BIGINT) AS tool_call_count, " + TOKEN_SUMS + " FROM (SELECT parent_session_id AS root, ru.* FROM ru JOIN fx_family f USING (session_id) WHERE parent_session_id IS NOT NULL UNION ALL SELECT session_id AS root, ru.* FROM ru WHERE session_id IN (SELECT parent_session_id FROM fx_family)) GROUP BY 1", RU)
 def family_rollup(spark: SparkSession, d: str) -> DataFrame:
     return sessions.family(rolled(spark, d, "fx_family"))

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import day_of
+from sessionlake.functions.sql import register
 from sessionlake.operators.maintain import expired, retention_report
+from sessionlake.operators.review import merged
+from sessionlake.operators.totals import session_sums, usage_sums
 from sessionlake.sources.scan import checksum, counted
 
 TABLES = ("turns", "tool_calls", "contents", "sessions")  # sessions last: children of a session that is half written stay unseen
@@ -134,6 +137,7 @@ class Lake:
             sessions = sessions.join(self.collisions(sessions).select("session_id"), "session_id", "left_anti")
         ids = self.pinned(sessions.select("session_id", "source", self.bucket()))
         touched = ids.select("source", "bucket").distinct()
+        self.forget(touched)
         for table in TABLES:
             rows = sessions if table == "sessions" else new[table].join(ids.select("session_id", "source"), "session_id")
             rows = rows.withColumn("bucket", self.bucket())
@@ -143,6 +147,40 @@ class Lake:
                 kept = have.join(F.broadcast(touched), ["source", "bucket"], "left_semi").join(ids.select("session_id"), "session_id", "left_anti")
                 rows = rows.unionByName(kept, allowMissingColumns=True)
             self.overwrite(table, rows, touched if have is not None else None, "bucket")
+        self.refresh(touched)
+
+    # kept sums
+
+    def refresh(self, touched: DataFrame) -> None:
+        """Works out the kept sums of these buckets (source, bucket) again, from these buckets only."""
+        buckets = {}
+        for r in touched.select("source", "bucket").distinct().collect():  # at most one for each source and bucket
+            buckets.setdefault(r.source, []).append(r.bucket)
+        here = F.lit(False)
+        for source, numbers in buckets.items():
+            here = here | ((F.col("source") == source) & F.col("bucket").isin(numbers))
+        sessions, turns = self.read("sessions"), self.read("turns")
+        if not buckets:
+            return
+        for table, rows in (("session_sums", None if sessions is None else session_sums(sessions.where(here))), ("usage_sums", None if sessions is None or turns is None else usage_sums(turns.where(here), sessions.where(here)))):
+            if rows is not None:
+                self.overwrite(table, rows, touched if self.exists(table) else None, "bucket")
+            elif self.exists(table):
+                for source, numbers in buckets.items():
+                    for b in numbers:
+                        self.remove(f"{self.path(table)}/source={source}/bucket={b}")
+
+    def sums(self, table: str) -> DataFrame | None:
+        """session_sums or usage_sums; buckets whose sums a lost run left undone are worked out first."""
+        sessions = self.read("sessions")
+        if sessions is None:
+            return None
+        there = sessions.select("source", "bucket").distinct()
+        kept = self.read("session_sums")
+        missing = there if kept is None else there.join(kept.select("source", "bucket").distinct(), ["source", "bucket"], "left_anti")
+        if not missing.isEmpty():
+            self.refresh(self.pinned(missing))
+        return self.read(table)
 
     def overwrite(self, table: str, rows: DataFrame, touched: DataFrame | None, part: str) -> None:
         """Puts the rows in place of the touched partitions (source and `part`); those that get no row vanish, as an overwrite would leave them."""
@@ -164,8 +202,16 @@ class Lake:
     def delete_sessions(self, ids: DataFrame) -> None:
         """Rewrites the partitions of these sessions (session_id, source) without them."""
         ids = self.pinned(ids.select("session_id", "source", self.bucket()))
+        self.forget(ids.select("source", "bucket").distinct())
         for table in reversed(TABLES):
             self.without(table, ids, ["session_id"], "bucket")
+        self.refresh(ids)
+
+    def forget(self, touched: DataFrame) -> None:
+        """Removes the kept sums of buckets that are about to change, so that a run that is lost meanwhile leaves none that are wrong."""
+        for r in touched.collect():  # at most one for each source and bucket
+            for table in ("session_sums", "usage_sums"):
+                self.remove(f"{self.path(table)}/source={r.source}/bucket={r.bucket}")
 
     # ingest state and findings
 
@@ -198,14 +244,52 @@ class Lake:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def log_findings(self, findings: DataFrame) -> None:
-        """Appends one run's findings (with run_ns); the current state is an aggregate over the log."""
-        findings.write.mode("append").parquet(self.path("finding_runs"))
+        """Puts one run's findings (with run_ns) into the log, in place of what the log has of that run. Snapshots that are not older than the run no longer hold, and go."""
+        rows = self.pinned(findings.withColumn("run", F.col("run_ns")))
+        first = rows.agg(F.min("run_ns")).first()[0]
+        if first is None:
+            return
+        for upto in self.snapshots():
+            if upto >= first:
+                self.remove(f"{self.path('finding_state')}/upto={upto}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(self.path("finding_runs"))
+
+    def snapshots(self) -> list[int]:
+        """The runs up to which whole snapshots of the findings exist."""
+        if not self.exists("finding_state"):
+            return []
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path('finding_state')}/upto=*/_SUCCESS")
+        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(p)
+        return sorted(int(f.getPath().getParent().getName().removeprefix("upto=")) for f in found)
+
+    def findings(self) -> DataFrame | None:
+        """The current findings: the newest snapshot merged with the runs since; runs before it are not read."""
+        runs, upto = self.read("finding_runs"), max(self.snapshots(), default=None)
+        if upto is None:
+            return None if runs is None else merged(runs.drop("run"))
+        state = self.spark.read.parquet(f"{self.path('finding_state')}/upto={upto}")
+        return state if runs is None else merged(runs.where(F.col("run") > upto).drop("run"), state)
+
+    def compact_findings(self, delete_runs: bool = False) -> None:
+        """A snapshot of the current findings, in place of older ones; the runs it holds may be deleted."""
+        now, runs = self.findings(), self.read("finding_runs")
+        newest = None if runs is None else runs.agg(F.max("run")).first()[0]
+        old = self.snapshots()
+        if now is None or newest is None or newest in old:
+            return
+        now.write.mode("overwrite").parquet(f"{self.path('finding_state')}/upto={newest}")
+        for upto in old:
+            self.remove(f"{self.path('finding_state')}/upto={upto}")
+        if delete_runs:
+            for r in runs.where(F.col("run") <= newest).select("run").distinct().toLocalIterator():
+                self.remove(f"{self.path('finding_runs')}/run={r.run}")
 
     def views(self) -> None:
-        """Temporary views of all tables, for ad-hoc SQL."""
+        """Temporary views of all tables and the column functions, for ad-hoc SQL."""
         for table in (*TABLES, "raw_versions", "finding_runs"):
             if (df := self.read(table)) is not None:
                 df.createOrReplaceTempView(table)
+        register(self.spark)
 
     def reads_only(self, text: str) -> bool:
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
