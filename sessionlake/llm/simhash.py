@@ -434,16 +434,15 @@ def similar_links(classes: DataFrame, sure: int, group: int = 20_000, pivots: in
 
 
 def nearest_outside(c: np.ndarray, fp: np.ndarray, label: np.ndarray, data: np.ndarray, seek: np.ndarray, done: list[list[int] | None], most: int, each: int) -> tuple[np.ndarray, np.ndarray]:
-    """(seeker, other): of each seeker's pairs within `most` bits with classes of other labels, the `each` nearest of each label, without the partners in `done` (one list a seeker). seek and data are positions in c, fp and label."""
+    """(seeker, other): of each seeker's pairs within `most` bits with classes of other labels, the `each` nearest, without the partners in `done` (one list a seeker). seek and data are positions in c, fp and label."""
     seen = {int(s): set(d) for s, d in zip(seek, done, strict=True) if d}
     held: list[tuple[np.ndarray, ...]] = []
 
     def best() -> tuple[np.ndarray, ...]:
         a, b, d = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-        order = np.lexsort((c[b], d, label[b], a))
+        order = np.lexsort((c[b], d, a))
         a, b, d = a[order], b[order], d[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(label[b]) != 0)])) if len(a) else np.zeros(0, np.int64)
-        place = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+        place = np.arange(len(a)) - np.searchsorted(a, a)
         return a[place < each], b[place < each], d[place < each]
 
     rows = 0
@@ -462,15 +461,15 @@ def nearest_outside(c: np.ndarray, fp: np.ndarray, label: np.ndarray, data: np.n
     return a, b
 
 
-def unsure_pairs(met: DataFrame, labels: DataFrame, failed: DataFrame | None, most: int, each: int, group: int) -> DataFrame:
-    """Pairs (a, b) of classes of different labels (c, label) that meet and lie within `most` bits: for each seeker, part and other label the `each` nearest. Seekers are the members of a key that do not have its most frequent label, or those in failed (c, done: partners not to name again). Seekers visit all parts of a key."""
+def unsure_pairs(met: DataFrame, labels: DataFrame, again: DataFrame | None, most: int, each: int, group: int) -> DataFrame:
+    """Pairs (a: seeker, b) of classes of different labels (c, label) that meet and lie within `most` bits: for each seeker, key and part the `each` nearest. Seekers are the members of a key that do not have its most frequent label, or those in again (c, done: partners not to name again). Seekers visit all parts of a key."""
     named = met.join(labels, "c")
-    if failed is None:
+    if again is None:
         tops = named.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
         members = staged(named.join(tops, "key"), "dedup-named")
         seekers = members.where("label <> top").withColumn("done", F.lit(None).cast("array<long>"))
     else:
-        seekers = named.join(failed, "c")
+        seekers = named.join(again, "c")
         members = named.join(seekers.select("key").distinct(), "key", "left_semi")
     plain = ["key", "part", "c", "fp", "label"]
     visits = seekers.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*plain, "done", F.lit(True).alias("seeks"))
@@ -491,8 +490,7 @@ def unsure_pairs(met: DataFrame, labels: DataFrame, failed: DataFrame | None, mo
         return pa.concat_tables(got)
 
     shard = F.pmod(F.xxhash64("key", "part"), F.lit(shards)).alias("shard")
-    found = rows.groupBy(shard).applyInArrow(search, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.groupBy(shard).applyInArrow(search, "a long, b long")
 
 
 def alike(a: str, b: str, shingle: int, similarity: float) -> Column:
@@ -510,10 +508,10 @@ def alike(a: str, b: str, shingle: int, similarity: float) -> Column:
     return check(a, b)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, group: int = 20_000, each: int = 8) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, margin: float = 0.08, group: int = 20_000, each: int = 2) -> DataFrame:
     """One row for each distinct (doc_id, text) of docs: doc_id, h1, h2 (see text_hash), n (rows), component (a number of its group of near duplicates).
 
-    Texts are linked when their sets of word shingles have a Jaccard similarity of `similarity` or more; groups are chains of links. The estimate from 1,024 bits has a standard error of about 0.026; pairs within `margin` of the threshold are checked exactly on the texts, unless others link them already: of each text the `each` nearest in every other group first, and more where all of these fail. Candidates share one of 12 views (5 smallest remixed hashes each), which pairs at 0.8 do in 99 of 100 cases, at 0.9 in all but one of 100,000.
+    Texts are linked when their sets of word shingles have a Jaccard similarity of `similarity` or more; groups are chains of links. The estimate from 1,024 bits has a standard error of about 0.026; pairs within `margin` of the threshold are checked exactly on the texts, unless others link them already: of each text the `each` nearest in other groups first, then more, until none is left. Candidates share one of 12 views (5 smallest remixed hashes each), which pairs at 0.8 do in 99 of 100 cases, at 0.9 in all but one of 100,000.
 
     Null, empty and wordless texts are one group; texts of fewer words than a shingle are one shingle; rows with null doc_id take part like others; an empty table gives an empty table; other columns are ignored.
     """
@@ -525,24 +523,24 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     sure, most = int(bits_at(min(1.0, similarity + margin))), int(bits_at(similarity - margin))
     links, met = similar_links(classes, sure, group)
     joined = components(links)
-    # unsure pairs, nearest first; where those of a text fail, it names further ones, until none is left
-    checked, failed = None, None
+    # of two groups in a key, the members of one at least seek the other's; they name their nearest ones first, and go on while they have any in another group that was not looked at
+    checked, again = None, None
     while True:
         labels = classes.select("c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("root", "c").alias("label"))
-        pairs = unsure_pairs(met, labels, failed, most, each, group)
-        pairs = staged(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "dedup-unsure")
-        if not pairs.limit(1).count():
+        sought = staged(unsure_pairs(met, labels, again, most, each, group), "dedup-unsure")
+        if not sought.limit(1).count():
             break
+        pairs = sought.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = staged(pairs if checked is None else pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "dedup-unsure")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "t"), "c")
         texts = docs.select(*text_hash(), "text").join(ends.select("c", "t.h1", "t.h2"), ["h1", "h2"]).groupBy("c").agg(F.min("text").alias("text"))
         now = staged(pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", alike("text_a", "text_b", shingle, similarity).alias("like")), "dedup-checked")
         checked = now if checked is None else checked.unionByName(now)
         if now.where("like").limit(1).count():
-            links = links.unionByName(now.where("like").select("a", "b"))
-            joined = components(links)
+            # what is joined already stays joined to its root
+            joined = components(joined.toDF("a", "b").unionByName(now.where("like").select("a", "b")))
         both = checked.select("a", "b").union(checked.select("b", "a")).toDF("c", "other").groupBy("c").agg(F.collect_list("other").alias("done"))
-        again = now.where("not like").select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        failed, each = staged(both.join(again, "c"), "dedup-failed"), each * 8
+        again, each = staged(both.join(sought.select(F.col("a").alias("c")).distinct(), "c"), "dedup-again"), each * 4
     named = classes.select("same", "c").join(joined.withColumnRenamed("node", "c"), "c", "left").select("same", F.coalesce("root", "c").alias("component"))
     return staged(distinct.join(named, "same").select("doc_id", "h1", "h2", "n", "component"), "dedup-named")
 
