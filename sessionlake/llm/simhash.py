@@ -8,7 +8,8 @@
 4. In a shard, a vantage-point tree is split and searched at once, for all
    visitors together, with the triangle bounds; links go into a union-find, of
    which only a spanning forest leaves the task.
-5. Large-star/small-star rounds join the forests into components.
+5. Forests of bounded groups of links, then large-star/small-star rounds over
+   these, give the components.
 
 Near duplicates by a Jaccard similarity (similar_groups, keep_one) need a wide
 radius: at 0.8, two fingerprints differ in 15 % of their bits. Balls that wide
@@ -191,17 +192,34 @@ def smallest(edges: DataFrame, low: DataFrame, key: str, many: int) -> DataFrame
     return cold.unionByName(marked.where("__hot is not null").drop("__hot").withColumnRenamed("__m", "m").select(cold.columns))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): root is the smallest node of its component. Large-star and small-star rounds (each joins all neighbours of a node to the smallest one) until nothing changes; each round is written to the shared folder."""
-    now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+def forest_edges(table: pa.Table) -> pa.Table:
+    """The edges (u, v) of a table as a spanning forest: each node but the smallest of its tree, with this smallest one."""
+    node, at = np.unique(np.concatenate([table["u"].to_numpy(), table["v"].to_numpy()]), return_inverse=True)
+    forest = Forest(len(node))
+    forest.link(*at.reshape(2, -1))
+    moved = np.flatnonzero(forest.up != np.arange(len(node)))
+    roots = np.array([forest.find(i) for i in moved.tolist()], np.int64)
+    return pa.table({"u": node[moved], "v": node[roots]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def components(edges: DataFrame, rounds: int = 60, group: int = 1_000_000) -> DataFrame:
+    """(node, root) for every node of the edges (a, b): root is the smallest node of its component.
+
+    Edges are dealt evenly, whatever their nodes, into groups of about `group`, of each of which a spanning forest goes on. One group is the answer already; forests of several are joined by large-star and small-star rounds (each joins all neighbours of a node to the smallest one) until nothing changes. Each round is written to the shared folder.
+    """
+    now = staged(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct(), "edges")
 
     def summary(df: DataFrame) -> tuple:
         r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         return r.n, r.h
 
-    before = summary(now)
-    if not before[0]:
+    groups = -(-now.count() // group)
+    if groups:
+        now = staged(now.groupBy(F.pmod(F.xxhash64("u", "v"), F.lit(groups)).alias("g")).applyInArrow(forest_edges, "u long, v long"), "edges")
+    if groups < 2:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    now = staged(now.distinct(), "edges")
+    before = summary(now)
     for _ in range(rounds):
         # a node of more neighbours than this is answered without moving its edges; there are at most 1,000 of them, or 64 edges each
         many = max(64, before[0] // 500)

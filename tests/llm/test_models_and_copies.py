@@ -486,16 +486,18 @@ def test_nearest_outside_against_all_pairs():
     assert got == {k: [j for *_, j in sorted(v)[:2]] for k, v in want.items()}
 
 
-def test_hot_nodes(spark):
+@pytest.mark.parametrize("group", [60, 1_000_000])
+def test_hot_nodes(spark, group):
     """Stars of many leaves, chained: nodes over the limit take the broadcast."""
     edges = [(0, i) for i in range(1, 400)] + [(399, 1000 + i) for i in range(400)] + [(5000, 5001)]
-    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long"), group=group).collect()}
     assert got == {**{i: 0 for i in (*range(1, 400), *range(1000, 1400))}, 5001: 5000}
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("group", [40, 1_000_000])
+def test_long_chain(spark, group):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "a long, b long")
-    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    got = {r.node: r.root for r in simhash.components(edges, group=group).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
 
 
