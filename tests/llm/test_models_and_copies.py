@@ -458,32 +458,35 @@ def test_where_the_nearest_pair_fails_the_next_one_is_tried(make):
     sets = brute_sets([t for _, t in rows])
     for k in want:
         assert len(sets[k] & sets[k + 1]) < 0.8 * len(sets[k] | sets[k + 1]) and len(sets[k] & sets[k + 2]) >= 0.8 * len(sets[k] | sets[k + 2])
-    groups = {r.doc_id: r.component for r in simhash.similar_groups(make(rows), each=1).collect()}
+    groups = {r.doc_id: r.component for r in simhash.similar_groups(make(rows)).collect()}
     for k in want:
         assert groups[k] == groups[k + 1] == groups[k + 2]
     assert len(set(groups.values())) == len(want)
 
 
-def test_nearest_outside_against_all_pairs():
+def test_label_links_against_all_pairs():
+    """Sets of random sizes: the labels that links join are those that all alike pairs join, and each link is one."""
     rng = np.random.default_rng(4)
-    fp = np.repeat(rng.integers(0, 2**63, (12, 16), dtype=np.uint64), 25, axis=0)
-    flips = rng.integers(0, 16, (len(fp), 20)), rng.integers(0, 64, (len(fp), 20)).astype(np.uint64)
-    for k in range(20):
-        fp[np.arange(len(fp)), flips[0][:, k]] ^= np.uint64(1) << flips[1][:, k]
-    c, label = rng.permutation(len(fp)).astype(np.int64), rng.integers(0, 40, len(fp))
-    seek = rng.choice(len(fp), 90, replace=False)
-    done = [c[rng.choice(len(fp), 30)].tolist() if i % 2 else None for i in range(90)]
-    a, b = simhash.nearest_outside(c, fp, label, np.arange(len(fp)), seek, done, 40, 2)
-    got = {}
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        got.setdefault(i, []).append(j)
-    want = {}
-    for i, skip in zip(seek.tolist(), done, strict=True):
-        for j in range(len(fp)):
-            d = int(simhash.apart(fp[i], fp[j]))
-            if label[i] != label[j] and d <= 40 and c[j] not in (skip or []):
-                want.setdefault(i, []).append((d, int(c[j]), j))
-    assert got == {k: [j for *_, j in sorted(v)[:2]] for k, v in want.items()}
+    base = [rng.choice(5000, 80, replace=False) for _ in range(6)]
+    sets = []
+    for i in range(200):
+        s = base[i % 6].copy()
+        s[rng.choice(80, int(rng.integers(0, 14)), replace=False)] = rng.integers(5000, 10**6)
+        sets.append(np.unique(s[: int(rng.integers(60, 81))]).astype(np.uint64))
+    label = rng.integers(0, 120, 200)
+    fp = np.stack([np.frombuffer(simhash.sketch(s)[0], np.uint64) for s in sets])
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(0, 200, 2), np.arange(200), indexing="ij"))
+    a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+    similar = lambda x, y: len(np.intersect1d(sets[x], sets[y])) / len(np.union1d(sets[x], sets[y])) >= 0.8 - 1e-9
+    got = simhash.label_links(a, b, simhash.apart(fp[a], fp[b]), sets, label, simhash.Forest(200), 0.8, run=3)
+    assert got and all(similar(x, y) for x, y in got)
+    every, some = simhash.Forest(200), simhash.Forest(200)
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        if similar(x, y):
+            every.link(label[[x]], label[[y]])
+    some.link(*(label[list(z)] for z in zip(*got, strict=True)))
+    assert [every.find(i) for i in range(200)] == [some.find(i) for i in range(200)]
+    assert len(got) == 200 - len({every.find(i) for i in range(200)})
 
 
 @pytest.mark.parametrize("group", [60, 1_000_000])
