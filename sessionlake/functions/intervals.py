@@ -20,22 +20,25 @@ def with_latest(rows: DataFrame, at: str, marks: DataFrame, mark_at: str, key: s
 def with_owner(points: DataFrame, at: str, spans: DataFrame, start: str, end: str, order: str, key: str, name: str) -> DataFrame:
     """points with a column `name`: the struct of the span of the same key that owns the point. That is the first span, by `order`, whose closed interval holds it; else the first that ends at or after it; else the last one; null where the key has no span. Of spans of a key, no two have the same order.
 
-    One sort of points and span ends by time gives the first span that ends at or after each point, as a running minimum from the latest time on. Where that span starts at or before the point, it is the owner, and where starts rise with the order no later span can hold the point either. Only the points left over in keys whose starts fall somewhere look for a holder, by the cells of a binary tree over the times' ranks: a span covers a few cells on each level, a point lies in one of each, so they meet by equality. Spans and the first answers are kept in the shared folder, as they are used several times.
+    One sort of points and span ends by time gives the first span that ends at or after each point, as a running minimum from the latest time on. Where that span starts at or before the point, it is the owner, and where starts rise with the order no later span can hold the point either. Only the points left over in keys whose starts fall somewhere look for a holder, by the cells of a binary tree over the times' ranks: a span covers a few cells on each level, a point lies in one of each, so they meet by equality. Spans and the first answers, which for most points are the last, are kept in the shared folder, as they are used several times.
     """
-    spans = kept(spans, "owner-spans")
+    fell = F.coalesce(F.lag(start).over(Window.partitionBy(key).orderBy(order)) > F.col(start), F.lit(False))
     span = F.struct(F.col(order).alias("__o"), F.col(start).alias("__s"), F.col(end).alias("__e"), F.struct("*").alias("it"))
-    marks = spans.select(key, F.col(end).alias("__t"), F.lit(0).alias("__point"), span.alias("__span"))
+    marks = kept(spans.select(key, F.col(end).alias("__t"), F.lit(0).alias("__point"), span.alias("__span"), fell.alias("__fell")), "owner-spans")
     kind = marks.schema["__span"].dataType
-    asks = points.withColumns({"__t": F.col(at), "__point": F.lit(1), "__span": F.lit(None).cast(kind), "__id": F.monotonically_increasing_id()})
+    asks = points.withColumns({"__t": F.col(at), "__point": F.lit(1), "__span": F.lit(None).cast(kind), "__fell": F.lit(False), "__id": F.monotonically_increasing_id()})
     later = Window.partitionBy(key).orderBy(F.desc("__t"), "__point").rowsBetween(Window.unboundedPreceding, 0)
     all_of = Window.partitionBy(key)
     both = asks.unionByName(marks, allowMissingColumns=True)
     first = F.min_by("__span", "__span.__o").over(later)
-    got = both.withColumns({"__ahead": first, "__last": F.max_by("__span", "__span.__o").over(all_of)}).where("__point = 1").drop("__span", "__point")
-    got = kept(got, "owner-points")
-    falls = spans.withColumn("__was", F.lag(start).over(Window.partitionBy(key).orderBy(order))).where(F.col("__was") > F.col(start)).select(key).distinct()
-    holder = held_by(got.where(F.col("__ahead.__s") > F.col("__t")).select(key, "__id", "__t").join(falls, key, "left_semi"), marks.join(falls, key, "left_semi").select(key, "__span"), key)
-    return got.join(holder, [key, "__id"], "left").withColumn(name, F.coalesce("__holder.it", "__ahead.it", "__last.it")).drop("__t", "__id", "__ahead", "__last", "__holder")
+    got = both.withColumns({"__ahead": first, "__last": F.max_by("__span", "__span.__o").over(all_of), "__fell": F.max("__fell").over(all_of)}).where("__point = 1").drop("__span", "__point")
+    unsure = F.coalesce(F.col("__fell") & (F.col("__ahead.__s") > F.col("__t")), F.lit(False))
+    got = kept(got.select("*", unsure.alias("__unsure"), F.coalesce("__ahead.it", "__last.it").alias(name)).drop("__ahead", "__last", "__fell"), "owner-points")
+    left = got.where("__unsure")
+    keys = left.select(key).distinct()
+    holder = held_by(left.select(key, "__id", "__t"), marks.join(keys, key, "left_semi").select(key, "__span"), key)
+    held = left.join(holder, [key, "__id"], "left").withColumn(name, F.coalesce("__holder.it", name)).drop("__holder")
+    return got.where("not __unsure").unionByName(held).drop("__t", "__id", "__unsure")
 
 
 def held_by(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:

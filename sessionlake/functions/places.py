@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +21,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df worked out once, into a folder of its own, and read from there: what is used several times costs once, and a lost executor costs no more than its tasks."""
+#: Fixed value: bytes of bytecode beyond which HotSpot leaves a method uncompiled.
+COMPILED = "8000"
+
+
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark fuses no operators into methods that the JVM would run uncompiled, as a line's many columns do; it evaluates these by smaller methods."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    was = spark.conf.get(key)
+    spark.conf.set(key, COMPILED)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def kept(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """df worked out once, into a folder of its own, and read from there: what is used several times costs once, and a lost executor costs no more than its tasks. `wide` is for rows of many long expressions (see compiled)."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with compiled(df.sparkSession) if wide else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -129,11 +129,20 @@ def tool_arguments(contents: DataFrame, calls: DataFrame, sessions: DataFrame, n
     return texts.join(some, "span_id").join(session_filter(sessions, source=source, since_ns=since_ns).select("session_id", "source"), "session_id")
 
 
+def with_gaps(turns: DataFrame) -> DataFrame:
+    """Turns with `gap`, the milliseconds to the start of the session's next turn."""
+    return turns.withColumn("gap", F.expr("(lead(started_at_ns) over (partition by session_id order by started_at_ns, span_id) - started_at_ns) div 1000000"))
+
+
+def active_ms(idle_ms: int = 300_000) -> Column:
+    """Of the turns of with_gaps(): the sum of their durations, or without any, of the gaps that are no longer than idle_ms."""
+    spent, gap = F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long"), F.col("gap")
+    return F.when(spent > 0, spent).otherwise(F.coalesce(F.sum(F.when((gap > 0) & (gap <= idle_ms), gap)), F.lit(0)).cast("long"))
+
+
 def active_time(turns: DataFrame, idle_ms: int = 300_000) -> DataFrame:
     """Active milliseconds of a session: its turns' durations, or without any, the gaps between turn starts that are no longer than idle_ms."""
-    gap = F.expr("(lead(started_at_ns) over (partition by session_id order by started_at_ns, span_id) - started_at_ns) div 1000000")
-    per = turns.withColumn("gap", gap).groupBy("session_id").agg(F.coalesce(F.sum("duration_ms"), F.lit(0)).cast("long").alias("spent"), F.coalesce(F.sum(F.when((F.col("gap") > 0) & (F.col("gap") <= idle_ms), F.col("gap"))), F.lit(0)).cast("long").alias("gaps"))
-    return per.select("session_id", F.when(F.col("spent") > 0, F.col("spent")).otherwise(F.col("gaps")).alias("active_ms"))
+    return with_gaps(turns).groupBy("session_id").agg(active_ms(idle_ms).alias("active_ms"))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -104,7 +104,8 @@ def adapted(spark: SparkSession, d: str, source: str) -> dict[str, DataFrame]:
 
 
 def session_totals(spark: SparkSession, d: str, source: str) -> DataFrame:
-    return adapted(spark, d, source)["sessions"].select("session_id", "turn_count", "tool_call_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "active_ms", "started_at_ns")
+    parts = assemble.ADAPTERS[source].normalize(events(LINES[source](spark, d)))
+    return assemble.sessions(source, parts, now_ns=1).select("session_id", "turn_count", "tool_call_count", "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "active_ms", "started_at_ns")
 
 
 def calls_with_turns(spark: SparkSession, d: str, source: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import class_for, project_of, trace_id
-from sessionlake.operators.sessions import active_time
+from sessionlake.operators.sessions import active_ms, with_gaps
 from sessionlake.sources import cli_agent, harness, rollout
 from sessionlake.sources.shared import Parts
 
@@ -34,15 +34,16 @@ def register(source: str, adapter: Adapter) -> None:
 
 def sessions(source: str, parts: Parts, idle_ms: int = 300_000, now_ns: int | None = None) -> DataFrame:
     """One row for each session of the parts; a file without any timed event has none."""
-    t, c, x = parts.turns, parts.tool_calls, parts.contents
+    t, x = with_gaps(parts.turns), parts.contents
+    c = parts.calls() if parts.times is None else parts.times
     sums = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens")
-    of_turns = t.groupBy("session_id").agg(F.count("*").alias("turn_count"), *[F.sum(k).alias(k) for k in sums], F.min("started_at_ns").alias("t0"), F.max("ended_at_ns").alias("t1"), F.min_by("model", F.when(F.col("model") != "", F.struct("started_at_ns", "span_id"))).alias("first_model"))
+    of_turns = t.groupBy("session_id").agg(F.count("*").alias("turn_count"), *[F.sum(k).alias(k) for k in sums], F.min("started_at_ns").alias("t0"), F.max("ended_at_ns").alias("t1"), F.min_by("model", F.when(F.col("model") != "", F.struct("started_at_ns", "span_id"))).alias("first_model"), active_ms(idle_ms).alias("active_ms"))
     of_calls = c.groupBy("session_id").agg(F.count("*").alias("tool_call_count"), F.min("started_at_ns").alias("c0"), F.max("ended_at_ns").alias("c1"))
     thinking = F.col("kind") == "thinking"
     asked = (F.col("kind") == "user_message") & ~F.col("text").startswith("<")
     of_texts = x.groupBy("session_id").agg(F.sum(thinking.cast("long")).alias("thinking_blocks"), F.sum(F.when(thinking, F.length("text")).otherwise(0)).cast("long").alias("thinking_chars"), F.min_by(F.substring("text", 1, 300), F.when(asked, F.col("seq"))).alias("first_user_message"))
     rows = parts.bounds
-    for other in (of_turns, of_calls, of_texts, active_time(t, idle_ms)):
+    for other in (of_turns, of_calls, of_texts):
         rows = rows.join(other, "session_id", "left")
     # only the CLI agent's spans can reach beyond its events
     wide = source == cli_agent.SOURCE
@@ -57,8 +58,9 @@ def sessions(source: str, parts: Parts, idle_ms: int = 300_000, now_ns: int | No
 def tables(source: str, evs: DataFrame, now_ns: int | None = None) -> dict[str, DataFrame]:
     """sessions, turns, tool_calls and contents of one source's events."""
     parts = ADAPTERS[source].normalize(evs)
+    calls = parts.calls()
     have = parts.bounds.select("session_id")
-    return {"sessions": sessions(source, parts, now_ns=now_ns), "turns": parts.turns.join(have, "session_id", "left_semi"), "tool_calls": parts.tool_calls.join(have, "session_id", "left_semi"), "contents": parts.contents.join(have, "session_id", "left_semi")}
+    return {"sessions": sessions(source, parts, now_ns=now_ns), "turns": parts.turns.join(have, "session_id", "left_semi"), "tool_calls": calls.join(have, "session_id", "left_semi"), "contents": parts.contents.join(have, "session_id", "left_semi")}
 
 
 def empty_files(evs_files: DataFrame, sessions_made: DataFrame) -> DataFrame:

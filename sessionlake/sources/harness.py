@@ -6,51 +6,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.functions.columns import ns_of, span_id
+from sessionlake.functions.places import kept
 from sessionlake.sources.scan import filled, first_of, long_at, text_at
-from sessionlake.sources.shared import Parts, blocks, call_rows, chars, content_rows, item, json_of, turn_rows
+from sessionlake.sources.shared import Parts, block_items, call_rows, chars, content_rows, item, turn_rows
 
 SOURCE = "harness"
 USAGE = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_read_tokens": "cache_read_input_tokens", "cache_creation_tokens": "cache_creation_input_tokens"}
 
 
 def normalize(evs: DataFrame) -> Parts:
-    e = evs.select("file", F.col("session_id").alias("stem"), "line_no", "ev", text_at("ev", "$.type").alias("type"), ns_of(text_at("ev", "$.ts")).alias("ts"))
+    # what the tables need of a line is read from its JSON once, and kept with its file's session
+    evs = evs.withColumns({"type": text_at("ev", "$.type"), "content": F.try_variant_get("ev", "$.content", "variant")})
+    kind, content = F.col("type"), F.col("content")
+    of = lambda k, value: F.when(kind == k, value)
+    usage = of("assistant", F.lit(True)) | of("end", F.try_variant_get("ev", "$.usage", "variant").isNotNull())
+    e = evs.select(
+        "file", F.col("session_id").alias("stem"), "line_no", "type", ns_of(text_at("ev", "$.ts")).alias("ts"), *[of("session_meta", text_at("ev", f"$.{k}")).alias(c) for c, k in (("id", "session_id"), ("version", "harness_version"), ("cwd", "cwd"), ("git_branch", "git_branch"), ("named", "model"))], of("cli_session", text_at("ev", "$.cli_session_id")).alias("cli_session_id"),
+        of("assistant", text_at("ev", "$.model")).alias("model"), F.when(kind.isin("assistant", "tool_result"), long_at("ev", "$.duration_ms")).alias("ms"), *[F.when(usage, long_at("ev", f"$.usage.{k}")).alias(c) for c, k in USAGE.items()], of("assistant", block_items(content)).alias("items"),
+        of("tool_result", F.coalesce(text_at("ev", "$.tool_use_id"), F.lit(""))).alias("result_id"), of("tool_result", F.coalesce(F.try_variant_get("ev", "$.is_error", "boolean"), F.lit(False))).alias("bad"), of("tool_result", text_at("ev", "$.output")).alias("output"), of("user", F.trim(text_at("ev", "$.text"))).alias("said"),
+    )
     meta = F.when(F.col("type") == "session_meta", F.col("line_no"))
-    at_meta = lambda path: F.min_by(text_at("ev", path), meta)
-    heads = e.groupBy("file", "stem").agg(filled(at_meta("$.session_id")).alias("id"), F.min("ts").alias("first_ns"), F.max("ts").alias("last_ns"), at_meta("$.harness_version").alias("version"), at_meta("$.cwd").alias("cwd"), at_meta("$.git_branch").alias("git_branch"), at_meta("$.model").alias("model"), first_of(F.when(F.col("type") == "cli_session", text_at("ev", "$.cli_session_id"))).alias("cli_session_id"))
-    heads = heads.withColumn("session_id", F.coalesce("id", "stem"))
-    e = e.join(heads.select("file", "session_id", F.col("model").alias("meta_model")), "file")
-    bounds = heads.where("first_ns is not null").select("session_id", "file", "first_ns", "last_ns", F.lit(SOURCE).alias("surface"), "version", "git_branch", "cwd", "model", F.lit(None).cast("string").alias("parent_session_id"), F.lit(0).alias("sidechain"), "cli_session_id")
+    file = Window.partitionBy("stem", "file")
+    e = kept(e.withColumns({"session_id": F.coalesce(filled(F.min_by("id", meta).over(file)), F.col("stem")), "meta_model": F.min_by("named", meta).over(file)}), "harness-events", wide=True)
+    bounds = e.groupBy("file", "stem").agg(F.first("session_id").alias("session_id"), F.min("ts").alias("first_ns"), F.max("ts").alias("last_ns"), F.lit(SOURCE).alias("surface"), *[F.min_by(c, meta).alias(c) for c in ("version", "git_branch", "cwd")], F.first("meta_model").alias("model"), F.lit(None).cast("string").alias("parent_session_id"), F.lit(0).alias("sidechain"), first_of(F.col("cli_session_id")).alias("cli_session_id")).where("first_ns is not null").drop("stem")
 
     # turns are numbered over all assistant events, with or without a time
     order = Window.partitionBy("session_id").orderBy("line_no")
-    a = e.where("type = 'assistant'").withColumn("i", F.row_number().over(order) - 1).withColumn("turn", span_id(SOURCE, F.col("session_id"), F.concat(F.lit("turn:"), F.col("i").cast("string"))))
-    content = F.try_variant_get("ev", "$.content", "variant")
-    usage = {c: long_at("ev", f"$.usage.{k}") for c, k in USAGE.items()}
-    ms = long_at("ev", "$.duration_ms")
-    timed = a.where("ts is not null")
-    turns = timed.select("session_id", "line_no", F.col("turn").alias("span_id"), F.coalesce(text_at("ev", "$.model"), F.col("meta_model")).alias("model"), (F.col("ts") - ms * 1_000_000).alias("started_at_ns"), F.col("ts").alias("ended_at_ns"), ms.alias("duration_ms"), *[v.alias(c) for c, v in usage.items()], chars(content, "thinking").alias("thinking_chars"), chars(content, "text").alias("text_chars"))
+    spoken = F.col("type") == "assistant"
+    numbered = lambda rows: rows.withColumn("turn", span_id(SOURCE, F.col("session_id"), F.concat(F.lit("turn:"), (F.sum(spoken.cast("long")).over(order) - 1).cast("string"))))
     # where no turn carries usage, the run's totals go on the last one
-    ends = e.where("type = 'end'").where(F.try_variant_get("ev", "$.usage", "variant").isNotNull()).groupBy("session_id").agg(*[F.min_by(v, "line_no").alias(f"end_{c}") for c, v in usage.items()])
+    timed = spoken & F.col("ts").isNotNull()
     every = Window.partitionBy("session_id")
-    total = F.sum(sum((F.col(c) for c in USAGE), F.lit(0))).over(every)
-    last = F.col("line_no") == F.max("line_no").over(every)
-    turns = turns.withColumn("bare", (total == 0) & last).join(ends, "session_id", "left")
-    turns = turns.withColumns({c: F.when(F.col("bare"), F.coalesce(f"end_{c}", F.col(c))).otherwise(F.col(c)) for c in USAGE}).drop("bare", *[f"end_{c}" for c in USAGE])
+    total = F.sum(F.when(timed, sum((F.col(c) for c in USAGE), F.lit(0)))).over(every)
+    last = F.col("line_no") == F.max(F.when(timed, F.col("line_no"))).over(every)
+    turns = numbered(e.where(spoken | ((F.col("type") == "end") & F.col("input_tokens").isNotNull()))).withColumns({"bare": (total == 0) & last} | {f"end_{c}": F.min_by(c, F.when(~spoken, F.col("line_no"))).over(every) for c in USAGE}).where(timed)
+    turns = turns.withColumns({c: F.when(F.col("bare"), F.coalesce(f"end_{c}", F.col(c))).otherwise(F.col(c)) for c in USAGE}).select("session_id", "line_no", F.col("turn").alias("span_id"), F.coalesce("model", "meta_model").alias("model"), (F.col("ts") - F.col("ms") * 1_000_000).alias("started_at_ns"), F.col("ts").alias("ended_at_ns"), F.col("ms").alias("duration_ms"), *USAGE, chars(F.col("items"), "thinking").alias("thinking_chars"), chars(F.col("items"), "text").alias("text_chars"))
 
     # a call without a result stays; the last result of an id counts
-    uses = timed.select("session_id", "line_no", "turn", "ts", F.posexplode(blocks(content)).alias("pos", "b")).where(F.try_variant_get("b", "$.type", "string") == "tool_use").withColumn("id", F.coalesce(text_at("b", "$.id"), F.lit("")))
-    results = e.where("type = 'tool_result'").groupBy("session_id", F.coalesce(text_at("ev", "$.tool_use_id"), F.lit("")).alias("id")).agg(F.max_by(F.struct(F.col("ts").alias("r_ts"), ms.alias("r_ms"), F.coalesce(F.try_variant_get("ev", "$.is_error", "boolean"), F.lit(False)).alias("r_error"), F.length(F.coalesce(text_at("ev", "$.output"), F.lit(""))).alias("r_chars")), "line_no").alias("r"))
+    a = numbered(e.where(spoken))
+    uses = a.where("ts is not null").select("session_id", "line_no", "turn", "ts", F.posexplode("items").alias("pos", "b")).where("b.kind = 'tool_use'").withColumn("id", F.coalesce("b.id", F.lit("")))
+    results = e.where("type = 'tool_result'").groupBy("session_id", F.col("result_id").alias("id")).agg(F.max_by(F.struct(F.col("ts").alias("r_ts"), F.col("ms").alias("r_ms"), F.col("bad").alias("r_error"), F.coalesce(F.length("output"), F.lit(0)).alias("r_chars")), "line_no").alias("r"))
     tool = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), F.col("id")))
-    calls = uses.join(results, ["session_id", "id"], "left").select("session_id", "line_no", "pos", tool.alias("span_id"), F.col("turn").alias("turn_span_id"), F.coalesce(text_at("b", "$.name"), F.lit("?")).alias("name"), json_of(F.col("b"), "$.input").alias("arguments"), F.col("ts").alias("started_at_ns"), F.coalesce("r.r_ts", "ts").alias("ended_at_ns"), F.coalesce("r.r_ms", F.lit(0)).alias("duration_ms"), F.coalesce("r.r_error", F.lit(False)).alias("is_error"), F.coalesce("r.r_chars", F.lit(0)).alias("result_chars"))
+    calls = uses.join(results, ["session_id", "id"], "left").select("session_id", "id", "line_no", "pos", tool.alias("span_id"), F.col("turn").alias("turn_span_id"), "b.name", F.col("b.input").alias("arguments"), F.col("ts").alias("started_at_ns"), F.coalesce("r.r_ts", "ts").alias("ended_at_ns"), F.coalesce("r.r_ms", F.lit(0)).alias("duration_ms"), F.coalesce("r.r_error", F.lit(False)).alias("is_error"), F.coalesce("r.r_chars", F.lit(0)).alias("result_chars"))
 
     def of_block(x):
-        t = F.try_variant_get(x, "$.type", "string")
-        trimmed = lambda p: F.trim(F.coalesce(text_at(x, p), F.lit("")))
-        call = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), F.coalesce(text_at(x, "$.id"), F.lit(""))))
-        return F.when(t == "thinking", item("thinking", trimmed("$.thinking"), F.col("turn"))).when(t == "text", item("assistant_message", trimmed("$.text"), F.col("turn"))).when(t == "tool_use", item("tool_arguments", json_of(x, "$.input"), call))
-
-    said = a.select("session_id", "line_no", F.col("ts").alias("ts_ns"), F.posexplode(F.transform(blocks(content), of_block)).alias("pos", "c")).select("session_id", "line_no", "pos", "ts_ns", "c.*")
-    result_of = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), F.coalesce(text_at("ev", "$.tool_use_id"), F.lit(""))))
-    other = e.where(F.col("type").isin("user", "tool_result")).select("session_id", "line_no", F.lit(0).alias("pos"), F.col("ts").alias("ts_ns"), F.when(F.col("type") == "user", "user_message").otherwise("tool_result").alias("kind"), F.when(F.col("type") == "user", F.trim(text_at("ev", "$.text"))).otherwise(text_at("ev", "$.output")).alias("text"), F.when(F.col("type") == "tool_result", result_of).alias("span_id"))
-    return Parts(bounds, turn_rows(turns), call_rows(calls), content_rows(said.unionByName(other)))
+        call = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), F.coalesce(x.id, F.lit(""))))
+        return F.when(x.kind == "thinking", item("thinking", F.trim(x.thinking), F.col("turn"))).when(x.kind == "text", item("assistant_message", F.trim(x.text), F.col("turn"))).when(x.kind == "tool_use", item("tool_arguments", x.input, call))
+
+    said = a.select("session_id", "line_no", F.col("ts").alias("ts_ns"), F.posexplode(F.transform("items", of_block)).alias("pos", "c")).select("session_id", "line_no", "pos", "ts_ns", "c.*")
+    result_of = span_id(SOURCE, F.col("session_id"), F.concat(F.lit("tool:"), F.col("result_id")))
+    other = e.where(F.col("type").isin("user", "tool_result")).select("session_id", "line_no", F.lit(0).alias("pos"), F.col("ts").alias("ts_ns"), F.when(F.col("type") == "user", "user_message").otherwise("tool_result").alias("kind"), F.coalesce("said", "output").alias("text"), F.when(F.col("type") == "tool_result", result_of).alias("span_id"))
+    return Parts(bounds, turn_rows(turns), call_rows(calls, "id"), content_rows(said.unionByName(other)))

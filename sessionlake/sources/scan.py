@@ -94,8 +94,9 @@ def stem(path: str) -> Column:
 
 def events(rows: DataFrame) -> DataFrame:
     """Lines that hold a JSON object, as a variant `ev`; blank and malformed ones and other values are dropped."""
-    parsed = rows.where(F.trim("value") != "").withColumn("ev", F.try_parse_json("value"))
-    return parsed.where(F.schema_of_variant("ev").startswith("OBJECT")).drop("value")
+    # JSON is an object if it starts like one; as a generator's output a line is parsed once, not again by a filter
+    objects = rows.where(F.startswith(F.ltrim("value", F.lit(" \t\r\n")), F.lit("{")))
+    return objects.select(*[c for c in rows.columns if c != "value"], F.explode(F.array_compact(F.array(F.try_parse_json("value")))).alias("ev"))
 
 
 def text_at(v: Column | str, path: str) -> Column:

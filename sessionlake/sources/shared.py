@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.columns import result_text, short_hash, span_id
+from sessionlake.functions.columns import is_string, result_text, short_hash, span_id
 from sessionlake.sources.scan import text_at
 
 MAX_ARGUMENTS = 60_000
@@ -20,8 +21,12 @@ class Parts:
 
     bounds: DataFrame  # one row for each session: session_id, file, first_ns, last_ns, surface, version, git_branch, cwd, model, parent_session_id
     turns: DataFrame
-    tool_calls: DataFrame
+    tool_calls: DataFrame | Callable[[], DataFrame]  # a function, where finding the calls' turns is a step of its own
     contents: DataFrame
+    times: DataFrame | None = None  # session_id, started_at_ns and ended_at_ns of the calls, where tool_calls is a function
+
+    def calls(self) -> DataFrame:
+        return self.tool_calls() if callable(self.tool_calls) else self.tool_calls
 
 
 def blocks(v: Column) -> Column:
@@ -29,10 +34,24 @@ def blocks(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def chars(content: Column, kind: str) -> Column:
-    """Characters of the blocks of one type."""
-    lengths = F.transform(blocks(content), lambda b: F.when(F.try_variant_get(b, "$.type", "string") == kind, F.coalesce(F.length(text_at(b, f"$.{kind}")), F.lit(0))).otherwise(0))
-    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x).cast("long")
+def block_items(v: Column) -> Column:
+    """What calls, results and texts need of the blocks of a content list, each value read once: kind, id, result_id, name, input (JSON), bad, result, text, thinking and, of a block that is a string, plain."""
+
+    def of(b: Column) -> Column:
+        kind = F.try_variant_get(b, "$.type", "string")
+        use, result = kind == "tool_use", kind == "tool_result"
+        return F.struct(
+            kind.alias("kind"), F.when(use, text_at(b, "$.id")).alias("id"), F.when(result, text_at(b, "$.tool_use_id")).alias("result_id"), F.when(use, F.coalesce(text_at(b, "$.name"), F.lit("?"))).alias("name"), F.when(use, json_of(b, "$.input")).alias("input"),
+            F.when(result, F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False))).alias("bad"), F.when(result, result_text(F.try_variant_get(b, "$.content", "variant"))).alias("result"),
+            F.when(kind == "text", F.coalesce(text_at(b, "$.text"), F.lit(""))).alias("text"), F.when(kind == "thinking", F.coalesce(text_at(b, "$.thinking"), F.lit(""))).alias("thinking"), F.when(kind.isNull() & is_string(b), F.try_variant_get(b, "$", "string")).alias("plain"),
+        )
+
+    return F.transform(blocks(v), of)
+
+
+def chars(items: Column, kind: str) -> Column:
+    """Characters of the blocks of one type, of block_items()."""
+    return F.aggregate(F.transform(items, lambda b: F.coalesce(F.length(b[kind]), F.lit(0))), F.lit(0), lambda a, x: a + x).cast("long")
 
 
 def json_of(v: Column, path: str) -> Column:
@@ -40,10 +59,10 @@ def json_of(v: Column, path: str) -> Column:
     return F.coalesce(F.to_json(F.try_variant_get(v, path, "variant")), F.lit("{}"))
 
 
-def last_line(rows: DataFrame) -> DataFrame:
-    """Of the rows of a span, that of the last line."""
-    w = Window.partitionBy("session_id", "span_id").orderBy(F.desc("line_no"), F.desc("pos")) if "pos" in rows.columns else Window.partitionBy("session_id", "span_id").orderBy(F.desc("line_no"))
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def last_line(rows: DataFrame, by: str = "span_id") -> DataFrame:
+    """Of the rows of a span, that of the last line; `by` may be another column that tells the spans of a session apart, one by which the rows lie together already."""
+    order = [F.desc("line_no"), F.desc("pos")] if "pos" in rows.columns else [F.desc("line_no")]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("session_id", by).orderBy(*order))).where("__n = 1").drop("__n")
 
 
 def turn_rows(rows: DataFrame) -> DataFrame:
@@ -57,10 +76,10 @@ def turn_rows(rows: DataFrame) -> DataFrame:
     return rows.withColumn("turn_index", F.row_number().over(w) - 1).select("session_id", "span_id", "turn_index", "model", "started_at_ns", "ended_at_ns", F.col("duration_ms").cast("long").alias("duration_ms"), "input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "reasoning_tokens", "thinking_chars", "text_chars")
 
 
-def call_rows(rows: DataFrame) -> DataFrame:
-    """Fixed columns of a tool call; `arguments` is the whole text."""
+def call_rows(rows: DataFrame, by: str = "span_id") -> DataFrame:
+    """Fixed columns of a tool call; `arguments` is the whole text. For `by` see last_line."""
     args = F.substring("arguments", 1, MAX_ARGUMENTS)
-    return last_line(rows).select("session_id", "span_id", "turn_span_id", "name", short_hash(args).alias("args_hash"), F.substring(args, 1, 500).alias("args_preview"), "started_at_ns", "ended_at_ns", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("is_error").cast("int").alias("is_error"), F.col("result_chars").cast("long").alias("result_chars"))
+    return last_line(rows, by).select("session_id", "span_id", "turn_span_id", "name", short_hash(args).alias("args_hash"), F.substring(args, 1, 500).alias("args_preview"), "started_at_ns", "ended_at_ns", F.col("duration_ms").cast("long").alias("duration_ms"), F.col("is_error").cast("int").alias("is_error"), F.col("result_chars").cast("long").alias("result_chars"))
 
 
 def content_rows(rows: DataFrame, most: int = MAX_TEXT) -> DataFrame:
@@ -75,4 +94,4 @@ def item(kind: Column | str, text: Column, span: Column | None = None) -> Column
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), text.alias("text"), (F.lit(None).cast("string") if span is None else span).alias("span_id"))
 
 
-__all__ = ["Parts", "blocks", "call_rows", "chars", "content_rows", "item", "json_of", "last_line", "result_text", "span_id", "turn_rows"]
+__all__ = ["Parts", "block_items", "blocks", "call_rows", "chars", "content_rows", "item", "json_of", "last_line", "result_text", "span_id", "turn_rows"]

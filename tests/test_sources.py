@@ -202,3 +202,13 @@ def test_stream(spark, tmp_path):
     write(src / "s2.jsonl", CLI[:2])
     stream(spark, lake, "claude-code", str(src), str(tmp_path / "cp")).awaitTermination(120)
     assert {r.session_id for r in lake.read("sessions").collect()} == {"s1", "s2"}
+
+
+@pytest.mark.parametrize("source", ["claude-code", "codex", "harness"])
+def test_lines_are_parsed_once(spark, tmp_path, source):
+    write(tmp_path / "s1.jsonl", [" {} ", "{", "[{}]", '"{}"', '\t{"type": "x"}'])
+    evs = events(lines(spark, [str(tmp_path)]))
+    assert evs.count() == 2
+    made = assemble.tables(source, evs)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in made.values()]
+    assert not any("parse_json" in p or "parseJson" in p or "variant_get" in p for p in plans)
