@@ -4,7 +4,7 @@ Postings hold a term, the text's key, the places where the term stands in it,
 and the text's number of terms. They lie in folders by a hash of the term's
 first character and are sorted by term inside, so a term or a prefix is found
 by one folder and by Parquet's statistics of its terms; a frequent term spreads
-over many files. A query reads the postings of its terms once, brings those of
+over several files, by text. A query reads the postings of its terms once, brings those of
 a text together, and intersects places for phrases.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from sessionlake.operators.search import Item, parsed, tokens
 
 K1, B = 1.2, 0.75
+#: Fixed value: files that a folder of postings is dealt to, by text.
+SLICES = 8
 Slot = tuple[str, bool]  # a term, and whether it may go on
 
 
@@ -31,10 +33,17 @@ def build(texts: DataFrame, path: str, keys: Sequence[str] = ("session_id", "seq
     """Writes the index of (keys, text) under the path. Keys name one text each; null and empty texts have no terms. Other columns are left out."""
     rows = texts.select(*keys, tokens(F.coalesce("text", F.lit(""))).alias("terms"))
     rows.select(*keys, F.size("terms").cast("long").alias("n")).write.parquet(f"{path}/texts")
-    each = rows.select(*keys, F.size("terms").cast("long").alias("n"), F.posexplode("terms").alias("place", "term"))
-    postings = each.groupBy("term", *keys).agg(F.sort_array(F.collect_list("place")).alias("places"), F.first("n").alias("n")).withColumn("part", part_of(F.col("term"), parts))
-    order = ["part", "term", *keys]
-    postings.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings")
+    # dealt by hash, as bounds of ranges would take a second pass over the texts
+    postings(rows, keys, parts).repartition("part", F.pmod(F.xxhash64(*keys), F.lit(SLICES))).sortWithinPartitions("part", "term", *keys).write.partitionBy("part").parquet(f"{path}/postings")
+
+
+def postings(rows: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
+    """term, keys, places, n and part of (keys, terms): a text's terms meet in its own row, sorted, without a shuffle."""
+    placed = rows.select(*keys, F.size("terms").cast("long").alias("n"), F.array_sort(F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("place")))).alias("placed"))
+    firsts = F.filter(F.transform("placed", lambda x, i: F.when((i == 0) | (x.term != F.get("placed", F.greatest(i - 1, F.lit(0))).term), i)), lambda i: i.isNotNull())
+    runs = placed.withColumn("firsts", firsts)
+    posting = lambda i, k: F.struct(F.get("placed", i).term.alias("term"), F.transform(F.slice("placed", i + 1, F.coalesce(F.get("firsts", k + 1), F.size("placed")) - i), lambda x: x.place).alias("places"))
+    return runs.select(*keys, "n", F.explode(F.transform("firsts", posting)).alias("posting")).select("posting.term", *keys, "posting.places", "n").withColumn("part", part_of(F.col("term"), parts))
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from sessionlake.operators import search
+from sessionlake.operators import search, textindex
 from sessionlake.operators.textindex import TextIndex, build
 
 WORDS = ["a", "b", "ab", "abc", "ba", "Éa", "x1", "x12", "the", "of"]
@@ -75,3 +75,10 @@ def test_an_index_of_nothing(spark, tmp_path):
     empty = TextIndex(spark, str(tmp_path / "i"))
     assert empty.matching("a").count() == 0 and empty.matching("NOT a").count() == 1
     assert empty.ranked("a OR b").count() == 0
+
+
+def test_postings_take_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, [])], "id int, terms array<string>")
+    got = textindex.postings(rows, ["id"], 8)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.term, r.id, r.places, r.n) for r in got.collect()) == [("a", 1, [1], 3), ("b", 1, [0, 2], 3)]
