@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,6 +69,20 @@ def tool_class(name: str = "name", args: str = "args_preview", source: str = "so
     return c.otherwise(F.when(is_navigation(args), "navigation").otherwise("other"))
 
 
+def source_bit(source: str = "source") -> Column:
+    """The bit of navigation_bits that counts for a source."""
+    c = F.when(F.lit(False), 0)
+    for i, label in enumerate(CLASSES):
+        c = c.when(F.col(source) == label, i)
+    return c.otherwise(len(CLASSES))
+
+
+def navigation_bits(name: str = "name", args: str = "args_preview") -> Column:
+    """One bit for each source, and one for unknown sources: whether tool_class calls it navigation there. For calls that meet their sessions later."""
+    ways = [class_for(label, name, args) == "navigation" for label in CLASSES] + [is_navigation(args)]
+    return reduce(add, [F.when(way, 1 << i).otherwise(0) for i, way in enumerate(ways)])
+
+
 def ns_of(iso: Column) -> Column:
     """Epoch nanoseconds of an ISO-8601 text, in UTC where it names no zone; null if it is none."""
     zoned = iso.rlike(r"(?i)(z|[+-]\d\d:?\d\d)$") & iso.rlike(r"[Tt ]")

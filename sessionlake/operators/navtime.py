@@ -9,26 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake.functions.columns import tool_class
-from sessionlake.functions.intervals import with_latest
+from sessionlake.functions.columns import navigation_bits, source_bit
 from sessionlake.functions.medians import medians
 from sessionlake.functions.places import kept
 
 
 def nav_shares(sessions: DataFrame, turns: DataFrame, calls: DataFrame, idle_s: float = 300) -> DataFrame:
-    """session_id, project, active_s, nav_s, nav_share, generation_s, nav_calls of top-level sessions with timed cycles; longer cycles than idle_s are the user's. The calls find their cycles in one sort of a session."""
-    top = sessions.where("is_subagent = 0").select("session_id", "source", "project")
-    starts = turns.join(top, "session_id", "left_semi").select("session_id", "started_at_ns").distinct()
-    w = Window.partitionBy("session_id").orderBy("started_at_ns")
-    cycles = starts.select("session_id", F.col("started_at_ns").alias("b"), F.lead("started_at_ns").over(w).alias("e")).where("e is not null").withColumn("s", (F.col("e") - F.col("b")) / 1e9).where(F.col("s") <= idle_s)
-    c = calls.join(top, "session_id").select("session_id", "started_at_ns", tool_class().alias("class"))
-    hit = with_latest(c, "started_at_ns", cycles, "b", "session_id", "cycle").where("started_at_ns < cycle.e")
-    per_class = hit.groupBy("session_id", F.col("cycle.b").alias("b"), "class").agg(F.count("*").alias("n"))
-    shares = per_class.withColumn("k", F.sum("n").over(Window.partitionBy("session_id", "b")))
-    timed = cycles.join(shares, ["session_id", "b"], "left").select("session_id", F.coalesce("class", F.lit("generation")).alias("class"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), F.col("s")).otherwise(F.col("s") * F.col("n") / F.col("k")).alias("s"))
-    part = lambda name: F.coalesce(F.sum(F.when(F.col("class") == name, F.col("s"))), F.lit(0.0))
-    sums = timed.groupBy("session_id").agg(F.sum("s").alias("active"), part("navigation").alias("nav"), part("generation").alias("gen"), F.coalesce(F.sum(F.when(F.col("class") == "navigation", F.col("n"))), F.lit(0)).cast("long").alias("nav_calls")).where("active > 0")
-    return sums.join(top, "session_id").select("session_id", "project", F.round("active", 1).alias("active_s"), F.round("nav", 1).alias("nav_s"), F.round(F.col("nav") / F.col("active"), 4).alias("nav_share"), F.round("gen", 1).alias("generation_s"), "nav_calls")
+    """session_id, project, active_s, nav_s, nav_share, generation_s, nav_calls of top-level sessions with timed cycles; longer cycles than idle_s are the user's.
+
+    Sessions, turns and calls meet in one sort by session and time, of short rows: a call brings one bit for each source that it is navigation in, a session says which bit counts. Running counts at two turns one after the other give the calls between them, so no second sort, join or table of cycles adds to a task's memory.
+    """
+    row = lambda at, kind, bits, project: (F.col("session_id"), at.cast("long").alias("at"), F.lit(kind).alias("kind"), bits.cast("int").alias("bits"), project.cast("string").alias("project"))
+    none = F.lit(None)
+    top = sessions.where("is_subagent = 0").select(*row(none, 0, source_bit(), F.col("project")))
+    begun = turns.where("started_at_ns is not null").select(*row(F.col("started_at_ns"), 1, none, none))
+    called = calls.where("started_at_ns is not null").select(*row(F.col("started_at_ns"), 2, navigation_bits(), none))
+    # a session comes before its rows, a turn before the calls of its instant
+    so_far = Window.partitionBy("session_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    of_top = lambda c: F.max(F.when(F.col("kind") == 0, F.col(c))).over(so_far)
+    rows = top.union(begun).union(called).where("session_id is not null").withColumns({"bit": of_top("bits"), "project": of_top("project")}).where("bit is not null and kind > 0")
+    is_call = F.col("kind") == 2
+    counted = rows.withColumns({"k": F.count(F.when(is_call, 1)).over(so_far), "n": F.count(F.when(is_call & (F.getbit("bits", F.col("bit")) == 1), 1)).over(so_far)})
+    before = Window.partitionBy("session_id").orderBy("at", "kind")
+    since = lambda c: F.col(c) - F.lag(c).over(before)
+    cycles = counted.where("kind = 1").select("session_id", "project", (since("at") / 1e9).alias("s"), since("k").alias("k"), since("n").alias("n")).where(F.col("s") <= idle_s)
+    nav = F.when(F.col("k") > 0, F.col("s") * F.col("n") / F.col("k")).otherwise(0.0)
+    gen = F.when(F.col("k") == 0, F.col("s")).otherwise(0.0)
+    sums = cycles.groupBy("session_id").agg(F.max("project").alias("project"), F.sum("s").alias("active"), F.sum(nav).alias("nav"), F.sum(gen).alias("gen"), F.sum("n").alias("nav_calls")).where("active > 0")
+    return sums.select("session_id", "project", F.round("active", 1).alias("active_s"), F.round("nav", 1).alias("nav_s"), F.round(F.col("nav") / F.col("active"), 4).alias("nav_share"), F.round("gen", 1).alias("generation_s"), "nav_calls")
 
 
 def nav_summary(shares: DataFrame, least_s: float = 300) -> DataFrame:

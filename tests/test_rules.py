@@ -107,6 +107,27 @@ def test_one_long_session_is_sorted_not_multiplied(spark):
     assert len(rows) == n // 1000 and {(r.turns, r.tool_calls, r.duration_ms) for r in rows} == {(1000, 1000, 1_999_000)}
 
 
+def test_nav_shares_sorts_once(spark):
+    """What a task holds is one sort of short rows: no join, no second sort. Odd rows change nothing."""
+    one, t, k = frames(spark, random_sessions(14))
+    got = navtime.nav_shares(one, t, k)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Join" not in plan
+    odd = navtime.nav_shares(
+        one.union(spark.createDataFrame([("alone", "codex", "p", 0), ("under", "codex", "p", 1), (None, "codex", "p", 0)], one.schema)),
+        t.union(t).union(spark.createDataFrame([("session 1", "x", None), ("under", "x", 0), ("under", "y", S), (None, "x", 0), (None, "y", S), ("lost", "x", 0), ("lost", "y", S)], t.schema)),
+        k.union(spark.createDataFrame([("session 1", "x", None, "Read", ""), ("under", "x", 0, "Read", ""), (None, "x", 0, "Read", ""), ("lost", "x", 0, "Read", "")], k.schema)),
+    )
+    assert sorted(odd.collect()) == sorted(got.collect())
+
+
+def test_navigation_bits_are_those_of_the_class(spark):
+    names = sorted({n for of in c.CLASSES.values() for group in of.values() for n in group} | {"mcp__x__y"})
+    rows = [(s, n, a) for s in (*c.CLASSES, "other", None) for n in (*names, None) for a in ("", "ls -l", "make all", None)]
+    df = spark.createDataFrame(rows, "source string, name string, args_preview string").withColumns({"bits": c.navigation_bits(), "bit": c.source_bit()})
+    assert df.where((F.getbit("bits", F.col("bit")) == 1) != (c.tool_class() == "navigation")).count() == 0
+
+
 def test_latest_mark_against_loops(spark):
     rng = random.Random(5)
     marks = {(k, x): f"{k}{x}" for k in "abc" for x in rng.sample(range(100), 12)}
