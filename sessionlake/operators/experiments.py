@@ -77,13 +77,35 @@ def grams(text: Column, q: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(q))))
 
 
-def held_names(names: DataFrame, texts: DataFrame, q: int = 3, piece: int = 65_536) -> DataFrame:
+def held_names(names: DataFrame, texts: DataFrame, q: int = 3, piece: int = 65_536, few: int = 4_096, share: int = 4_000_000) -> DataFrame:
     """(session_id, base) of the distinct names (session_id, base) that a text (session_id, text) of their session holds, as contains() does. Null and empty names and texts hold nothing.
 
+    Where a session has at most `few` names, each of its texts meets the list of them once, so the work grows with the texts. Long sessions are dealt into parts of about `share` characters, each with the list. In sessions of more names, texts and names meet by runs of characters (by_grams), and names without white space only need the distinct words of a session, as none of them goes on beyond a word.
+    """
+    names = kept(names.select("session_id", "base").where("base <> '' and session_id is not null").distinct(), "names")
+    texts = texts.select("session_id", "text").where("text <> ''")
+    # what is broadcast has a row for each `few` names or `share` characters at most
+    rich = kept(names.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > few).select("session_id"), "names-rich")
+    long = F.broadcast(kept(texts.groupBy("session_id").agg(F.ceil(F.sum(F.length("text").cast("long")) / share).cast("int").alias("parts")).where("parts > 1"), "names-long"))
+    parts = F.coalesce("parts", F.lit(1))
+    lists = names.join(F.broadcast(rich), "session_id", "left_anti").groupBy("session_id").agg(F.collect_list("base").alias("names"))
+    lists = lists.join(long, "session_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dealt = texts.join(long, "session_id", "left").select("session_id", "text", (F.monotonically_increasing_id() % parts).cast("int").alias("part"))
+    held = dealt.join(lists, ["session_id", "part"]).select("session_id", F.explode(F.filter("names", lambda name: F.contains(F.col("text"), name))).alias("base"))
+    if not rich.isEmpty():
+        many, of = (df.join(F.broadcast(rich), "session_id", "left_semi") for df in (names, texts))
+        spaced = F.col("base").rlike(r"\s")
+        words = of.select("session_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("text")).where("text <> ''").distinct()
+        held = held.unionByName(by_grams(many.where(~spaced), words, q, piece)).unionByName(by_grams(many.where(spaced), of, q, piece))
+    return held.distinct()
+
+
+def by_grams(names: DataFrame, texts: DataFrame, q: int, piece: int) -> DataFrame:
+    """(session_id, base) of the distinct names that a text of their session holds, neither null nor empty.
+
     Names and texts meet by a run of q characters (shorter names: as many as they have): a name asks for the one of its runs that the fewest texts of its session have, none if a run is in no text. Texts are cut into overlapping pieces of bounded size, and only the runs of names are kept of them. Each candidate is looked at exactly.
     """
-    names = names.select("session_id", "base").where("base <> ''").distinct()
-    texts = texts.select("session_id", "text").where("text <> ''").join(names.select("session_id").distinct(), "session_id", "left_semi")
+    texts = texts.join(names.select("session_id").distinct(), "session_id", "left_semi")
     texts = kept(texts.withColumn("id", F.monotonically_increasing_id()), "names-texts")
     asked = kept(names.withColumn("gram", F.explode(F.when(F.length("base") >= q, grams(F.col("base"), q)).otherwise(F.array("base")))), "names-grams")
     wanted = asked.select("session_id", "gram").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.functions.intervals import with_owner
 from sessionlake.functions.medians import medians
+from sessionlake.operators import experiments
 from sessionlake.operators.experiments import held_names
 
 
@@ -75,3 +76,24 @@ def test_names_in_texts(spark):
     n, t = spark.createDataFrame(names, "session_id string, base string"), spark.createDataFrame(texts, "session_id string, text string")
     for piece in (4, 65_536):
         assert {tuple(x) for x in held_names(n, t, piece=piece).collect()} == want
+
+
+@pytest.mark.parametrize("few", [0, 3, 4_096])
+def test_names_of_rich_and_long_sessions(spark, few):
+    """Sessions on both sides of `few`, long ones dealt into parts, names with white space in them and words that repeat."""
+    r = random.Random(15)
+    part = lambda n: "".join(r.choice("ab.É \n") for _ in range(n))
+    names = [(f"s{min(r.randrange(9), 5)}", part(r.randrange(0, 5))) for _ in range(90)] + [("s7", "a"), (None, "a")]
+    texts = [(f"s{r.randrange(7)}", part(r.randrange(0, 30))) for _ in range(80)] + [("s8", "a"), (None, "a"), ("s1", None)]
+    want = {(s, b) for s, b in names if s and b and any(t and s == o and b in t for o, t in texts)}
+    n, t = spark.createDataFrame(names, "session_id string, base string"), spark.createDataFrame(texts, "session_id string, text string").repartition(3)
+    got = [tuple(x) for x in held_names(n, t, few=few, share=50, piece=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_few_names_need_no_grams(spark, monkeypatch):
+    """Texts of sessions with few names are not taken apart: rows grow with the texts, not with their characters."""
+    monkeypatch.setattr(experiments, "grams", lambda *_: pytest.fail("texts were cut into grams"))
+    n = spark.createDataFrame([("s", "lib.rs"), ("s", "gone.rs")], "session_id string, base string")
+    t = spark.createDataFrame([("s", "see lib.rs, then " * 50)], "session_id string, text string")
+    assert [tuple(x) for x in held_names(n, t).collect()] == [("s", "lib.rs")]
