@@ -124,14 +124,14 @@ def by_grams(names: DataFrame, texts: DataFrame, q: int, piece: int) -> DataFram
 
 
 def read_used(calls: DataFrame, contents: DataFrame) -> DataFrame:
-    """Share of a session's read files that it also edits, at any time, or whose base name an assistant message holds."""
+    """Share of a session's read files that it also edits, at any time, or whose base name an assistant message holds. Each file is looked at once, and kept in the shared folder; messages are searched for those that are not edited."""
     named = calls.where(F.col("name").isin("Read", "Edit", "Write", "NotebookEdit")).select("session_id", "name", file_argument().alias("path")).where(F.col("path").isNotNull() & ~F.col("path").contains("_docnav"))
-    reads = named.where("name = 'Read'").select("session_id", "path").distinct()
-    edits = named.where("name <> 'Read'").select("session_id", "path").distinct().withColumn("edited", F.lit(1))
-    held = held_names(reads.select("session_id", base_name("path").alias("base")), contents.where("kind = 'assistant_message'")).withColumn("cited", F.lit(1))
-    cited = reads.withColumn("base", base_name("path")).join(held, ["session_id", "base"]).select("session_id", "path", "cited")
-    used = reads.join(edits, ["session_id", "path"], "left").join(cited, ["session_id", "path"], "left")
-    return used.groupBy("session_id").agg(F.count("*").alias("reads"), F.sum(F.greatest(F.coalesce("edited", F.lit(0)), F.coalesce("cited", F.lit(0)))).cast("long").alias("used")).withColumn("share", F.col("used") / F.col("reads"))
+    read = F.col("name") == "Read"
+    files = named.groupBy("session_id", "path").agg(F.max(read).alias("read"), F.max(~read & F.col("session_id").isNotNull()).alias("edited")).where("read")
+    files = kept(files.select("session_id", base_name("path").alias("base"), "edited"), "read-files")
+    cited = held_names(files.where("not edited").select("session_id", "base"), contents.where("kind = 'assistant_message'")).withColumn("cited", F.lit(True))
+    used = files.join(cited, ["session_id", "base"], "left").withColumn("used", (F.col("edited") | F.coalesce("cited", F.lit(False))).cast("long"))
+    return used.groupBy("session_id").agg(F.count("*").alias("reads"), F.sum("used").alias("used")).withColumn("share", F.col("used") / F.col("reads"))
 
 
 def compare(groups: DataFrame, turns: DataFrame, calls: DataFrame, contents: DataFrame, idle_s: float = 300, least_s: float = 60) -> DataFrame:

@@ -165,6 +165,20 @@ def test_read_used_against_loops(spark):
     assert got == want and any(0 < u < r for r, u in want.values())
 
 
+def test_read_used_looks_for_unedited_files(spark, monkeypatch):
+    """Only files that were read and not edited are looked for in messages, each once; a base name in two folders counts for both."""
+    asked = []
+    search = experiments.held_names
+    monkeypatch.setattr(experiments, "held_names", lambda names, texts: asked.extend(tuple(x) for x in names.collect()) or search(names, texts))
+    calls = [("s", "Read", "/a/one.rs"), ("s", "Read", "/b/one.rs"), ("s", "Read", "/a/two.rs"), ("s", "Edit", "/a/two.rs"), ("s", "Write", "/a/three.rs"), ("s", "Read", "/a/two.rs"), ("s", "Read", "/c/")]
+    df = spark.createDataFrame([(s, n, f'{{"file_path": "{f}"}}') for s, n, f in calls], "session_id string, name string, args_preview string")
+    said = spark.createDataFrame([("s", "assistant_message", "one.rs is fine, three.rs too")], "session_id string, kind string, text string")
+    r = experiments.read_used(df, said).collect()
+    assert [(x.session_id, x.reads, x.used, x.share) for x in r] == [("s", 4, 3, 0.75)]
+    assert sorted(asked) == [("s", ""), ("s", "one.rs"), ("s", "one.rs")]
+
+
+
 def test_hooks(spark):
     mark = "PreToolUse:Read hook error: [python3 /h/reread-guard.py]: you already read /r/a.py this session"
     rows = spark.createDataFrame([("s", "x", "Read", 5, mark), ("s", "y", "Bash", 6, "quoted " + mark), ("u", "z", "Read", 5, mark)], "session_id string, span_id string, tool_name string, ts_ns long, text string")
