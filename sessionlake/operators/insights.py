@@ -79,8 +79,9 @@ def premium_grind(sessions: DataFrame, prices: DataFrame, limits: Limits = DEFAU
     return busy.join(F.broadcast(is_premium(busy, prices)), "model", "left_semi").orderBy(F.desc("tool_call_count"), "session_id").limit(3)
 
 
-def repeat_waste(calls: DataFrame, contents: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    same = audit_repeats(calls, contents, 200).where("byte_identical = 1")
+def repeat_waste(calls: DataFrame, contents: DataFrame, limits: Limits = DEFAULT, among: int | None = None) -> DataFrame:
+    """Calls of each tool that repeated an earlier one with the same result, over all groups of repeats, or `among` so many of the most frequent."""
+    same = audit_repeats(calls, contents, among).where("byte_identical = 1")
     per = same.groupBy("name").agg(F.sum(F.col("calls") - 1).cast("long").alias("wasted"), F.round(F.sum(F.col("total_ms") * (F.col("calls") - 1) / F.col("calls")), 2).alias("ms"), F.count("*").alias("groups"))
     return per.where(F.col("wasted") >= limits.wasted_calls).orderBy(F.desc("wasted"), "name")
 

@@ -89,17 +89,19 @@ def tool_stats(calls: DataFrame) -> DataFrame:
     return calls.groupBy("name").agg(F.count("*").alias("calls"), F.sum("is_error").cast("long").alias("errors"), F.sum("duration_ms").cast("long").alias("total_ms"), F.round(F.avg("duration_ms"), 2).alias("avg_ms"), F.max("duration_ms").cast("long").alias("max_ms"), F.sum("result_chars").cast("long").alias("total_chars"))
 
 
-def repeated_calls(calls: DataFrame, limit: int = 25) -> DataFrame:
-    """The groups of one session's calls of a tool with the same arguments, the most frequent first."""
+def repeated_calls(calls: DataFrame, limit: int | None = 25) -> DataFrame:
+    """The groups of one session's calls of a tool with the same arguments, the most frequent first; without a limit all of them, in no order."""
     groups = calls.groupBy("session_id", "name", "args_hash").agg(F.count("*").alias("calls"), F.sum("duration_ms").cast("long").alias("total_ms"), F.min("args_preview").alias("args_preview"))
-    return groups.where("calls > 1").orderBy(F.desc("calls"), F.desc("total_ms"), "session_id", "name", "args_hash").limit(limit)
+    groups = groups.where("calls > 1")
+    return groups if limit is None else groups.orderBy(F.desc("calls"), F.desc("total_ms"), "session_id", "name", "args_hash").limit(limit)
 
 
-def audit_repeats(calls: DataFrame, contents: DataFrame, limit: int = 200) -> DataFrame:
+def audit_repeats(calls: DataFrame, contents: DataFrame, limit: int | None = 200) -> DataFrame:
     """Repeated calls with the number of different result texts. Only the kept groups' results are read, and compared by hash."""
     top = repeated_calls(calls, limit)
     keys = ["session_id", "name", "args_hash"]
-    members = calls.select(*keys, "span_id").join(F.broadcast(top.select(*keys)), keys, "left_semi")
+    kept = top.select(*keys)
+    members = calls.select(*keys, "span_id").join(kept if limit is None else F.broadcast(kept), keys, "left_semi")
     results = contents.where("kind = 'tool_result'").select("span_id", F.sha2("text", 256).alias("h"))
     kinds = members.join(results, "span_id", "left").groupBy(*keys).agg(F.countDistinct("h").alias("distinct_results"), F.count("h").alias("results"))
     same = (F.col("distinct_results") == 1) & (F.col("results") == F.col("calls"))

@@ -249,6 +249,30 @@ def test_decisions(spark):
     assert {r.path: r.action for r in maintain.decide(inv, state).collect()}["tired"] == "ingest"
 
 
+def test_repeat_waste_counts_every_group(spark):
+    """More groups than any list of the most frequent holds; the frequent ones have results that differ, or lack one."""
+    rng = random.Random(7)
+    calls, contents, want = [], [], {}
+    for g in range(700):
+        name, n = rng.choice(["Read", "Bash", "Task"]), rng.randrange(1, 6)
+        kind = "same" if n < 3 else rng.choice(["same", "differ", "lack"])
+        for k in range(n):
+            span, ms = f"{g}-{k}", rng.randrange(1000)
+            calls.append((f"s{g % 90}", name, f"h{g}", span, ms, "{}"))
+            if kind != "lack" or k:
+                contents.append((span, "tool_result", f"v{g}-{k if kind == 'differ' else 0}"))
+            contents.append((span, "tool_arguments", f"a{k}"))
+        if kind == "same" and n > 1:
+            total = sum(c[4] for c in calls[-n:])
+            wasted, spent, groups = want.get(name, (0, 0.0, 0))
+            want[name] = (wasted + n - 1, spent + total * (n - 1) / n, groups + 1)
+    assert sum(w[2] for w in want.values()) > 200
+    c = spark.createDataFrame(calls, "session_id string, name string, args_hash string, span_id string, duration_ms long, args_preview string")
+    x = spark.createDataFrame(contents, "span_id string, kind string, text string")
+    got = {r.name: (r.wasted, r.ms, r.groups) for r in insights.repeat_waste(c, x).collect()}
+    assert got == {k: (w, pytest.approx(ms, abs=0.01), n) for k, (w, ms, n) in want.items()}
+
+
 def test_insights_and_review_run(spark, tmp_path):
     from sessionlake.plans import queries as q
 
